@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontaminate
 from .shared import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -16,7 +16,25 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op9_bpe": op9_bpe}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS g FROM i),
+size AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT row_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, size WHERE len(w) >= n),
+hit AS (SELECT row_id, p, win.n, item_id FROM (SELECT row_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g FROM pos) q JOIN win ON q.n = win.n AND q.g = win.g),
+covered AS (SELECT row_id, count(DISTINCT x) AS n_hit FROM (SELECT row_id, unnest(range(p, p + n)) AS x FROM hit) y GROUP BY row_id),
+named AS (SELECT row_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS s FROM hit) z GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (row_id) LEFT JOIN named USING (row_id)
+""",
+}
