@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup
+from . import bpe, decontaminate, neardup, toxicity
 from .shared import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,7 +24,11 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_neardup": op3_neardup, "op9_bpe": op9_bpe}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op5_toxicity": op5_toxicity, "op2_decontaminate": op2_decontaminate, "op3_neardup": op3_neardup, "op9_bpe": op9_bpe}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
