@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, toxicity
+from . import bpe, decontaminate, neardup, secrets, toxicity
 from .shared import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -28,7 +28,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op2_decontaminate": op2_decontaminate, "op3_neardup": op3_neardup, "op9_bpe": op9_bpe}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_secrets": op10_secrets, "op5_toxicity": op5_toxicity, "op2_decontaminate": op2_decontaminate, "op3_neardup": op3_neardup, "op9_bpe": op9_bpe}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
