@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, secrets, toxicity
+from . import bpe, decontaminate, neardup, secrets, toxicity, urls
 from .shared import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -32,7 +32,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_secrets": op10_secrets, "op5_toxicity": op5_toxicity, "op2_decontaminate": op2_decontaminate, "op3_neardup": op3_neardup, "op9_bpe": op9_bpe}
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op8_urls": op8_urls, "op10_secrets": op10_secrets, "op5_toxicity": op5_toxicity, "op2_decontaminate": op2_decontaminate, "op3_neardup": op3_neardup, "op9_bpe": op9_bpe}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
