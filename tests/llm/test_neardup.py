@@ -72,7 +72,7 @@ def test_groups_equal_brute_force(spark, docs):
 
 def test_small_sketches_lose_no_group(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert sorted(tuple(r) for r in N.groups(df, k=48, rounds=1).collect()) == brute(docs)
+    assert sorted(tuple(r) for r in N.groups(df, k=48, full=64, rounds=1).collect()) == brute(docs)
 
 
 def test_deduplicate_and_edge_cases(spark, docs):

@@ -6,13 +6,15 @@ documents are linked if 100 * |A and B| >= threshold * |A or B|; components of l
 1. Sets are hashed in Arrow blocks; equal sets are one class from there on, so exact copies never meet each other.
 2. A class retains the ``k`` least hashes of its set (the bottom-k sketch). The postings (value, class) are the inverted
    lists of retained values.
-3. Linked classes share many retained values: all of 0.75 n when a set of n fits its sketch, and otherwise at least
-   ``least_shared(k)`` (the sketch of the union holds k values, each shared with a chance of 0.75 or more: fewer has a chance below
-   1e-6, and a group has many links). So with each class's values in order of rarity, two linked classes meet in a list
-   among their first |sketch| - least + 1 values. Longer, commoner lists are left out by that order, not by a cap; values
-   that one class alone holds make no list.
-4. Rounds of stars: each list names its hub (the class with the commonest values first, then by a salted hash), and all
-   others of another component and of a fitting size are paired with the hub. A pair is tested on the sketch of its union, then on the full sets.
+3. Linked classes share many retained values: where both sets fit their sketches, at least 3/7 of the sum of their sizes (for
+   J >= 0.75); otherwise at least ``least_shared(k)`` (the sketch of the union holds k values, each shared with a chance of
+   0.75 or more: fewer has a chance below 1e-6, and a group has many links). So with each class's values in order of rarity,
+   two linked classes meet in a list among the first |sketch| - least + 1 values of each, and the places of their first
+   common value leave room for the rest (prefix and positional filters). Commoner lists are left out by that order, not by a
+   cap; values that one class alone holds make no list. Classes that stay in a list are sketched again with ``full``
+   values, which for most is the whole set, and filtered again.
+4. Rounds of stars: each list names its hub (first the class with the commonest values, then one by a salted hash), and all
+   others of another component that may fit it by size and place are paired with the hub. A pair is tested on the sketch of its union, then on the full sets.
    Large groups of near copies collapse into few components in a few rounds, without their pairs being made.
 5. When the rounds stop merging, or few pairs are left, every remaining pair of a list across components is tested, so
    no link between components is lost.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .shared import NOT_SPACE, Words, bounded_broadcast, components, fits, grams, list_column, stow, text_blocks
 
-K, SHINGLE, THRESHOLD = 128, 5, 75
+K, FULL, SHINGLE, THRESHOLD = 128, 1024, 5, 75
 #: Partners in a task beside one copy of their hub's set.
 PER_SALT = 256
 #: Pairs of a round are joined to the documents by broadcast up to this many, else by a shuffle.
@@ -88,15 +90,25 @@ def sketches(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
 
 
 def inverted_lists(sketched: DataFrame, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
-    """(v, c, n, weight): the necessary lists of retained values; c: a class, n: its size, weight: how common its values are."""
+    """(v, c, n, room, short, weight): the necessary lists of retained values; c: a class, n: its size, weight: how common its values are."""
     classes = sketched.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     postings = stow(classes.select("c", "n", F.explode("sketch").alias("v")), "postings")
     common = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    least = F.when(F.col("n") * threshold <= k * threshold * threshold / 100, F.ceil(F.col("n") * threshold / 100)).otherwise(F.least(F.lit(least_shared(k, threshold / 100)), F.ceil(F.col("n") * threshold / 100)))
-    by_rarity = Window.partitionBy("c").orderBy("df", "v")
-    ranked = postings.join(common, "v").withColumns({"rank": F.row_number().over(by_rarity), "shared": F.count("*").over(Window.partitionBy("c")), "weight": F.sum("df").over(Window.partitionBy("c"))})
-    # values of one class alone come first in its order and fill its first places
-    return ranked.where((F.col("shared") >= least) & (F.col("rank") <= F.col("shared") - least + 1)).select("v", "c", "n", "weight")
+    t, n, m = threshold / 100, F.col("n"), F.least(F.col("n"), F.lit(k))
+    loose = F.least(F.lit(least_shared(k, t)), F.ceil(n * threshold / 100))
+    least = F.when(n <= int(k * t), F.ceil(n * threshold / 100)).otherwise(loose)  # of any partner
+    alike = F.when(n <= int(k * t), F.ceil(n * (2 * threshold) / (100 + threshold))).otherwise(loose)  # of a partner that is no smaller
+    own = Window.partitionBy("c")
+    ranked = postings.join(common, "v").withColumns({"shared": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("df", "v")), "weight": F.sum("df").over(own)})
+    # values of one class alone come first in its order and fill its first places; room: values left from this one on
+    room = (F.col("shared") - F.col("rank") + 1).cast("int")
+    return ranked.where((F.col("shared") >= least) & (room >= least)).select("v", "c", "n", room.alias("room"), (room >= alike).alias("short"), "weight")
+
+
+def may_link(k: int, threshold: int = THRESHOLD) -> str:
+    """Whether two members of a list fit by size, and by the room that both places leave."""
+    least = f"if(n <= {k} and hub_n <= {k}, ceil((n + hub_n) * {threshold} / {100 + threshold}), {least_shared(k, threshold / 100)})"
+    return f"component <> hub_component and least(n, hub_n) * 100 >= greatest(n, hub_n) * {threshold} and least(room, hub_room) >= {least}"
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int = K, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -135,29 +147,33 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int = K, shingle: int = SHINGLE
     return rows.mapInArrow(sets, "hub long, salt int, role int, c long, s binary").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "c").mapInArrow(test, "a long, b long")
 
 
-def groups(docs: DataFrame, k: int = K, shingle: int = SHINGLE, threshold: int = THRESHOLD, rounds: int = 6, seed: int = 7) -> DataFrame:
+def groups(docs: DataFrame, k: int = K, full: int = FULL, shingle: int = SHINGLE, threshold: int = THRESHOLD, rounds: int = 6, seed: int = 7) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark, rnd = docs.sparkSession, random.Random(seed)
     sketched = stow(sketches(docs, k, shingle), "sketches")
-    lists = stow(inverted_lists(sketched, k, threshold), "lists")
+    near = stow(inverted_lists(sketched, k, threshold).select(F.col("c").alias("doc_id")).distinct(), "near")
+    fuller = docs.join(bounded_broadcast(near, BROADCAST_PAIRS), "doc_id")
+    lists, fit = stow(inverted_lists(sketches(fuller, full, shingle), full, threshold), "lists"), may_link(full, threshold)
     labels = spark.createDataFrame([], "c long, component long")
     links = spark.createDataFrame([], "a long, b long")
+    before = math.inf
     for turn in range(rounds + 1):
         members = lists.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
-        spread = members.groupBy("v", "component").agg(F.count("*").alias("m")).groupBy("v").agg(F.count("*").alias("parts"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("open")).where("parts > 1")
+        parts = members.groupBy("v", "component").agg(F.count("*").alias("m"), F.count_if("short").alias("s"))
+        spread = parts.groupBy("v").agg(F.count("*").alias("parts"), (F.sum("m") * F.sum("s") - F.sum(F.col("m") * F.col("s"))).alias("open")).where("open > 0")
         left, most = spread.agg(F.sum("open"), F.sum("parts")).first()
         if not left:
             break
-        last = turn == rounds or left <= 6 * most
+        last = turn == rounds or left <= 6 * most or left > 0.7 * before
+        before = left
         order = [F.col("weight")] if not turn else []
-        choice = F.struct(*order, F.xxhash64(F.lit(rnd.getrandbits(60)), "component").alias("x"), F.xxhash64(F.lit(turn), "c").alias("y"), F.col("c").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"))
-        fit = "component <> hub_component and least(n, hub_n) * 100 >= greatest(n, hub_n) * {}".format(threshold)
+        choice = F.struct("short", *order, F.xxhash64(F.lit(rnd.getrandbits(60)), "component").alias("x"), F.xxhash64(F.lit(turn), "c").alias("y"), F.col("c").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("room").alias("hub_room"))
         open_members = members.join(spread.select("v"), "v")
         if last:
-            other = open_members.select("v", F.col("c").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"))
+            other = open_members.select("v", F.col("c").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("room").alias("hub_room"))
             met = open_members.join(other, "v").where(fit + " and hub < c")
         else:
-            hubs = open_members.groupBy("v").agg(F.max(choice).alias("h")).select("v", "h.hub", "h.hub_component", "h.hub_n")
+            hubs = open_members.groupBy("v").agg(F.max(choice).alias("h")).select("v", "h.hub", "h.hub_component", "h.hub_n", "h.hub_room")
             met = open_members.join(hubs, "v").where(fit)
         fresh = stow(verify(docs, met.select("hub", "c").distinct(), k, shingle, threshold), "links")
         links = links.union(fresh)
