@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, neardup, secrets, toxicity, urls
+from . import bpe, decontaminate, language, licenses, neardup, secrets, toxicity, urls
 from .shared import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -40,7 +40,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_language": op4_language, "op8_urls": op8_urls, "op10_secrets": op10_secrets, "op5_toxicity": op5_toxicity, "op2_decontaminate": op2_decontaminate, "op3_neardup": op3_neardup, "op9_bpe": op9_bpe}
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_licenses": op1_licenses, "op4_language": op4_language, "op8_urls": op8_urls, "op10_secrets": op10_secrets, "op5_toxicity": op5_toxicity, "op2_decontaminate": op2_decontaminate, "op3_neardup": op3_neardup, "op9_bpe": op9_bpe}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
