@@ -82,8 +82,7 @@ def _scan(docs: DataFrame, made: DataFrame, key: str, column: str) -> DataFrame:
     own = docs.select(F.col(key).alias("key"), words(F.col(column)).alias("w"))
     own = own.withColumn("h", shingles(F.col("w"))).drop("w")
     at = F.filter(F.transform("h", lambda h, i: F.when(h.isin(wanted or [0]), i)), lambda i: i.isNotNull())
-    own = own.withColumn("at", at).where(F.size("at") > 0)
-    # each row of the table keeps its identity through the aggregation: its matches are gathered in the row itself
+    own = own.withColumn("at", at)
     seeds = made.select("license", "template", "piece", "pieces", "size", "hashes", F.posexplode("bands").alias("band", "seed"))
     by_seed = seeds.groupBy("seed").agg(F.collect_list(F.struct("license", "template", "piece", "pieces", "size", "hashes", "band")).alias("of")).collect()
     return _verify(own, by_seed, key)
@@ -93,7 +92,9 @@ def _verify(own: DataFrame, by_seed: list, key: str) -> DataFrame:
     spark = own.sparkSession
     rows = [(r["seed"], [tuple(x) for x in r["of"]]) for r in by_seed]
     kind = "array<struct<license:string,template:bigint,piece:int,pieces:int,size:int,hashes:array<bigint>,band:int>>"
-    found = own.withColumn("row", F.monotonically_increasing_id()).select("key", "row", "h", F.explode("at").alias("i"))
+    # explode_outer, and a filter on its output: a filter on the arrays would be pushed below the projections that make them,
+    # and split the text anew for each of its words
+    found = own.withColumn("row", F.monotonically_increasing_id()).select("key", "row", "h", F.explode_outer("at").alias("i")).where("i is not null")
     found = found.withColumn("seed", F.get("h", F.col("i")))
     found = found.join(F.broadcast(spark.createDataFrame(rows, f"seed bigint, of {kind}")), "seed").select("key", "row", "h", "i", "seed", F.explode("of").alias("p"))
     step = F.greatest(F.lit(1), F.floor(F.col("p.size") / 4)).cast("int")
