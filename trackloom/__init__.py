@@ -1,0 +1 @@
+"""Measurement tables for body and gaze recordings, on Spark."""

@@ -1,8 +1,388 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with the same result in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import sources
+from ..functions import to_half
+from ..operators import detections, geometry, summary, timeline
+from ..operators import embeddings as vectors
+from ..schemas import CORNERS, FACE_COLUMNS, POSE_COLUMNS, SKELETON
+from ..sources import manifest
+from . import fixtures as fx
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def raw_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks as a tracker gives them: frames from 1, arrays of x1, y1, x2, y2, id, conf, cls, det_ind."""
+    row = F.array(*(F.col(c).cast("double") for c in (*CORNERS, "track_id", "conf", "cls")), F.lit(0.0))
+    return fx.tracks(spark, sf_dir).groupBy((F.col("frame") + 1).alias("frame_idx")).agg(F.array_sort(F.collect_list(row)).alias("tracks"))
+
+
+@query(f"SELECT frame, track_id, x1, y1, x2, y2, conf FROM ({fx.TRACKS}) t")
+def tracks_flatten(spark, sf_dir):
+    return detections.flatten_tracks(raw_tracks(spark, sf_dir))
+
+
+@query(f"SELECT frame, track_id, x1, y1, x2, y2, conf FROM ({fx.TRACKS}) t WHERE cls = 0")
+def class_filter(spark, sf_dir):
+    return detections.flatten_tracks(raw_tracks(spark, sf_dir), classes=[0])
+
+
+@query(f"SELECT frame + 1 AS frame_idx, count(*) AS n, min(x1) AS x1, max(y2) AS y2, sum(track_id) AS ids FROM ({fx.TRACKS}) t GROUP BY frame")
+def boxes_from_tracks(spark, sf_dir):
+    boxes = detections.boxes_from_tracks(raw_tracks(spark, sf_dir))
+    return boxes.select("frame_idx", F.size("boxes").cast("bigint").alias("n"), F.array_min(F.transform("boxes", lambda b: b["x1"])).alias("x1"), F.array_max(F.transform("boxes", lambda b: b["y2"])).alias("y2"), F.aggregate("boxes", F.lit(0).cast("bigint"), lambda a, b: a + b["track_id"]).alias("ids"))
+
+
+def face_frames(spark, sf_dir) -> DataFrame:
+    """Best faces as the face model gives them: one row for each frame, landmarks spread over the box."""
+    best = geometry.best_face(fx.faces(spark, sf_dir), 0.5)
+    mark = lambda i: F.struct((F.col("bx1") + i).alias("x"), (F.col("by1") + 2 * i).alias("y"))
+    box = F.struct(*(F.col(f"b{c}").alias(c) for c in CORNERS), "track_id")
+    face = F.struct(box.alias("box"), F.col("score").alias("score"), F.array(*(mark(i) for i in range(5))).alias("landmarks"), F.lit(None).cast("array<float>").alias("embedding"))
+    return best.groupBy(F.col("frame").alias("frame_idx")).agg(F.collect_list(face).alias("faces"))
+
+
+BEST = "SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY frame, track_id ORDER BY score*(bx2-bx1)*(by2-by1) DESC, cand_id) AS rn FROM ({}) c) r WHERE rn = 1"
+FACE = f"SELECT * FROM ({BEST.format(fx.FACES)}) b WHERE score >= 0.5"
+POSE = BEST.replace("score*(bx2-bx1)*(by2-by1)", "score*((bx2-bx1)*(by2-by1))").format(f"SELECT * FROM ({fx.POSES}) p WHERE score >= 0.5")
+FLAT_FACE = ", ".join(["score AS face_score", *(f"b{c} AS face_{c}" for c in CORNERS), *(x for i, p in enumerate(("left_eye", "right_eye", "nose", "mouth_left", "mouth_right")) for x in (f"bx1 + {i} AS {p}_x", f"by1 + {2 * i} AS {p}_y"))])
+
+
+@query(f"SELECT frame, track_id, {FLAT_FACE} FROM ({FACE}) f")
+def faces_flatten(spark, sf_dir):
+    return detections.flatten_faces(face_frames(spark, sf_dir))
+
+
+@query(f"SELECT frame, track_id, face_score AS score, face_x1 AS x1, nose_x, mouth_right_y FROM (SELECT frame, track_id, {FLAT_FACE} FROM ({FACE}) f) g")
+def faces_nest(spark, sf_dir):
+    nested = detections.nest_faces(detections.flatten_faces(face_frames(spark, sf_dir)))
+    return nested.select("frame", "track_id", "face.score", F.col("face.box.x1").alias("x1"), F.col("face.landmarks")[2]["x"].alias("nose_x"), F.col("face.landmarks")[4]["y"].alias("mouth_right_y"))
+
+
+def pose_frames(spark, sf_dir) -> DataFrame:
+    best = geometry.best_pose(fx.poses(spark, sf_dir), 0.5)
+    point = lambda i: F.struct((F.col("bx1") + i).alias("x"), (F.col("by1") + 2 * i).alias("y"), F.when(F.col("cand_id") % 17 == i, 0.0).otherwise(F.col("score")).alias("score"))
+    box = F.struct(*(F.col(f"b{c}").alias(c) for c in CORNERS), "track_id")
+    pose = F.struct(box.alias("box"), F.col("score").alias("score"), F.array(*(point(i) for i in range(17))).alias("keypoints"))
+    return best.groupBy(F.col("frame").alias("frame_idx")).agg(F.collect_list(pose).alias("poses"))
+
+
+@query(f"SELECT frame, track_id, score AS pose_score, bx1 AS pose_x1, by2 AS pose_y2, bx1 AS pose_nose_x, by1 + 32 AS pose_right_ankle_y, CASE WHEN cand_id % 17 = 0 THEN 0.0 ELSE score END AS pose_nose_score FROM ({POSE}) p")
+def poses_flatten(spark, sf_dir):
+    return detections.flatten_poses(pose_frames(spark, sf_dir)).select("frame", "track_id", "pose_score", "pose_x1", "pose_y2", "pose_nose_x", "pose_right_ankle_y", "pose_nose_score")
+
+
+@query(f"SELECT frame, track_id, cand_id, score, bx1, by1, bx2, by2 FROM ({FACE}) f")
+def best_face(spark, sf_dir):
+    return geometry.best_face(fx.faces(spark, sf_dir), 0.5)
+
+
+@query(f"SELECT frame, track_id, cand_id, score, bx1, by1, bx2, by2 FROM ({POSE}) p")
+def best_pose(spark, sf_dir):
+    return geometry.best_pose(fx.poses(spark, sf_dir), 0.5)
+
+
+def with_faces(spark, sf_dir) -> DataFrame:
+    found = geometry.best_face(fx.faces(spark, sf_dir), 0.5).select("frame", "track_id", F.col("score").alias("face_score"))
+    return detections.join_faces(fx.tracks(spark, sf_dir), found)
+
+
+def with_poses(spark, sf_dir) -> DataFrame:
+    found = geometry.best_pose(fx.poses(spark, sf_dir), 0.5).select("frame", "track_id", F.col("score").alias("pose_score"))
+    return detections.join_poses(fx.tracks(spark, sf_dir), found)
+
+
+JOINED = "SELECT t.frame, t.track_id, t.conf, f.score AS {}_score FROM ({}) t LEFT JOIN ({}) f ON t.frame = f.frame AND t.track_id = f.track_id"
+WITH_FACES, WITH_POSES = JOINED.format("face", fx.TRACKS, FACE), JOINED.format("pose", fx.TRACKS, POSE)
+
+
+@query(WITH_FACES)
+def tracks_with_faces(spark, sf_dir):
+    return with_faces(spark, sf_dir).select("frame", "track_id", "conf", "face_score")
+
+
+@query(WITH_POSES)
+def tracks_with_poses(spark, sf_dir):
+    return with_poses(spark, sf_dir).select("frame", "track_id", "conf", "pose_score")
+
+
+@query(WITH_FACES)
+def rerun_pass(spark, sf_dir):
+    """Running the face pass again replaces its columns."""
+    once = with_faces(spark, sf_dir)
+    again = detections.join_faces(once, once.where("face_score is not null").select("frame", "track_id", "face_score"))
+    return detections.drop_pass(again, POSE_COLUMNS).select("frame", "track_id", "conf", *(c for c in FACE_COLUMNS if c in again.columns))
+
+
+@query(f"SELECT frame, track_id, x1, y1, x2, y2 FROM ({fx.TRACKS}) t WHERE frame = 5")
+def frame_boxes(spark, sf_dir):
+    return detections.boxes_for_frame(fx.tracks(spark, sf_dir), 5)
+
+
+@query(f"SELECT frame, track_id, score FROM ({FACE}) f WHERE frame = 7")
+def frame_faces(spark, sf_dir):
+    return detections.faces_for_frame(detections.flatten_faces(face_frames(spark, sf_dir)), 7).select("frame", "track_id", "face.score")
+
+
+@query(f"SELECT frame, track_id, score FROM ({POSE}) f WHERE frame = 7")
+def frame_poses(spark, sf_dir):
+    return detections.poses_for_frame(detections.flatten_poses(pose_frames(spark, sf_dir)), 7).select("frame", "track_id", "pose.score")
+
+
+@query(f"SELECT frame, count(*) AS n, min(track_id) AS first_id, max(x2) AS x2 FROM ({fx.TRACKS}) t GROUP BY frame")
+def boxes_by_frame(spark, sf_dir):
+    found = detections.boxes_by_frame(fx.tracks(spark, sf_dir))
+    return found.select("frame", F.size("boxes").cast("bigint").alias("n"), F.col("boxes")[0]["track_id"].alias("first_id"), F.array_max(F.transform("boxes", lambda b: b["x2"])).alias("x2"))
+
+
+CLAMPED = f"""SELECT frame, track_id, greatest(0.0, CAST(round_even(x1, 0) AS DOUBLE)) AS cx1, greatest(0.0, CAST(round_even(y1, 0) AS DOUBLE)) AS cy1,
+  least(1280.0, CAST(round_even(x2, 0) AS DOUBLE)) AS cx2, least(720.0, CAST(round_even(y2, 0) AS DOUBLE)) AS cy2 FROM ({fx.TRACKS}) t"""
+
+
+def crops(spark, sf_dir) -> DataFrame:
+    frames = fx.tracks(spark, sf_dir).select("frame").distinct().select("frame", F.lit(1280).alias("width"), F.lit(720).alias("height"))
+    return geometry.crop_requests(fx.tracks(spark, sf_dir), frames)
+
+
+@query(f"SELECT * FROM ({CLAMPED}) c WHERE cx2 - cx1 >= 8 AND cy2 - cy1 >= 8")
+def clamp_crop(spark, sf_dir):
+    return crops(spark, sf_dir).select("frame", "track_id", "cx1", "cy1", "cx2", "cy2")
+
+
+@query(f"SELECT f.frame, f.track_id, f.score, bx1 + cx1 AS bx1, by1 + cy1 AS by1, bx2 + cx1 AS bx2, by2 + cy1 AS by2 FROM ({FACE}) f JOIN (SELECT * FROM ({CLAMPED}) c WHERE cx2 - cx1 >= 8 AND cy2 - cy1 >= 8) c ON f.frame = c.frame AND f.track_id = c.track_id")
+def crop_to_frame(spark, sf_dir):
+    met = geometry.best_face(fx.faces(spark, sf_dir), 0.5).join(crops(spark, sf_dir).select("frame", "track_id", "cx1", "cy1"), ["frame", "track_id"])
+    return geometry.to_frame(met).select("frame", "track_id", "score", "bx1", "by1", "bx2", "by2")
+
+
+@query(f"SELECT DISTINCT frame FROM ({fx.FACES}) f WHERE frame IN (SELECT frame FROM ({fx.TRACKS}) t WHERE cls = 0)")
+def semi_frames(spark, sf_dir):
+    return geometry.wanted_frames(fx.faces(spark, sf_dir).select("frame").distinct(), fx.tracks(spark, sf_dir).where("cls = 0"))
+
+
+EDGES = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(SKELETON))
+
+
+@query(
+    f"SELECT frame, track_id, edge, bx1 + a AS ax, by1 + 2*a AS ay, bx1 + b AS bx, by1 + 2*b AS \"by\" FROM ({POSE}) p, (VALUES {EDGES}) e(edge, a, b) WHERE (cand_id % 17 <> a) AND (cand_id % 17 <> b)"
+)
+def skeleton_edges(spark, sf_dir):
+    return geometry.skeleton_edges(geometry.keypoint_rows(detections.flatten_poses(pose_frames(spark, sf_dir))))
+
+
+@query(f"SELECT frame, track_id, k AS point, cand_id % 17 <> k AS visible FROM ({POSE}) p, (SELECT unnest(range(17)) AS k) r")
+def keypoint_visibility(spark, sf_dir):
+    return geometry.keypoint_rows(detections.flatten_poses(pose_frames(spark, sf_dir))).select("frame", "track_id", "point", "visible")
+
+
+@query(f"SELECT frame, track_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM ({fx.TRACKS}) t")
+def box_rect(spark, sf_dir):
+    return geometry.box_rect(fx.tracks(spark, sf_dir))
+
+
+@query(f"SELECT count(DISTINCT track_id) AS tracks, count(*) AS detections FROM ({fx.TRACKS}) t")
+def track_summary(spark, sf_dir):
+    return summary.tracking(fx.tracks(spark, sf_dir))
+
+
+@query(f"SELECT track_id, count(face_score) AS found, count(*) AS detections FROM ({WITH_FACES}) t GROUP BY track_id")
+def face_summary(spark, sf_dir):
+    return summary.found(with_faces(spark, sf_dir), "face_score", ["track_id"])
+
+
+@query(f"SELECT track_id, count(pose_score) AS found, count(*) AS detections FROM ({WITH_POSES}) t GROUP BY track_id")
+def pose_summary(spark, sf_dir):
+    return summary.found(with_poses(spark, sf_dir), "pose_score", ["track_id"])
+
+
+@query(f"SELECT track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(DISTINCT frame) AS n_frames FROM ({fx.TRACKS}) t GROUP BY track_id")
+def track_coverage(spark, sf_dir):
+    return summary.coverage(fx.tracks(spark, sf_dir))
+
+
+@query(f"SELECT track_id, frame, score FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame) AS rn FROM ({fx.EMBEDDINGS}) e) r WHERE rn <= 8")
+def topk_simple(spark, sf_dir):
+    return vectors.top_k(fx.embeddings(spark, sf_dir), 8, keys=["track_id"]).select("track_id", "frame", "score")
+
+
+@query(f"""WITH e AS (SELECT track_id, frame, score FROM ({fx.EMBEDDINGS}) z),
+r AS (SELECT e.*, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame) AS rn, count(*) OVER (PARTITION BY track_id) AS n FROM e),
+s AS (SELECT r.*, max(CASE WHEN rn = least(8, n) THEN score END) OVER (PARTITION BY track_id) AS kth FROM r),
+g AS (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS ord FROM s WHERE score >= kth),
+h AS (SELECT g.*, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame DESC) AS lr FROM g WHERE score > kth OR ord <= 8)
+SELECT track_id, frame, score FROM h WHERE lr <= 8""")
+def topk_exact(spark, sf_dir):
+    return vectors.top_k(fx.embeddings(spark, sf_dir), 8, ties="exact", keys=["track_id"]).select("track_id", "frame", "score")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0")
+def finite_filter(spark, sf_dir):
+    nan = F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))
+    rows = fx.table(spark, sf_dir, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, nan).otherwise(F.col("embedding")))
+    return vectors.any_finite(rows).select("vec_id")
+
+
+@query(f"SELECT frame, track_id, conf AS score FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY x1, y1, x2, y2, track_id, conf) AS rn FROM ({fx.TRACKS}) t) r WHERE rn <= 2")
+def align_embeddings(spark, sf_dir):
+    """Two vectors a frame go to its first two tracks."""
+    raw = raw_tracks(spark, sf_dir).withColumn("embeddings", F.array(F.array(F.lit(1.0).cast("float")), F.array(F.lit(2.0).cast("float"))))
+    return vectors.align(raw).select("frame", "track_id", "score")
+
+
+@query("SELECT vec_id, i - 1 AS i, CASE WHEN x = 0 THEN x ELSE round_even(x / s, 0) * s END AS x FROM (SELECT vec_id, i, x, pow(2.0, greatest(floor(log2(abs(x))), -14) - 10) AS s FROM (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) v) w")
+def half_precision(spark, sf_dir):
+    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", to_half(F.col("x")).cast("double").alias("x"))
+
+
+@query(f"SELECT short_id, count(*) AS n FROM ({fx.INPUTS}) i GROUP BY short_id HAVING count(*) > 1")
+def dup_ids(spark, sf_dir):
+    return manifest.duplicate_ids(fx.inputs(spark, sf_dir), "short_id")
+
+
+@query(f"SELECT id, glasses_video FROM ({fx.INPUTS}) i WHERE kind = 'audio' AND glasses_video IS NOT NULL AND glasses_video NOT IN (SELECT id FROM ({fx.INPUTS}) g WHERE kind = 'glasses_video')")
+def unknown_refs(spark, sf_dir):
+    return manifest.unknown_references(fx.inputs(spark, sf_dir)).select("id", "glasses_video")
+
+
+@query(f"SELECT id FROM ({fx.INPUTS}) i WHERE kind = 'glasses_video' AND id IN (SELECT glasses_video FROM ({fx.INPUTS}) a WHERE kind = 'audio')")
+def referenced_glasses(spark, sf_dir):
+    return manifest.referenced_glasses(fx.inputs(spark, sf_dir)).select("id")
+
+
+STAGES = [("glasses_video", "object_tracking", 32), ("glasses_video", "face_detection", 8), ("fixed_video", "object_tracking", 16)]
+
+
+@query(f"SELECT i.id, i.kind, p.step, p.keep FROM ({fx.INPUTS}) i JOIN (VALUES {', '.join(map(str, STAGES))}) p(kind, step, keep) ON i.kind = p.kind")
+def settings_join(spark, sf_dir):
+    return manifest.with_settings(fx.inputs(spark, sf_dir), spark.createDataFrame(STAGES, "kind string, step string, keep int")).select("id", "kind", "step", "keep")
+
+
+@query(f"SELECT id FROM ({fx.INPUTS}) i WHERE id NOT IN (SELECT id FROM ({fx.INPUTS}) d WHERE time_offset > 2)")
+def pending_inputs(spark, sf_dir):
+    rows = fx.inputs(spark, sf_dir).withColumnsRenamed({"id": "input_id", "kind": "input_kind"})
+    return sources.pending_inputs(rows, rows.where("time_offset > 2").select("input_kind", "input_id")).select(F.col("input_id").alias("id"))
+
+
+@query(f"SELECT kind, replace(short_id, 'in-1', 'in/1') AS id, 'bad id' AS problem FROM ({fx.INPUTS}) i WHERE short_id LIKE 'in-1%'")
+def input_violations(spark, sf_dir):
+    rows = fx.inputs(spark, sf_dir).withColumn("id", F.regexp_replace("short_id", "in-1", "in/1"))
+    return manifest.violations(rows.select("id", "kind"))
+
+
+@query(f"SELECT id, 'data/' || id || '.mp4' AS stored, '/exp/data/' || id || '.mp4' AS resolved FROM ({fx.INPUTS}) i")
+def path_resolution(spark, sf_dir):
+    rows = fx.inputs(spark, sf_dir).withColumn("resolved", manifest.resolve(F.concat(F.lit("data/"), "id", F.lit(".mp4")), F.lit("/exp/")))
+    return rows.select("id", manifest.store(F.col("resolved"), F.lit("/exp")).alias("stored"), "resolved")
+
+
+@query(f"SELECT DISTINCT id FROM (SELECT short_id AS id FROM ({fx.INPUTS}) i) j")
+def distinct_ids(spark, sf_dir):
+    return manifest.distinct_ids(fx.inputs(spark, sf_dir).select(F.col("short_id").alias("id")))
+
+
+@query(f"SELECT event_id, gaze_video_time, gaze_x FROM ({fx.GAZE_DUCK}) g WHERE gaze_x IS NOT NULL")
+def gaze_valid(spark, sf_dir):
+    return fx.gaze(spark, sf_dir).where("gaze_x is not null").select("event_id", "gaze_video_time", "gaze_x")
+
+
+@query(f"""SELECT participant, count(*) AS samples, count(gaze_x) AS valid, count(*) - count(gaze_x) AS missing, min(gaze_video_time) AS first_time, max(gaze_video_time) AS last_time,
+  max(step) AS largest_step, CAST(sum(step) AS BIGINT) AS total_step FROM (SELECT g.*, gaze_video_time - lag(gaze_video_time) OVER (PARTITION BY participant ORDER BY gaze_video_time) AS step FROM ({fx.GAZE_DUCK}) g) s GROUP BY participant""")
+def gaze_summary(spark, sf_dir):
+    return timeline.gaze_summary(fx.gaze(spark, sf_dir))
+
+
+INPUT_OF = "'Supplier#' || lpad(CAST(frame % 10 + 1 AS STRING), 9, '0')"
+
+
+@query(f"SELECT t.frame, t.track_id, t.frame / 25.0 + i.time_offset AS t_exp FROM ({fx.TRACKS}) t JOIN ({fx.INPUTS}) i ON {INPUT_OF.replace('frame', 't.frame')} = i.id")
+def timeline_projection(spark, sf_dir):
+    rows = fx.tracks(spark, sf_dir).withColumn("input_id", F.expr(INPUT_OF))
+    return timeline.on_timeline(rows, fx.inputs(spark, sf_dir).withColumnRenamed("id", "input_id")).select("frame", "track_id", "t_exp")
+
+
+FRAMES = f"SELECT DISTINCT frame, frame % 150 AS participant, frame * 170000 AS gaze_video_time FROM ({fx.TRACKS}) t"
+
+
+@query(f"""SELECT frame, participant, gaze_video_time, sample_time, gaze_x FROM (SELECT f.*, g.gaze_video_time AS sample_time, g.gaze_x, row_number() OVER (PARTITION BY f.frame ORDER BY g.gaze_video_time DESC NULLS LAST, g.gaze_x DESC NULLS LAST) AS rn
+  FROM ({FRAMES}) f LEFT JOIN ({fx.GAZE_DUCK}) g ON f.participant = g.participant AND g.gaze_video_time <= f.gaze_video_time AND g.gaze_video_time >= f.gaze_video_time - 36000000) r WHERE rn = 1""")
+def gaze_frame_asof(spark, sf_dir):
+    frames = fx.made(spark, sf_dir, FRAMES, "lineitem")
+    return timeline.asof(frames, fx.gaze(spark, sf_dir), ["participant"], "gaze_video_time", 36_000_000, ["gaze_x"])
+
+
+@query(f"""SELECT event_id, frame, track_id FROM (SELECT g.event_id, t.frame, t.track_id, row_number() OVER (PARTITION BY g.event_id ORDER BY (x2-x1)*(y2-y1), track_id) AS rn
+  FROM (SELECT event_id, event_id % 15000 AS frame, gaze_x, gaze_y FROM ({fx.GAZE_DUCK}) z) g JOIN ({fx.TRACKS}) t ON g.frame = t.frame AND gaze_x BETWEEN x1 AND x2 AND gaze_y BETWEEN y1 AND y2) r WHERE rn = 1""")
+def gaze_hit(spark, sf_dir):
+    points = fx.gaze(spark, sf_dir).select("event_id", (F.col("event_id") % 15000).alias("frame"), "gaze_x", "gaze_y")
+    return timeline.gaze_hits(points, fx.tracks(spark, sf_dir), ["frame"]).select("event_id", "frame", "track_id")
+
+
+SPANS = f"SELECT DISTINCT frame, frame % 150 AS audio_id, CAST(frame // 150 AS DOUBLE) * 0.4 AS f_start, CAST(frame // 150 AS DOUBLE) * 0.4 + 0.4 AS f_end FROM ({fx.TRACKS}) t"
+
+
+@query(f"SELECT s.audio_id, s.turn, f.frame FROM ({fx.SEGMENTS}) s JOIN ({SPANS}) f ON s.audio_id = f.audio_id AND s.seg_start < f.f_end AND f.f_start < s.seg_end AND s.seg_end > s.seg_start")
+def segment_overlap(spark, sf_dir):
+    frames = fx.made(spark, sf_dir, SPANS.replace("frame // 150", "frame div 150"), "lineitem")
+    return timeline.segment_frames(fx.segments(spark, sf_dir), frames, "audio_id").select("audio_id", "turn", "frame")
+
+
+@query(f"SELECT s.audio_id, s.turn, i.glasses_video AS participant_input FROM (SELECT 'Supplier#' || lpad(CAST(audio_id % 50 + 1 AS STRING), 9, '0') AS audio_id, turn FROM ({fx.SEGMENTS}) z) s LEFT JOIN (SELECT * FROM ({fx.INPUTS}) j WHERE kind = 'audio') i ON s.audio_id = i.id")
+def audio_attribution(spark, sf_dir):
+    rows = fx.segments(spark, sf_dir).withColumn("audio_id", F.expr("'Supplier#' || lpad(CAST(audio_id % 50 + 1 AS STRING), 9, '0')"))
+    return timeline.attribute_audio(rows, fx.inputs(spark, sf_dir)).select("audio_id", "turn", "participant_input")
+
+
+@query(f"SELECT k AS input_id, count(*) AS n, min(frame / 25.0 + i.time_offset) AS t_first, count(conf) AS n_conf FROM (SELECT frame, conf, 'Supplier#000000003' AS k FROM ({fx.TRACKS}) t UNION ALL SELECT frame, NULL, 'Supplier#000000006' FROM ({fx.FACES}) f) u JOIN ({fx.INPUTS}) i ON u.k = i.id GROUP BY k")
+def experiment_union(spark, sf_dir):
+    tables = {"Supplier#000000003": fx.tracks(spark, sf_dir), "Supplier#000000006": fx.faces(spark, sf_dir).select("frame", "track_id", "score")}
+    rows = timeline.experiment_table(tables, fx.inputs(spark, sf_dir).withColumnRenamed("id", "input_id"))
+    return rows.groupBy("input_id").agg(F.count("*").alias("n"), F.min("t_exp").alias("t_first"), F.count("conf").alias("n_conf"))
+
+
+MEANS = f"SELECT track_id, i, avg(x) AS x FROM (SELECT track_id, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM ({fx.EMBEDDINGS}) e) u GROUP BY track_id, i"
+PAIRS = f"""SELECT a, b, cosine FROM (SELECT p.track_id AS a, q.track_id AS b, round(sum(p.x * q.x) / (sqrt(sum(p.x * p.x)) * sqrt(sum(q.x * q.x))), 6) AS cosine FROM ({MEANS}) p JOIN ({MEANS}) q ON p.i = q.i AND p.track_id < q.track_id GROUP BY 1, 2) c WHERE cosine >= 0.1"""
+
+
+@query(PAIRS)
+def identity_pairs(spark, sf_dir):
+    means = vectors.track_means(fx.embeddings(spark, sf_dir), ["track_id"])
+    return vectors.identity_pairs(means, 0.1 - 5e-7).withColumn("cosine", F.round("cosine", 6)).where("cosine >= 0.1")
+
+
+@query(f"WITH RECURSIVE e AS (SELECT a, b FROM ({PAIRS}) p UNION SELECT b, a FROM ({PAIRS}) q), r(node, id) AS (SELECT DISTINCT CAST(label AS BIGINT), CAST(label AS BIGINT) FROM embeddings UNION SELECT e.b, r.id FROM r JOIN e ON r.node = e.a) SELECT node AS track_id, min(id) AS identity FROM r GROUP BY node")
+def identity_clusters(spark, sf_dir):
+    means = vectors.track_means(fx.embeddings(spark, sf_dir), ["track_id"])
+    return vectors.identities(means, vectors.identity_pairs(means, 0.1 - 5e-7).where(F.round("cosine", 6) >= 0.1))
+
+
+@query(f"SELECT frame, track_id, cand_id, score FROM ({FACE}) f")
+def model_candidates(spark, sf_dir):
+    """Crops scored by a stub model in Arrow batches; its candidates are then chosen from."""
+    crops_with = fx.faces(spark, sf_dir)
+
+    def load():
+        return lambda batch: batch.assign(score=batch["score"])
+
+    scored = geometry.apply_model(crops_with, load, crops_with.schema.simpleString()[7:-1].replace(":", " "))
+    return geometry.best_face(scored, 0.5).select("frame", "track_id", "cand_id", "score")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many detections of each track have a face?"""
+    return face_summary(spark, sf_dir)

@@ -1,0 +1,104 @@
+"""Passes as streams: frames are staged as they come; a pass becomes visible when it is committed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.detections import flatten_faces, flatten_poses, flatten_tracks, join_faces, join_poses, keys_of
+from ..operators.embeddings import top_k
+from ..schemas import RAW_FACES, RAW_POSES, RAW_TRACKS
+from ..sources import delete, exists, write_results
+
+RAW = {"tracking": RAW_TRACKS, "faces": RAW_FACES, "poses": RAW_POSES}
+
+
+def raw_schema(kind: str) -> str:
+    return f"input_kind string, input_id string, {RAW[kind]}"
+
+
+def read_frames(spark: SparkSession, path: str, kind: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of per-frame results of a pass, from Parquet files that arrive at ``path``."""
+    return spark.readStream.schema(raw_schema(kind)).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def staging_path(staging: str, kind: str, run_id: str) -> str:
+    return f"{staging}/{kind}/run_id={run_id}"
+
+
+def ingest(frames: DataFrame, staging: str, kind: str, run_id: str) -> StreamingQuery:
+    """Append each batch to the run's staging folder; nothing shows in the results. Each batch has a folder of its own, so that a
+    batch run again after a failure replaces itself."""
+    path = staging_path(staging, kind, run_id)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/frames/batch={number}")
+
+    return frames.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def staged(spark: SparkSession, staging: str, kind: str, run_id: str) -> DataFrame:
+    path = f"{staging_path(staging, kind, run_id)}/frames"
+    return spark.read.schema(raw_schema(kind)).parquet(path) if exists(spark, path) else spark.createDataFrame([], raw_schema(kind))
+
+
+def commit(spark: SparkSession, staging: str, kind: str, run_id: str, results: str) -> None:
+    """Make a finished run visible: tracks replace an input's results, faces and poses are joined onto its tracks."""
+    raw = staged(spark, staging, kind, run_id)
+    if kind == "tracking":
+        rows = flatten_tracks(raw)
+    else:
+        inputs = raw.select("input_kind", "input_id").distinct()
+        tracks = spark.read.parquet(results).join(inputs, ["input_kind", "input_id"], "left_semi")
+        rows = join_faces(tracks, flatten_faces(raw)) if kind == "faces" else join_poses(tracks, flatten_poses(raw))
+        rows = _apart(rows, f"{staging_path(staging, kind, run_id)}/joined")  # it replaces the partitions that it reads
+    write_results(rows, results)
+    discard(spark, staging, kind, run_id)
+
+
+def _apart(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, staging: str, kind: str, run_id: str) -> None:
+    """Roll a run back (or clean up after it): results stay as they are."""
+    delete(spark, staging_path(staging, kind, run_id))
+
+
+def keep_top_k(scored: DataFrame, state: str, checkpoint: str, k: int) -> StreamingQuery:
+    """Keep the k best rows of each track of a stream (scores without the exact tie rule, which needs the whole history: that
+    runs at commit). Each batch writes a new state from the one before."""
+    spark = scored.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        before = f"{state}/epoch={number - 1}"
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(before)) if exists(spark, before) else batch
+        top_k(rows, k).write.mode("overwrite").parquet(f"{state}/epoch={number}")
+        if number > 1:
+            delete(spark, f"{state}/epoch={number - 2}")
+
+    return scored.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_view(frames: DataFrame, stored: DataFrame) -> DataFrame:
+    """A stream of frames with the boxes already stored for each (null where there are none)."""
+    keys = [k for k in keys_of(stored) if k != "track_id"]
+    boxes = stored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("track_id", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    return frames.withColumnRenamed("frame_idx", "frame").join(boxes, keys, "left")
+
+
+def progress(frames: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Of each input the latest frame, and of how many."""
+    latest = frames.groupBy("input_id").agg(F.max("frame_idx").alias("latest"))
+    return latest.join(totals, "input_id", "left") if totals is not None else latest
+
+
+def watch(frames: DataFrame, tell, checkpoint: str) -> StreamingQuery:
+    """Call ``tell`` with the latest frame of each input (a row for each input) after each batch."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        tell({r["input_id"]: r["latest"] for r in progress(batch).collect()})
+
+    return frames.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
