@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def read_tolerant(spark: SparkSession, paths: dict[str, str]) -> DataFrame | Non
     for input_id, path in sorted(paths.items()):
         try:
             found.append(read_results(spark, path).withColumn("input_id", F.lit(input_id)))
-        except (PySparkException, ValueError) as e:
+        except (PySparkException, Py4JJavaError, ValueError) as e:
             warnings.warn(f"no results for {input_id}: {str(e).splitlines()[0]}", stacklevel=2)
     return stack(found) if found else None
 
