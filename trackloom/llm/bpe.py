@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Fixed value: no pair to merge.
 NONE = np.int32(2**31 - 1)
 #: Parts of texts that a Python worker keeps encoded.
-CACHE = 600_000
+CACHE = 150_000
 _made: dict = {}
 
 

@@ -247,7 +247,7 @@ def _stems(sample: DataFrame) -> DataFrame:
                             x = n.setdefault((stem, toxic[i]), [0, 0])
                             x[0] += m
                             x[1] += 1
-                if len(n) > 300_000:
+                if len(n) > 100_000:
                     yield made(n)
                     n = {}
         yield made(n)
