@@ -65,7 +65,7 @@ def test_clean_keeps_columns_and_empty_tables(spark, tables):
     docs, items, d, b = tables
     from pyspark.sql import functions as F
 
-    wide = d.withColumn("lang", F.lit("en"))
+    wide = d.withColumns({"lang": F.lit("en"), "n_words": F.lit(1), "spans": F.lit("x")})
     kept = D.clean(wide, b)
     assert kept.columns == wide.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute(docs, items) if not r[5])

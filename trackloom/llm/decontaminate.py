@@ -30,7 +30,7 @@ from .shared import ALNUM, GRAM, Words, fits, grams, list_column, mix, text_bloc
 WIDTH, SHINGLE, BLOCK_WORDS = 10, 3, 1_000_000
 
 
-def windows(items: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, column: str = "text", key: str = "item_id") -> DataFrame:
+def windows(items: DataFrame, width: int = WIDTH, column: str = "text", key: str = "item_id") -> DataFrame:
     """(item_id, words array<long>): the distinct windows of each item, as hashes of their words."""
 
     def run(batches):
@@ -129,7 +129,7 @@ def _count(docs: DataFrame, wanted, column: str) -> DataFrame:
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, column: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: key, ``keep``, n_words, spans array<struct<first, last>> (words hit, last exclusive, merged), item_ids array<long>."""
     sc = docs.sparkSession.sparkContext
-    found = windows(items, width, shingle).withColumn("n", F.size("words"))
+    found = windows(items, width).withColumn("n", F.size("words"))
     total = found.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     cut = F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks))
@@ -204,4 +204,7 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents in which no window occurs, with all their columns: those of ``docs``, in its order."""
     names = docs.columns
-    return find(docs, items, key=key, keep=tuple(c for c in names if c != key)).where(F.size("spans") == 0).select(*names)
+    own = docs.toDF(*(f"_c{i}" for i in range(len(names))))  # whatever they are called, no column clashes with those of find
+    at = lambda name: f"_c{names.index(name)}"
+    found = find(own, items, column=at("text"), key=at(key), keep=tuple(c for c in own.columns if c != at(key)))
+    return found.where(F.size("spans") == 0).select(*own.columns).toDF(*names)
