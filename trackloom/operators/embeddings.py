@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, present, to_half
+from ..sources.shared import stow
 from .detections import keys_of
 
 
@@ -65,12 +64,11 @@ def track_means(df: DataFrame, keys=None) -> DataFrame:
     return mean.withColumn("mean", F.transform("mean", lambda x: x / norm))
 
 
-def identity_pairs(means: DataFrame, least: float, key: str = "track_id", cells: int = 0, planes: int = 8) -> DataFrame:
-    """(a, b, cosine) of tracks with a cosine of at least ``least``, a < b.
+def identity_pairs(means: DataFrame, least: float, key: str = "track_id") -> DataFrame:
+    """(a, b, cosine) of tracks with a cosine of at least ``least``, a < b; means of length 1.
 
-    Tracks meet by the dimension of their largest component and its neighbours: a vector of length 1 and its partner at cosine c
-    share a direction only if |a - b|**2 <= 2 - 2c, so a bucket on one coordinate, wide as that distance, holds every partner
-    in itself or beside it.
+    Then |a - b| ** 2 <= 2 - 2 * least, and no coordinate differs by more than the root of that: with buckets of this width on the
+    first coordinate, every partner is in a track's own bucket or beside it, and the second coordinate is compared before the cosine.
     """
     width = (2 - 2 * least) ** 0.5 + 1e-9
     rows = means.select(F.col(key), "mean", F.floor(F.col("mean")[0] / width).alias("cell"), F.floor(F.get("mean", F.lit(1)) / width).alias("row"))
@@ -82,21 +80,11 @@ def identity_pairs(means: DataFrame, least: float, key: str = "track_id", cells:
 
 def identities(means: DataFrame, pairs: DataFrame, key: str = "track_id", most_rounds: int = 40) -> DataFrame:
     """(key, identity): connected tracks share the smallest key among them. Labels are written to the shared folder each round."""
-    spark = means.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     edges = pairs.select("a", "b").union(pairs.select("b", "a"))
-
-    def kept(df: DataFrame) -> DataFrame:
-        if not folder:
-            return df.checkpoint()
-        path = f"{folder.rstrip('/')}/identities-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     labels = means.select(F.col(key).alias("node"), F.col(key).alias("identity"))
     for _ in range(most_rounds):
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("identity").alias("near"))
-        step = kept(labels.join(near, labels["node"] == near["a"], "left").select("node", "identity", F.least("identity", "near").alias("next")))
+        step = stow(labels.join(near, labels["node"] == near["a"], "left").select("node", "identity", F.least("identity", "near").alias("next")), "identities")
         labels = step.select("node", F.col("next").alias("identity"))
         if not step.where("next <> identity").limit(1).count():
             return labels.withColumnRenamed("node", key)

@@ -23,7 +23,8 @@ def check_results(df: DataFrame) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return check_results(spark.read.parquet(path))
+    """Results of all inputs at ``path``; inputs may have had different passes, so their columns are put together."""
+    return check_results(spark.read.option("mergeSchema", "true").parquet(path))
 
 
 def empty_embeddings(spark: SparkSession) -> DataFrame:

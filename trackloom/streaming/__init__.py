@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.detections import flatten_faces, flatten_poses, flatten_tracks, join_faces, join_poses, keys_of
 from ..operators.embeddings import top_k
 from ..schemas import RAW_FACES, RAW_POSES, RAW_TRACKS
-from ..sources import delete, exists, write_results
+from ..sources import delete, exists, read_results, write_results
 
 RAW = {"tracking": RAW_TRACKS, "faces": RAW_FACES, "poses": RAW_POSES}
 
@@ -50,7 +50,7 @@ def commit(spark: SparkSession, staging: str, kind: str, run_id: str, results: s
         rows = flatten_tracks(raw)
     else:
         inputs = raw.select("input_kind", "input_id").distinct()
-        tracks = spark.read.parquet(results).join(inputs, ["input_kind", "input_id"], "left_semi")
+        tracks = read_results(spark, results).join(inputs, ["input_kind", "input_id"], "left_semi")
         rows = join_faces(tracks, flatten_faces(raw)) if kind == "faces" else join_poses(tracks, flatten_poses(raw))
         rows = _apart(rows, f"{staging_path(staging, kind, run_id)}/joined")  # it replaces the partitions that it reads
     write_results(rows, results)
