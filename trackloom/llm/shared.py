@@ -1,4 +1,4 @@
-"""Helpers that the operators share: Arrow text blocks, word hashes, tables written between jobs, components.
+"""Helpers that the operators share: Arrow text blocks, word hashes, components.
 
 The numpy helpers work on the raw buffers of an Arrow string column. A block holds whole texts of about
 ``BLOCK_BYTES`` together (a longer text is a block of its own), so the memory of a task follows the block, not the
@@ -7,8 +7,6 @@ partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stow
+
 BLOCK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -34,25 +34,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        found = tempfile.mkdtemp(prefix="trackloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stow(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -118,7 +99,7 @@ class Words:
         size = self.ends - self.starts
         skip = np.cumsum(size) - size
         place = np.arange(int(size.sum())) - np.repeat(skip, size)
-        value = BYTE_CODE[self.low[word]] * PLACE[place & 4095] + (place >> 12).astype(np.uint64)
+        value = BYTE_CODE[self.low[word]] * PLACE[place & 4095] * (2 * (place >> 12) + 1).astype(np.uint64)
         return mix(np.add.reduceat(value, skip) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +112,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(len(h), np.uint64)
     out = np.zeros(len(h), np.uint64)
     for j in range(n):
-        out[: len(h) - n + 1] += h[j : len(h) - n + 1 + j] * GRAM[j % 64] + np.uint64(j // 64)
+        out[: len(h) - n + 1] += h[j : len(h) - n + 1 + j] * GRAM[j % 64] * np.uint64(2 * (j // 64) + 1)
     return mix(out)
 
 
