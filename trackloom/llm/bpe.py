@@ -184,6 +184,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, column: str = "text", into:
                 batch = whole.slice(k, 500)
                 texts = [t or "" for t in batch.column(column).to_pylist()]
                 yield _add(batch, into, pa.array(coder.encode(texts), pa.binary()))
+        coder.cache.clear()  # an idle worker keeps no texts
 
     return df.mapInArrow(run, _schema(df, into, "binary"))
 
