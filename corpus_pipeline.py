@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, decontaminate, neardup, secrets, toxicity
 from trackloom.llm.queries import VOCABULARY
-from trackloom.llm.shared import read, stow
+from trackloom.llm.shared import bound_batches, read, stow
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return neardup.deduplicate(docs)
 
 
@@ -31,12 +32,14 @@ def not_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     masked = secrets.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, and the digest of the ids and of what they decode to (the same bytes as the text)."""
+    bound_batches(spark)
     path = public_tokenizers.path(VOCABULARY)
     coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
     return coded.select(*docs.columns, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
