@@ -15,6 +15,7 @@ is replaced. Tokenizers are never trained here: the ranks come from a file whose
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 NONE = np.int32(2**31 - 1)
 #: Parts of texts that a Python worker keeps encoded.
 CACHE = 150_000
+#: A space after white space (all that the pattern's \s may match, and a few characters more).
+_MIXED = re.compile(r"\s ").search
 _made: dict = {}
 
 
@@ -129,10 +132,11 @@ class Encoder:
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that the pattern never matches across, cheap to find and often seen before.
 
-        No match runs from a character other than a space into a space, except within a run of white space. So a text
-        without two spaces in a row may be cut before each space; any other text is cut into its matches.
+        No match runs from a character other than white space into a space. So a text whose spaces all follow other
+        characters may be cut before each space; any other text (a space after a line break, a tab, a space) is cut into
+        its matches.
         """
-        if "  " in text:
+        if _MIXED(text):
             return self.split(text)
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)]
