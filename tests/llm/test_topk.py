@@ -31,3 +31,12 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, -1.0]), (2, [3.0, -1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in T.digest(df).collect()) == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 1024 * 1024)]
     assert T.digest(df.limit(0)).count() == 0
+
+
+def test_query_rows_that_repeat(spark):
+    rnd = random.Random(5)
+    near = [(i, [rnd.uniform(0, 1) for _ in range(8)]) for i in range(1, 200)]
+    rows = [(0, [90.0] * 8)] * 11 + [(100, [-90.0] * 8)] * 30 + [(i, e) for i, e in near if i != 100]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in T.search(df, F.col("vec_id") % 100 == 0, pivots=200).collect())
+    assert got == brute(rows) and len(got) == 20

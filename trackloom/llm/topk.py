@@ -3,7 +3,7 @@
 Each component x counts as floor(1024 * x). Pivots (a sample of at most ``PIVOTS`` vectors, documented and bounded) part queries and
 data into cells. Each cell is summed up by its count, its radius (largest distance of a member from the pivot) and its largest
 norm. From these a query has, for each cell, a lower bound of every member's score (q.p - |q| r) and an upper bound
-(the less of q.p + |q| r and |q| * norm). The lower bounds of cells that hold k others together bound the query's
+(the less of q.p + |q| r and |q| * norm). The lower bounds of cells that hold k rows of other ids together bound the query's
 k-th score from below, and the query is sent only to cells whose upper bound reaches it: only the necessary pairs of groups
 meet. A cell is cut into blocks of about ``BLOCK`` rows and its queries into blocks of about ``QUERIES``, so one hot cell (many equal
 vectors) is dealt over many tasks; each pair of blocks is solved locally, and the best k of its blocks are a query's result.
@@ -61,7 +61,7 @@ def cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def route(queries: DataFrame, pivots: np.ndarray, summary: list, k: int) -> DataFrame:
-    """(id, v, cell) of the cells that may hold one of a query's best k."""
+    """(id, v, cell) of the cells that may hold one of a query's best k; ``own`` of ``queries``: how many rows have its id."""
     cell = np.array([r["cell"] for r in summary])
     shared = queries.sparkSession.sparkContext.broadcast((pivots[cell], cell, *(np.array([r[c] for r in summary], float) for c in ("n", "radius", "length"))))
 
@@ -75,7 +75,8 @@ def route(queries: DataFrame, pivots: np.ndarray, summary: list, k: int) -> Data
             middle, slack = q @ p.T, 1e-9 * norm * (length + radius) + 1e-6
             low, high = middle - norm * radius - slack, np.minimum(middle + norm * radius, norm * length) + slack
             order = np.argsort(-low, axis=1)
-            enough = np.cumsum(n[order], axis=1) >= k + 1  # one of them may be the query itself
+            own = batch.column("own").to_numpy()[:, None]
+            enough = np.cumsum(n[order], axis=1) >= k + own  # so many of them may be the query's own rows
             at = np.where(enough.any(1), enough.argmax(1), len(cell) - 1)
             bound = np.where(enough.any(1), np.take_along_axis(low, order, 1)[np.arange(len(q)), at], -np.inf)
             row, c = np.nonzero(high >= bound[:, None])
@@ -109,7 +110,9 @@ def search(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", col
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     placed = stow(cells(rows, chosen), "cells")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("length")).orderBy("cell").collect()  # a row for each pivot
-    routed = stow(route(placed.withColumnRenamed("id", key).where(is_query).select(F.col(key).alias("id"), "v").distinct(), chosen, summary, k), "routed")
+    queries = placed.withColumnRenamed("id", key).where(is_query).select(F.col(key).alias("id"), "v")
+    queries = queries.distinct().join(queries.groupBy("id").agg(F.count("*").alias("own")), "id").select("id", "v", "own")
+    routed = stow(route(queries, chosen, summary, k), "routed")
     asked = {r[0]: r[1] for r in routed.groupBy("cell").count().collect()}
     blocks = F.create_map(*(F.lit(x) for r in summary for x in (r["cell"], max(1, -(-r["n"] // block)))))
     shares = F.create_map(*(F.lit(x) for r in summary for x in (r["cell"], -(-asked.get(r["cell"], 0) // per_block))))
