@@ -49,3 +49,29 @@ def test_empty_tables(spark):
     assert S.digest(docs.limit(0)).count() == 0
     assert S.scan(docs, S.templates(spark).limit(0)).count() == 0
     assert [r.license for r in S.digest(docs).collect()] == ["MIT"]
+
+
+def test_short_templates(spark):
+    docs = spark.createDataFrame([(1, "Words. All rights\nreserved."), (2, "ALL RIGHTS RESERVED"), (3, "all rights are reserved"), (4, "rights reserved"), (5, None), (6, "all rights reserved; all rights reserved")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.share, r.first_word, r.n_windows) for r in S.digest(docs).collect())
+    name = "LicenseRef-All-Rights-Reserved"
+    assert got == [(1, name, 1.0, 1, 1), (2, name, 1.0, 0, 1), (6, name, 1.0, 0, 2)]
+    table = spark.createDataFrame([("one", "Rights"), ("two", "all rights"), ("four", "rights are reserved now"), ("none", "!")], "license string, text string")
+    assert sorted((r.doc_id, r.license) for r in S.scan(docs, table).collect()) == [(1, "one"), (1, "two"), (2, "one"), (2, "two"), (3, "one"), (3, "two"), (4, "one"), (6, "one"), (6, "two")]
+
+
+def test_rest_and_whole_texts(spark):
+    docs = [(i, "w1 w2 " + t + " w3") for i, (_, t) in enumerate(S.REST)]
+    docs += [(10 + i, f.read_text()) for i, f in enumerate(sorted(S.TEXTS.glob("*.txt")))]
+    got = {}
+    for r in S.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.share
+    assert {d: {k for k, x in of.items() if x == 1} for d, of in got.items()} == {0: {"MIT"}, 1: {"BSD-3-Clause"}, 10: {"Apache-2.0"}, 11: {"GPL-3.0"}, 12: {"MPL-2.0"}}
+
+
+def test_share_is_an_average_over_pieces(spark):
+    w = ["t%d" % i for i in range(132)]  # two pieces of 64 shingles
+    table = spark.createDataFrame([("two", " ".join(w))], "license string, text string")
+    near = lambda n: " ".join(w[:64] + w[64 : 68 + n])
+    docs = spark.createDataFrame([(0, " ".join(w)), (1, near(40)), (2, near(20))], "doc_id long, text string")
+    assert {r.doc_id: r.share for r in S.scan(docs, table).collect()} == {0: 1.0, 1: round((1 + 40 / 64) / 2, 6)}

@@ -1,11 +1,13 @@
 """Operator 1: license scans, in DataFrame functions only.
 
-Templates are cut into pieces of at most ``PIECE`` shingles (of five words; a template of fewer words is one shingle of all).
+Templates are cut into pieces of at most ``PIECE`` shingles (of five words; a template of fewer words is one shingle of
+all, compared with the texts' runs of as many words).
 Texts are read in overlapping windows as long as a piece, a quarter of that apart. A window's MinHash signature has ``BANDS`` bands of
 one row: the least value of its shingles under each of as many hash functions. A window as similar as 0.5 to a piece (a piece's worth of
 shingles kept to 0.75, and a shift of up to an eighth) meets it in a band with a chance of 1 - 0.5 ** 8 > 0.996, and several
 windows overlap each occurrence. Retrieved pieces are verified: the share of the template piece's distinct shingles that occur about
-the window must be 0.75 or more; a license is reported with the largest share over its text, and needs all its pieces' shares on average.
+the window must be 0.75 or more on average over all pieces of the template (0 for a piece not retrieved); a license is reported with the
+largest such average of its templates. A whole license counts as several templates if its parts are told apart (its opening, the rest).
 
 A band of one row holds a single shingle, so a window can only meet a piece in a band if it holds the piece's least shingle
 of that band: windows are evaluated where one of those shingles occurs, which is the same result as evaluating all. Those shingles are
@@ -17,6 +19,8 @@ template table gives no rows. The result has one row for each document row and l
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +38,19 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
 ]
+#: Notices of fewer words than a shingle.
+SHORT = [("LicenseRef-All-Rights-Reserved", "All rights reserved.")]
+#: What follows the openings above, and (in files by SPDX name) whole texts.
+REST = [
+    ("MIT", "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+]
+TEXTS = Path(__file__).with_name("license_texts")
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, text string")
+    whole = [(f.stem, f.read_text()) for f in sorted(TEXTS.glob("*.txt"))]
+    return spark.createDataFrame(TEMPLATES + SHORT + REST + whole, "license string, text string")
 
 
 def words(text: Column) -> Column:
@@ -45,10 +58,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
 
 
-def shingles(w: Column) -> Column:
-    """Hashes of the runs of five words of an array."""
+def shingles(w: Column, n: int = SHINGLE) -> Column:
+    """Hashes of the runs of ``n`` words of an array."""
     at = lambda i, k: F.get(w, i + k)
-    return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(at(i, k) for k in range(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(at(i, k) for k in range(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def least_of_band(hashes: Column, band: int) -> Column:
@@ -57,12 +70,15 @@ def least_of_band(hashes: Column, band: int) -> Column:
 
 
 def pieces(table: DataFrame) -> DataFrame:
-    """(license, template, piece, size, pieces, hashes, bands): bands[i] is the shingle that the piece has in band i."""
-    cut = table.where("license is not null and text is not null").dropDuplicates(["license", "text"]).select("license", F.xxhash64("license", "text").alias("template"), words(F.col("text")).alias("w"))
-    cut = cut.withColumn("h", shingles(F.col("w"))).where(F.size("h") > 0)
+    """(license, template, piece, size, pieces, n, hashes, bands): bands[i] is the shingle of n words that the piece has in band i."""
+    cut = table.where("license is not null and text is not null").dropDuplicates(["license", "text"]).select("license", F.xxhash64("license", "text").alias("template"), F.explode(F.array(words(F.col("text")))).alias("w"))  # a generator: see _verify
+    h = shingles(F.col("w"))
+    for n in range(1, SHINGLE):
+        h = F.when(F.size("w") == n, shingles(F.col("w"), n)).otherwise(h)
+    cut = cut.withColumn("n", F.least(F.lit(SHINGLE), F.size("w"))).withColumn("h", h).where(F.size("h") > 0)
     cut = cut.withColumn("pieces", F.ceil(F.size("h") / PIECE).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.withColumn("size", F.ceil(F.size("h") / F.col("pieces")).cast("int")).withColumn("hashes", F.slice("h", F.col("piece") * F.col("size") + 1, F.col("size"))).where(F.size("hashes") > 0)
-    return cut.select("license", "template", "piece", F.size("hashes").alias("size"), "pieces", F.array_distinct("hashes").alias("hashes"), F.array(*(least_of_band(F.col("hashes"), b) for b in range(BANDS))).alias("bands"))
+    return cut.select("license", "template", "piece", F.size("hashes").alias("size"), "pieces", "n", F.array_distinct("hashes").alias("hashes"), F.array(*(least_of_band(F.col("hashes"), b) for b in range(BANDS))).alias("bands"))
 
 
 def scan(docs: DataFrame, table: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -78,24 +94,27 @@ def scan(docs: DataFrame, table: DataFrame, key: str = "doc_id", column: str = "
 
 
 def _scan(docs: DataFrame, made: DataFrame, key: str, column: str) -> DataFrame:
-    wanted = [r[0] for r in made.select(F.explode("bands")).distinct().collect()]  # about BLOCK values
+    wanted: dict[int, list[int]] = {SHINGLE: [0]}
+    for r in made.select("n", F.explode("bands").alias("seed")).distinct().collect():  # about BLOCK values
+        wanted.setdefault(r["n"], []).append(r["seed"])
     own = docs.select(F.col(key).alias("key"), words(F.col(column)).alias("w"))
-    own = own.withColumn("h", shingles(F.col("w"))).drop("w")
-    at = F.filter(F.transform("h", lambda h, i: F.when(h.isin(wanted or [0]), i)), lambda i: i.isNotNull())
-    own = own.withColumn("at", at)
-    seeds = made.select("license", "template", "piece", "pieces", "size", "hashes", F.posexplode("bands").alias("band", "seed"))
-    by_seed = seeds.groupBy("seed").agg(F.collect_list(F.struct("license", "template", "piece", "pieces", "size", "hashes", "band")).alias("of")).collect()
+    own = own.select("key", *(shingles(F.col("w"), n).alias("h" if n == SHINGLE else f"h{n}") for n in wanted))
+    none = F.lit(None).cast("struct<i:int,seed:bigint>")
+    at = lambda n: F.filter(F.transform("h" if n == SHINGLE else f"h{n}", lambda h, i: F.when(h.isin(wanted[n]), F.struct(i.alias("i"), h.alias("seed"))).otherwise(none)), lambda x: x.isNotNull())
+    own = own.withColumn("at", F.concat(*(at(n) for n in wanted))).select("key", "h", "at")
+    seeds = made.select("license", "template", "piece", "pieces", "size", "n", "hashes", F.posexplode("bands").alias("band", "seed"))
+    by_seed = seeds.groupBy("seed").agg(F.collect_list(F.struct("license", "template", "piece", "pieces", "size", "n", "hashes", "band")).alias("of")).collect()
     return _verify(own, by_seed, key)
 
 
 def _verify(own: DataFrame, by_seed: list, key: str) -> DataFrame:
     spark = own.sparkSession
     rows = [(r["seed"], [tuple(x) for x in r["of"]]) for r in by_seed]
-    kind = "array<struct<license:string,template:bigint,piece:int,pieces:int,size:int,hashes:array<bigint>,band:int>>"
+    kind = "array<struct<license:string,template:bigint,piece:int,pieces:int,size:int,n:int,hashes:array<bigint>,band:int>>"
     # explode_outer, and a filter on its output: a filter on the arrays would be pushed below the projections that make them,
     # and split the text anew for each of its words
-    found = own.withColumn("row", F.monotonically_increasing_id()).select("key", "row", "h", F.explode_outer("at").alias("i")).where("i is not null")
-    found = found.withColumn("seed", F.get("h", F.col("i")))
+    found = own.withColumn("row", F.monotonically_increasing_id()).select("key", "row", "h", F.explode_outer("at").alias("a")).where("a is not null")
+    found = found.select("key", "row", "h", F.col("a.i").alias("i"), F.col("a.seed").alias("seed"))
     found = found.join(F.broadcast(spark.createDataFrame(rows, f"seed bigint, of {kind}")), "seed").select("key", "row", "h", "i", "seed", F.explode("of").alias("p"))
     step = F.greatest(F.lit(1), F.floor(F.col("p.size") / 4)).cast("int")
     first, last = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("p.size") + 1) / step)).cast("int"), F.floor(F.col("i") / step).cast("int")
@@ -103,11 +122,13 @@ def _verify(own: DataFrame, by_seed: list, key: str) -> DataFrame:
     begin = F.col("g") * F.col("step")
     window = F.slice("h", begin + 1, F.col("p.size"))
     least = F.array_min(F.transform(window, lambda h: F.struct(F.xxhash64(h, F.col("p.band")).alias("x"), h.alias("h"))))["h"]
-    met = found.withColumn("begin", begin).where(least == F.col("seed"))
+    short = F.col("p.n") < SHINGLE  # its seed is all of it
+    met = found.withColumn("begin", begin).where(short | (least == F.col("seed")))
     about = F.slice("h", F.greatest(F.lit(0), F.col("begin") - F.col("step")) + 1, F.col("p.size") + 2 * F.col("step"))
-    share = F.size(F.array_intersect("p.hashes", about)) / F.size("p.hashes")
-    met = met.select("key", "row", "begin", F.col("p.license").alias("license"), F.col("p.template").alias("template"), F.col("p.piece").alias("piece"), F.col("p.pieces").alias("pieces"), share.alias("share")).where(F.col("share") >= SHARE)
-    best = met.groupBy("row", "key", "license", "template", "pieces", "piece").agg(F.max("share").alias("share"), F.min("begin").alias("begin"), F.countDistinct("begin").alias("windows"))
+    share = F.when(short, 1.0).otherwise(F.size(F.array_intersect("p.hashes", about)) / F.size("p.hashes"))
+    met = met.select("key", "row", "begin", F.col("p.license").alias("license"), F.col("p.template").alias("template"), F.col("p.piece").alias("piece"), F.col("p.pieces").alias("pieces"), share.alias("share")).where((F.col("pieces") > 1) | (F.col("share") >= SHARE))
+    good = F.when(F.col("share") >= SHARE, F.col("begin"))  # of a piece without such a window, its best one counts
+    best = met.groupBy("row", "key", "license", "template", "pieces", "piece").agg(F.max("share").alias("share"), F.coalesce(F.min(good), F.min_by("begin", F.struct(-F.col("share"), "begin"))).alias("begin"), F.greatest(F.lit(1), F.countDistinct(good)).alias("windows"))
     whole = best.groupBy("row", "key", "license", "template", "pieces").agg(F.sum("share").alias("total"), F.min("begin").alias("begin"), F.sum("windows").alias("windows")).where(F.col("total") >= SHARE * F.col("pieces"))
     return whole.groupBy("row", "key", "license").agg(F.max(F.col("total") / F.col("pieces")).alias("share"), F.min("begin").cast("long").alias("first_word"), F.sum("windows").cast("long").alias("n_windows")).select(F.col("key").alias(key), "license", F.round("share", 6).alias("share"), "first_word", "n_windows")
 
