@@ -1,4 +1,4 @@
-"""Helpers that the operators share: Arrow text blocks, word hashes, components.
+"""Helpers that the operators share: Arrow text blocks, word hashes.
 
 The numpy helpers work on the raw buffers of an Arrow string column. A block holds whole texts of about
 ``BLOCK_BYTES`` together (a longer text is a block of its own), so the memory of a task follows the block, not the
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import stow
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -53,7 +53,10 @@ def held_out(doc_id="doc_id"):
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond it Spark's own choice (a shuffled join) stands."""
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond it Spark's own choice (a shuffled join) stands.
+
+    For tables of a few numbers or short keys a row, so that the rows bound the bytes.
+    """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -133,23 +136,3 @@ def fits(first: np.ndarray, n: int) -> np.ndarray:
 
 def list_column(values: np.ndarray, counts, kind: pa.DataType = pa.int64()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
-
-    Each round takes the smallest label among a node and its neighbours, then jumps to that label's own label, so long
-    chains shrink by halves. Tables are written to the shared folder after each round; only counts reach the driver.
-    """
-    both = stow(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = stow(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        after = stow(step.join(jump, "low", "left").select("node", "label", F.least("low", "far").alias("next")), "labels")
-        changed = after.where("next <> label").limit(1).count()
-        labels = after.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
