@@ -12,6 +12,10 @@ largest such average of its templates. A whole license counts as several templat
 A band of one row holds a single shingle, so a window can only meet a piece in a band if it holds the piece's least shingle
 of that band: windows are evaluated where one of those shingles occurs, which is the same result as evaluating all. Those shingles are
 tested as a literal set in blocks of at most ``BLOCK`` (their number is checked; more templates make more blocks, each its own pass).
+With at most PIECE hashes each they bound the broadcast table of pieces too.
+
+Texts are cut into chunks of ``CHUNK`` words, each with the words about it that windows at its edges reach into; a place where a seed occurs
+carries only the shingles about it. So a row's size follows neither the text's length nor the number of its licenses.
 
 Words are runs of letters and digits, lower-cased (ASCII). Null and empty texts match nothing; repeated rows are reported each; an empty
 template table gives no rows. The result has one row for each document row and license found.
@@ -24,7 +28,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, PIECE, BANDS, SHARE, BLOCK = 5, 64, 8, 0.75, 10_000
+SHINGLE, PIECE, BANDS, SHARE, BLOCK, CHUNK = 5, 64, 8, 0.75, 10_000, 2048
+#: Shingles on either side of a seed that its windows, and what is about them, may reach.
+REACH = PIECE + 2 * (PIECE // 4)
 #: Well-known license notices, by SPDX name.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -93,15 +99,32 @@ def scan(docs: DataFrame, table: DataFrame, key: str = "doc_id", column: str = "
     return every
 
 
+def _chunks(w: Column) -> Column:
+    """array<struct<first, last, base, w>>: seeds are looked for at the words first .. last - 1; ``w`` begins at word ``base``."""
+    side = REACH + SHINGLE
+    base = lambda first: F.greatest(F.lit(0), first - side)
+    cut = lambda first: F.struct(first.alias("first"), (first + CHUNK).alias("last"), base(first).alias("base"), F.slice(w, base(first) + 1, F.lit(CHUNK + 2 * side)).alias("w"))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - 1), F.lit(CHUNK)), cut)
+
+
 def _scan(docs: DataFrame, made: DataFrame, key: str, column: str) -> DataFrame:
     wanted: dict[int, list[int]] = {SHINGLE: [0]}
     for r in made.select("n", F.explode("bands").alias("seed")).distinct().collect():  # about BLOCK values
         wanted.setdefault(r["n"], []).append(r["seed"])
-    own = docs.select(F.col(key).alias("key"), words(F.col(column)).alias("w"))
-    own = own.select("key", *(shingles(F.col("w"), n).alias("h" if n == SHINGLE else f"h{n}") for n in wanted))
-    none = F.lit(None).cast("struct<i:int,seed:bigint>")
-    at = lambda n: F.filter(F.transform("h" if n == SHINGLE else f"h{n}", lambda h, i: F.when(h.isin(wanted[n]), F.struct(i.alias("i"), h.alias("seed"))).otherwise(none)), lambda x: x.isNotNull())
-    own = own.withColumn("at", F.concat(*(at(n) for n in wanted))).select("key", "h", "at")
+    own = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), words(F.col(column)).alias("w"))
+    own = own.select("key", "row", F.explode(_chunks(F.col("w"))).alias("c")).select("key", "row", "c.first", "c.last", "c.base", F.col("c.w").alias("w"))
+    own = own.select("key", "row", "first", "last", "base", *(shingles(F.col("w"), n).alias(f"h{n}") for n in wanted))
+    kind = "struct<i:int,seed:bigint,at:int,about:array<bigint>>"
+    nothing, none = F.array().cast("array<bigint>"), F.lit(None).cast(kind)
+
+    def places(n: int) -> Column:
+        begin = lambda i: F.greatest(F.lit(0), i - REACH)
+        about = lambda i: F.slice(f"h{SHINGLE}", begin(i) + 1, F.lit(2 * REACH + 1)) if n == SHINGLE else nothing
+        place = lambda h, i: F.struct((i + F.col("base")).alias("i"), h.alias("seed"), (begin(i) + F.col("base")).alias("at"), about(i).alias("about")).cast(kind)
+        inside = lambda i: (i + F.col("base") >= F.col("first")) & (i + F.col("base") < F.col("last"))
+        return F.filter(F.transform(f"h{n}", lambda h, i: F.when(h.isin(wanted[n]) & inside(i), place(h, i)).otherwise(none)), lambda x: x.isNotNull())
+
+    own = own.withColumn("at", F.concat(*(places(n) for n in wanted))).select("key", "row", "at")
     seeds = made.select("license", "template", "piece", "pieces", "size", "n", "hashes", F.posexplode("bands").alias("band", "seed"))
     by_seed = seeds.groupBy("seed").agg(F.collect_list(F.struct("license", "template", "piece", "pieces", "size", "n", "hashes", "band")).alias("of")).collect()
     return _verify(own, by_seed, key)
@@ -113,18 +136,17 @@ def _verify(own: DataFrame, by_seed: list, key: str) -> DataFrame:
     kind = "array<struct<license:string,template:bigint,piece:int,pieces:int,size:int,n:int,hashes:array<bigint>,band:int>>"
     # explode_outer, and a filter on its output: a filter on the arrays would be pushed below the projections that make them,
     # and split the text anew for each of its words
-    found = own.withColumn("row", F.monotonically_increasing_id()).select("key", "row", "h", F.explode_outer("at").alias("a")).where("a is not null")
-    found = found.select("key", "row", "h", F.col("a.i").alias("i"), F.col("a.seed").alias("seed"))
-    found = found.join(F.broadcast(spark.createDataFrame(rows, f"seed bigint, of {kind}")), "seed").select("key", "row", "h", "i", "seed", F.explode("of").alias("p"))
+    found = own.select("key", "row", F.explode_outer("at").alias("a")).where("a is not null").select("key", "row", "a.*")
+    found = found.join(F.broadcast(spark.createDataFrame(rows, f"seed bigint, of {kind}")), "seed").select("key", "row", "i", "seed", "at", "about", F.explode("of").alias("p"))
     step = F.greatest(F.lit(1), F.floor(F.col("p.size") / 4)).cast("int")
     first, last = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("p.size") + 1) / step)).cast("int"), F.floor(F.col("i") / step).cast("int")
-    found = found.select("key", "row", "h", "seed", "p", step.alias("step"), F.explode(F.sequence(first, F.greatest(first, last))).alias("g"))
+    found = found.select("key", "row", "seed", "at", "about", "p", step.alias("step"), F.explode(F.sequence(first, F.greatest(first, last))).alias("g"))
     begin = F.col("g") * F.col("step")
-    window = F.slice("h", begin + 1, F.col("p.size"))
+    window = F.slice("about", begin - F.col("at") + 1, F.col("p.size"))
     least = F.array_min(F.transform(window, lambda h: F.struct(F.xxhash64(h, F.col("p.band")).alias("x"), h.alias("h"))))["h"]
     short = F.col("p.n") < SHINGLE  # its seed is all of it
     met = found.withColumn("begin", begin).where(short | (least == F.col("seed")))
-    about = F.slice("h", F.greatest(F.lit(0), F.col("begin") - F.col("step")) + 1, F.col("p.size") + 2 * F.col("step"))
+    about = F.slice("about", F.greatest(F.lit(0), F.col("begin") - F.col("step")) - F.col("at") + 1, F.col("p.size") + 2 * F.col("step"))
     share = F.when(short, 1.0).otherwise(F.size(F.array_intersect("p.hashes", about)) / F.size("p.hashes"))
     met = met.select("key", "row", "begin", F.col("p.license").alias("license"), F.col("p.template").alias("template"), F.col("p.piece").alias("piece"), F.col("p.pieces").alias("pieces"), share.alias("share")).where((F.col("pieces") > 1) | (F.col("share") >= SHARE))
     good = F.when(F.col("share") >= SHARE, F.col("begin"))  # of a piece without such a window, its best one counts
