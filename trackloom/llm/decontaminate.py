@@ -8,8 +8,8 @@ shingle on the match, must lie within the text) and the length bound (a text sho
 candidates, and those left are verified word by word (64-bit hashes of all words of the window).
 
 Rarity is counted over all documents, for the shingles that occur in items. The windows of a block of items are broadcast
-only up to ``block_words`` words of them; a larger benchmark is cut into blocks by item, each joined in turn, and the
-blocks' spans are merged by document.
+only up to ``block_words`` words of them; a larger benchmark is cut into blocks of windows, each joined in turn, and the
+blocks' spans are merged by text: only texts with a hit are shuffled, without their words.
 
 Defined results: null, empty and wordless texts (documents or items) have no words and no hits; an item with a null
 item_id is skipped; repeated items count once for each distinct item_id; repeated document rows are each reported; an
@@ -134,10 +134,9 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle: int = S
     blocks = max(1, -(-total // block_words))
     cut = F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks))
     same = "_same_text"
+    schema = lambda cols: ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema.fields), "n_words long, spans array<struct<first:long,last:long>>, item_ids array<long>"])
     if blocks > 1:
-        docs, keep = docs.withColumn(same, F.xxhash64(column)), (*keep, same)
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(key, *keep).schema.fields)
-    schema = f"{names}, n_words long, spans array<struct<first:long,last:long>>, item_ids array<long>"
+        docs, keep = docs.withColumn(same, F.md5(F.col(column).cast("binary"))), (*keep, same)
     parts = []
     for b in range(blocks):
         rows = [(r[0], r[1]) for r in found.where(cut == b).select("item_id", "words").collect()]  # about block_words words
@@ -147,16 +146,18 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle: int = S
             wanted.setdefault(q, set()).update(shingles(np.array(words, np.int64).view(np.uint64), q).tolist())
         shared = sc.broadcast({q: np.array(sorted(x), np.uint64) for q, x in wanted.items()})
         counts = {r[0]: r[1] for r in _count(docs, shared, column).collect()} if rows else {}  # as many rows as the block has shingles
-        parts.append(_scan(docs, sc.broadcast(Index(rows, counts, shingle)), schema, column, (key, *keep)))
+        carried = (same,) if b else (key, *keep)
+        parts.append(_scan(docs, sc.broadcast(Index(rows, counts, shingle)), schema(carried), column, carried))
     if blocks == 1:
         return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy(key, *keep, "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.explode(F.sequence(F.lit(1), (F.count("*") / blocks).cast("int"))).alias(same + "_row")
-    )  # equal rows have equal spans: the group gives each of them back
-    return merged.drop(same, same + "_row").withColumn("spans", merge_spans("spans"))
+    # the first block's rows are the result's; of the others only texts with a hit are joined to them, once for each text
+    more = [p.where(F.size("spans") > 0).groupBy(same).agg(F.first("spans").alias("s"), F.first("item_ids").alias("i")) for p in parts[1:]]
+    every = more[0]
+    for m in more[1:]:
+        every = every.union(m)
+    every = every.groupBy(same).agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("i")).alias("i"))
+    merged = parts[0].join(every, same, "left").withColumns({"spans": F.array_sort(F.concat("spans", F.coalesce("s", F.array().cast("array<struct<first:bigint,last:bigint>>")))), "item_ids": F.array_sort(F.array_distinct(F.concat("item_ids", F.coalesce("i", F.array().cast("array<bigint>")))))})
+    return merged.withColumn("spans", merge_spans("spans")).select(key, *(c for c in keep if c != same), "n_words", "spans", "item_ids")
 
 
 def merge_spans(spans: str):
