@@ -42,3 +42,22 @@ def test_extra_columns_and_empty(spark):
     assert [tuple(r)[:5] for r in out.collect()] == [(1, "http://net/", "net", "/", "net/")]
     assert U.judge(pages.limit(0), rules, model).count() == 0
     assert U.judge(pages, rules.limit(0), model).first().rule is None
+
+
+def test_held_out_hosts(spark):
+    """Compounds and made-up names that the table doesn't hold: precision and recall of block."""
+    rules = spark.createDataFrame([], "verdict string, host string, path string")
+    seen = {n for n, _ in U.names()}
+    other = [(n, bad) for n, bad in U.names(5000, 300) if n not in seen]
+    pages = [(i, f"https://{n}.example.org/en/{i}", bad) for i, (n, bad) in enumerate(other)]
+    rows = U.judge(spark.createDataFrame(pages, "page_id long, url string, bad double"), rules, U.train(U.labelled(spark))).collect()
+    right = sum(r.bad == 1 and r.verdict == "block" for r in rows)
+    precision, recall = right / sum(r.verdict == "block" for r in rows), right / sum(r.bad for r in rows)
+    assert sum(r.bad for r in rows) > 100 and precision >= 0.9 and recall >= 0.9, (precision, recall)
+
+
+def test_the_longest_rule_wins_and_ties_go_by_host(spark):
+    rules = spark.createDataFrame([("block", "b.c", "/a"), ("allow", "c", "/abcd"), ("allow", "b.c", ""), ("block", "c", "/ab/")], "verdict string, host string, path string")
+    pages = spark.createDataFrame([(1, "x://b.c/abcd"), (2, "x://b.c/ab/"), (3, "x://c/ab/"), (4, "x://b.c/zz"), (5, "x://a.b.c/ax")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge(pages, rules, U.train(U.labelled(spark, 20))).collect()}
+    assert got == {1: ("c/abcd", "allow"), 2: ("b.c/a", "block"), 3: ("c/ab/", "block"), 4: ("b.c", "allow"), 5: ("b.c/a", "block")}

@@ -3,7 +3,8 @@
 A rule (host, path, verdict) fits its host and all subdomains, if the url's path starts with the rule's path; of the rules that
 fit, the longest (host and path together) decides, ties by host, then path. Where none fits, a logistic regression over
 hashed character n-grams of host and path decides. It is trained on a small labelled table of urls of at most
-``TRAIN_ROWS`` rows (the bound is a parameter); in the query, that table is ``LABELLED`` below.
+``TRAIN_ROWS`` rows (the bound is a parameter); in the query, that table is ``labelled`` below: no labels come with the pages, so the verdicts
+there are as good as its words (held-out figures in the README).
 
 Rules are looked up, not scanned: the suffixes of each distinct host (one for each of its labels) are joined to the rules of
 that suffix, and the rules found for a host are tested, longest first, on the path of each of its urls.
@@ -21,25 +22,63 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAIN_ROWS, BUCKETS, SIZES = 20_000, 1 << 14, (3, 4, 5)
+from .shared import stow
+
+TRAIN_ROWS, BUCKETS, SIZES = 20_000, 1 << 16, (3, 4, 5)
 
 #: The rules of the query: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: A small labelled table: names of hosts and paths of either kind. ``labelled`` makes urls of them.
-BAD = "spam-farm free-bets casino-bonus cheap-pills payday-loans xxx-videos adult-cams click-farm seo-links torrent-crack win-prizes hot-deals fake-watches replica-bags get-rich-quick betting-tips slots-online pills-shop link-exchange spam-mail".split()
-GOOD = "library university news-daily museum weather city-council science-journal open-docs recipes gardening history-archive public-radio schoolbooks railway health-service football-club choir-notes maps bookshop translation".split()
-BAD_PATHS = "/bonus/claim /win/now.html /free/pills /casino/slots /bet/today /xxx/1 /deal?id=9".split()
-GOOD_PATHS = "/en/12 /fr/about /docs/page.html /es/2019/notes /article/77 /de/kapitel/3 /index.html".split()
-
-
-def labelled(spark: SparkSession) -> DataFrame:
-    """(url, bad) from every name with every path of its kind and four domains."""
-    names = lambda kind, hosts, paths: spark.createDataFrame([(h, p, kind) for h in hosts for p in paths], "h string, p string, bad double")
-    both = names(1.0, BAD, BAD_PATHS + GOOD_PATHS).union(names(0.0, GOOD, GOOD_PATHS))
-    domain = F.explode(F.array(*(F.lit(x) for x in (".example.com", ".example.org", ".example.net", ".test"))))
-    front = F.explode(F.array(*(F.lit(x) for x in ("", "www.", "m.", "blog."))))
-    return both.withColumn("d", domain).withColumn("f", front).select(F.concat(F.lit("https://"), "f", "h", "d", "p").alias("url"), "bad")
+#: Words that hosts of either kind are often named by. ``labelled`` makes hosts of them.
+BAD = """casino poker slots betting bets jackpot roulette pills pharmacy viagra payday loans credit xxx porn adult cams escort torrent warez crack keygen replica
+watches bags cheap free bonus win winner prize gift lottery spam click traffic backlinks followers likes cash earn hack deals coupon miracle diet""".split()
+GOOD = """library university school museum gallery archive science physics biology chemistry history weather climate news journal press daily gazette radio city
+council region park garden bakery kitchen recipes travel railway airport hotel bike river mountain lake forest health clinic hospital football club choir
+theatre cinema books reading poetry language translation dictionary maps atlas code software docs forum wiki data open farm""".split()
+#: Paths of spam, and of anything.
+BAD_PATHS = "/bonus/claim /win/now.html /free/pills /casino/slots /bet/today /xxx/1".split()
+ANY_PATHS = "/en/12 /fr/about /docs/page.html /es/2019/notes/ /article/77 /de/kapitel/3 /index.html /".split()
+#: Hosts of each kind, and of hosts with a made-up name that say nothing.
+HOSTS = 400
+_STARTS, _MIDDLES, _ENDS = "b ch d f g h k l m n p r s st t th tr v w".split(), "a e i o u ai ea ou".split(), " n r s l nd st ng".split(" ")
+
+
+def made_up(number: int) -> str:
+    """A name of two or three syllables, by rule."""
+    x, out = number * 2654435761 % 2**32, ""
+    for _ in range(2 + number % 2):
+        for parts in (_STARTS, _MIDDLES, _ENDS):
+            out += parts[x % len(parts)]
+            x = x // len(parts) * 2246822519 % 2**32
+    return out
+
+
+def compound(words: list[str], number: int) -> str:
+    """A host name of two of the words, joined in one of three ways, or of one and a number."""
+    n, turn = len(words), number // len(words)
+    a, b = words[number % n], words[(number * 7 + turn * 11 + 3) % n]
+    return (f"{a}-{b}", f"{a}{b}", f"{a}{number % 90 + 7}", f"{b}-{a}")[turn % 4]
+
+
+def names(first: int = 0, hosts: int = HOSTS) -> list[tuple[str, float]]:
+    """(name, bad) of ``hosts`` hosts of each kind from number ``first`` on; other numbers give other hosts, for tests."""
+    made = [(compound(BAD, k), 1.0) for k in range(first, first + hosts)] + [(compound(GOOD, k), 0.0) for k in range(first, first + hosts)] + [(made_up(k), 0.0) for k in range(first, first + 2 * hosts)]
+    return sorted(set(made))
+
+
+def labelled(spark: SparkSession, hosts: int = HOSTS) -> DataFrame:
+    """(url, bad): hosts of either kind, each with some paths, domains and subdomains; a path of spam makes any url bad.
+
+    The names are put together by rule from common words, and made up: none is taken from the pages that are judged.
+    """
+    domains, fronts = (".example.com", ".example.org", ".example.net", ".test", ".co.uk"), ("", "www.", "m.", "blog.")
+    rows = []
+    for k, (name, bad) in enumerate(names(0, hosts)):
+        for j in range(5):
+            spam = j == 4 and k % 4 == 0
+            path = BAD_PATHS[k % len(BAD_PATHS)] if spam else ANY_PATHS[(k + 3 * j) % len(ANY_PATHS)]
+            rows.append((f"https://{fronts[(k + j) % 4]}{name}{domains[(k // 2 + j) % 5]}{path}", 1.0 if spam else bad))
+    return spark.createDataFrame(rows, "url string, bad double")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -87,7 +126,7 @@ def judge(df: DataFrame, rules: DataFrame, model: PipelineModel, column: str = "
     # rules of all suffixes of the hosts that occur: one row for each distinct host
     hosts = named.select("host").distinct().withColumn("_l", labels)
     suffix = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size("_l")), lambda i: F.array_join(F.slice("_l", i, F.size("_l")), "."))).alias("_suffix"))
-    fitting = suffix.join(by_host, "_suffix").groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("_rules"))).alias("_rules"))
+    fitting = stow(suffix.join(by_host, "_suffix").groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("_rules"))).alias("_rules")), "rules")  # written: a host of very many urls can be split in the join
     fit = named.join(fitting, "host", "left").withColumn("_rule", F.get(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0)))
     scored = model.transform(fit.withColumn("grams", grams(F.col("host"), F.col("path"))))
     score = vector_to_array("p")[1]
