@@ -1,6 +1,6 @@
 """Operator 7: exact top-k search by inner product, as a Voronoi kNN join.
 
-Each component x counts as floor(1024 * x). Pivots (a sample of at most ``PIVOTS`` vectors, documented and bounded) part queries and
+Each component x counts as floor(1024 * x). Pivots (a sample of vectors: the square root of their number, at most ``PIVOTS``) part queries and
 data into cells. Each cell is summed up by its count, its radius (largest distance of a member from the pivot) and its largest
 norm. From these a query has, for each cell, a lower bound of every member's score (q.p - |q| r) and an upper bound
 (the less of q.p + |q| r and |q| * norm). The lower bounds of cells that hold k rows of other ids together bound the query's
@@ -8,16 +8,18 @@ k-th score from below, and the query is sent only to cells whose upper bound rea
 meet. A cell is cut into blocks of about ``BLOCK`` rows and its queries into blocks of about ``QUERIES``, so one hot cell (many equal
 vectors) is dealt over many tasks; each pair of blocks is solved locally, and the best k of its blocks are a query's result.
 
-The result is exact: bounds only save work. Scores are sums of integers, in 64-bit floats while they are exact (below 2 ** 53),
+The result is exact: bounds only save work, as far as the data lie in clusters (vectors that point everywhere alike leave no cell out: README). Scores are sums of integers, in 64-bit floats while they are exact (below 2 ** 53),
 else in 64-bit integers.
 
-Vectors that are null, hold null or non-finite components, have no vec_id or another length than most take no part. Ties go to
-the smaller vec_id; repeated rows are candidates each and one query; fewer than k others give fewer rows; an empty table
+Vectors that are null, hold null or non-finite components or have no vec_id take no part; one shorter than the longest counts as zero in
+the components that it lacks. Ties go to the smaller vec_id; repeated rows are candidates each and one query; fewer than k others give fewer rows; an empty table
 gives none. Columns other than those named are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,16 +27,16 @@ from pyspark.sql import functions as F
 
 from .shared import stow
 
-K, PIVOTS, BLOCK, QUERIES, SCALE = 10, 64, 4096, 2048, 1024
+K, PIVOTS, BLOCK, QUERIES, SCALE = 10, 128, 4096, 2048, 1024
 
 
 def integers(df: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(id, v array<long>) of the vectors that take part."""
     ok = F.forall(column, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     v = F.transform(column, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
-    rows = df.where(F.col(key).isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0) & ok).select(F.col(key).cast("long").alias("id"), v.alias("v"))
-    most = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), "n").first()
-    return rows.where(F.size("v") == (most["n"] if most else 0))
+    rows = df.where(F.col(key).isNotNull() & F.col(column).isNotNull() & ok).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    longest = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0)
+    return rows.select("id", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(longest) - F.size("v"))).alias("v"))
 
 
 def matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -101,18 +103,26 @@ def solve(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def search(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", column: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK, per_block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that ``is_query`` (of ``key``) admits, its k best others."""
-    spark = df.sparkSession
+def routes(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", column: str = "embedding", pivots: int = PIVOTS) -> tuple[DataFrame, list, DataFrame]:
+    """(placed, summary, routed): rows with their cells, a summary of each cell, and the cells that each query is sent to."""
     rows = integers(df, key, column)
+    pivots = min(pivots, max(16, math.isqrt(rows.count())))
     chosen = np.array(sorted({tuple(r[0]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()}), np.float64)
     if not len(chosen):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return rows, [], rows
     placed = stow(cells(rows, chosen), "cells")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("length")).orderBy("cell").collect()  # a row for each pivot
     queries = placed.withColumnRenamed("id", key).where(is_query).select(F.col(key).alias("id"), "v")
     queries = queries.distinct().join(queries.groupBy("id").agg(F.count("*").alias("own")), "id").select("id", "v", "own")
-    routed = stow(route(queries, chosen, summary, k), "routed")
+    return placed, summary, stow(route(queries, chosen, summary, k), "routed")
+
+
+def search(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", column: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK, per_block: int = QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that ``is_query`` (of ``key``) admits, its k best others."""
+    spark = df.sparkSession
+    placed, summary, routed = routes(df, is_query, k, key, column, pivots)
+    if not summary:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     asked = {r[0]: r[1] for r in routed.groupBy("cell").count().collect()}
     blocks = F.create_map(*(F.lit(x) for r in summary for x in (r["cell"], max(1, -(-r["n"] // block)))))
     shares = F.create_map(*(F.lit(x) for r in summary for x in (r["cell"], -(-asked.get(r["cell"], 0) // per_block))))
