@@ -29,7 +29,7 @@ def docs():
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     texts = ["plain words und Übung 🙂 " * 3 + f'Token = "{draw(b64, 30)}" é api_key:{draw(b64, 5)} apikey=abc.def' for _ in range(5)]
     texts += [f"é🙂 {draw(b64, 40)} tail " + draw("0123456789abcdef", 40) + " AKIA" + draw("ABCDEFGHIJ0123456789", 16) for _ in range(20)]
-    texts += [None, "", "token=abcde secret=token:abcdefgh", "AKIAAKIA" + "A" * 15, "AKIA1234", "PASSWORD ' : 'hunter22", "f" * 23 + " " + "e" * 24, "internationalizationofwords " * 30, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "token=abcdefg " * 700]
+    texts += [None, "", "token=abcde secret=token:abcdefgh", "AKIAAKIA" + "A" * 15, "AKIA1234", "PASSWORD ' : 'hunter22", "f" * 23 + " " + "e" * 24, "internationalizationofwords " * 30, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "token=abcdefg " * 700, "=" * 30, "a" + "=" * 40 + " b", "-" * 25 + "_" * 25]
     return [*enumerate(texts), (0, texts[0])]
 
 

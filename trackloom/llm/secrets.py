@@ -11,7 +11,8 @@ table are counted by length class and p-value bin, and the Benjamini-Hochberg ru
 false discoveries. The counts are an aggregate of a fixed number of bins, so nothing grows with the data but the scan.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows and ties are reported as they
-are; an empty table gives an empty result. Long texts with very many matches cost linear time: offsets are summed in blocks.
+are; an empty table gives an empty result. Offsets are summed in blocks of BLOCK matches; the copies of arrays between blocks grow with the
+square of a text's matches (20,000 in one text take seconds). Runs of signs alone (a line of "=") are no strings of an encoding and are never found.
 ``mask`` and ``find`` keep all columns of their input but for those they set (names that begin with two underscores are theirs).
 """
 
@@ -77,7 +78,7 @@ def _tests(get) -> list[dict[str, Column]]:
     body = F.regexp_replace(F.when(hexed, F.lower(v)).otherwise(F.translate(v, "-_", "+/")), "=", "")
     kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "-_=", "++")
     codes, high = get("codes"), get("high")
-    neighbours = lambda x: (F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)))
+    neighbours = lambda x: (F.slice(x, 1, F.greatest(F.lit(0), F.size(x) - 1)), F.slice(x, 2, F.size(x)))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
     square = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter(codes, lambda y: y == x)), F.lit(2)))
     excess = F.greatest(F.lit(1e-9), square * k / n - n) / (k - 1)
@@ -87,11 +88,11 @@ def _tests(get) -> list[dict[str, Column]]:
     changed = F.when(share <= CHANGE, 0.0).when(share >= 1, F.log(F.lit(1 / CHANGE))).otherwise(share * F.log(share / CHANGE) + (1 - share) * F.log((1 - share) / (1 - CHANGE)))
     return [
         {"alphabet": alphabet, "body": body, "kinds": kinds},
-        {"n": F.length(get("body")), "k": F.length(get("alphabet")), "codes": F.transform(F.filter(F.split(get("body"), ""), lambda x: x != ""), lambda x: F.position(x, get("alphabet")) - 1)},
+        {"n": F.greatest(F.lit(2), F.length(get("body"))), "k": F.length(get("alphabet")), "codes": F.transform(F.filter(F.split(get("body"), ""), lambda x: x != ""), lambda x: F.position(x, get("alphabet")) - 1)},
         {
             "high": F.transform(codes, lambda x: (2 * x >= k).cast("int")),
             "mean": total(codes) / n,
-            "share": F.size(F.filter(F.zip_with(*neighbours(F.filter(F.split(get("kinds"), ""), lambda x: x != "")), lambda a, b: a != b), lambda x: x)) / (F.length(get("kinds")) - 1),
+            "share": F.size(F.filter(F.zip_with(*neighbours(F.filter(F.split(get("kinds"), ""), lambda x: x != "")), lambda a, b: a != b), lambda x: x)) / F.greatest(F.lit(1), F.length(get("kinds")) - 1),
         },
         {
             "up": total(high),
@@ -102,7 +103,7 @@ def _tests(get) -> list[dict[str, Column]]:
             "z_chi": (F.pow(excess, F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1))),
             "z_runs": F.when((up > 0) & (up < n), (get("runs") - expected) / spread).otherwise(F.lit(99.0)),
             "z_serial": F.when(vary > 0, total(F.zip_with(*neighbours(codes), lambda a, b: (a - mean) * (b - mean))) / vary * F.sqrt(n - 1)).otherwise(F.lit(99.0)),
-            "bin": F.least(F.lit(BINS), F.floor((F.length(get("kinds")) - 1) * changed * (4 / 2.302585092994046))).cast("int"),
+            "bin": F.least(F.lit(BINS), F.floor(F.greatest(F.lit(0), F.length(get("kinds")) - 1) * changed * (4 / 2.302585092994046))).cast("int"),
             "length_class": F.floor(F.log2(F.length(v) / 20)).cast("int"),
         },
         {"passes": (F.abs(get("z_chi")) <= Z) & (F.abs(get("z_runs")) <= Z) & (F.abs(get("z_serial")) <= Z)},
