@@ -6,7 +6,7 @@ Features are the shares of hashed byte trigrams of the whole text, A-Z lower-cas
 running sum over the bytes.
 
 Training takes only text and non-null lang of rows that ``usable`` admits, at most about ``per_language`` whole texts of each
-language and ``sample_rows`` in all, chosen by a hash of doc_id. The machines are fitted on the driver by dual coordinate
+language and ``sample_rows`` in all, chosen by a hash of doc_id; of more languages than half of ``sample_rows``, the most frequent are learned. The machines are fitted on the driver by dual coordinate
 descent over that bounded sample. lang, source and doc_id are never inputs of a prediction.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; without usable labels every text is ``und``;
@@ -118,7 +118,7 @@ class Model:
             if len(own) > 1:
                 score[rows] *= best[won[rows], np.flatnonzero(rows)] / (len(own) - 1)
             out[rows] = np.array(own, object)[won[rows]]
-        return out.tolist(), score
+        return out.tolist(), np.round(score, 9)  # running sums differ in the last digits by where a text lies
 
 
 def chance(z: np.ndarray) -> np.ndarray:
@@ -132,10 +132,12 @@ def sample(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, ro
     each = max(2, min(per_language, rows // max(1, len(counts))))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1_000_000, int(1e6 * each / r[1]) + 1)))) if counts else F.create_map(F.lit(""), F.lit(0))
     picked = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")]
-    return known.where(picked).select(F.xxhash64(F.lit(5), "doc_id").alias("h"), "text", "lang").limit(2 * rows)
+    return known.where(picked).select(F.xxhash64(F.lit(5), "doc_id").alias("h"), "text", "lang")
 
 
-def train(docs: DataFrame, usable: Column) -> Model | None:
+def train(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> Model | None:
+    """The machines; at most 2 * ``rows`` rows of features, the first by hash, come to the driver."""
+
     def features(batches):
         for batch in batches:
             out = []
@@ -145,7 +147,8 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
                     out.append((n / max(1, n.sum())).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(out, pa.binary())], names=["h", "lang", "x"])
 
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in sample(docs, usable).mapInArrow(features, "h long, lang string, x binary").collect())
+    found = sample(docs, usable, rows=rows).mapInArrow(features, "h long, lang string, x binary").orderBy("h", "lang", F.xxhash64("x")).limit(2 * rows)
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in found.collect())
     return Model(np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), SIZE), [r[1] for r in rows]) if rows else None
 
 

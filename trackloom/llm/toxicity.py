@@ -13,7 +13,7 @@ near a term and get no weight. Each match is scored in its context window: a mat
 of reporting, is a quotation; near an address ("you"), abuse. A logistic model over those counts gives the score.
 
 Labels, lang, source and doc_id are never inputs of a score. Null and empty texts score as a text without matches.
-Repeated rows are scored each; an empty table gives an empty result; with no usable labels the seeds' weights are the
+Repeated rows are scored each; equal texts with different labels train as toxic; an empty table gives an empty result; with no usable labels the seeds' weights are the
 prior's, and every text without a match scores below one half. Only doc_id and text (and labels in training) are read.
 """
 
@@ -222,7 +222,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     """(text, toxic) of at most about ``rows`` labelled documents that are not held out, spread by a hash of doc_id."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = min(1.0, rows / max(1, usable.count()))
-    picked = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * rows)
+    order = F.xxhash64(F.lit(11), "doc_id")
+    picked = usable.where(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(order, "doc_id", "toxic").limit(2 * rows)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")  # at most 2 * rows rows
 
 
@@ -282,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, seeds=(), sample_rows: int = SAMPL
     """Fit on a bounded sample; the lexicon, the ordinary variants of the sample and seven weights come to the driver."""
     from .shared import stow
 
-    sample = stow(labelled_sample(docs, labels, sample_rows).dropDuplicates(["text"]), "toxic-sample")
+    sample = stow(labelled_sample(docs, labels, sample_rows).groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
     terms = {s: SEED for s in seeds} | learn_terms(sample)
     plain = docs.sparkSession.sparkContext.broadcast(Matcher(terms))
 
