@@ -38,11 +38,15 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, and the digest of the ids and of what they decode to (the same bytes as the text)."""
+    """The columns of documents, and the digest of the ids and of what they decode to (the same bytes as the text).
+
+    An input column named like one of the three new ones is replaced.
+    """
     bound_batches(spark)
-    path = public_tokenizers.path(VOCABULARY)
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
-    return coded.select(*docs.columns, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids, decoded = (next(n for k in range(len(docs.columns) + 1) if (n := f"_{name}{k}") not in docs.columns) for name in ("ids", "decoded"))
+    coded = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, into=ids, decoded=decoded)
+    digests = bpe.digests(ids, decoded)
+    return coded.select(*(c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")), *digests)
 
 
 STAGES = [("toxicity", not_toxic), ("near duplicates", one_of_each), ("decontamination", not_benchmark), ("secrets", no_secrets), ("tokens", tokens)]
