@@ -100,6 +100,10 @@ def test_skeleton_needs_both_ends(spark, tracks, poses):
     assert points.count() == 17 and G.skeleton_edges(points).count() == 16
     hidden = points.withColumn("visible", F.col("visible") & (F.col("point") != 5))
     assert G.skeleton_edges(hidden).count() == 13
+    for score in (0.0, float("nan"), None):
+        own = flat.withColumn("pose_left_shoulder_score", F.lit(score).cast("double"))
+        assert sorted(map(tuple, G.pose_edges(own).collect())) == sorted(map(tuple, G.skeleton_edges(G.keypoint_rows(own)).collect()))
+        assert G.pose_edges(own).count() == 13
 
 
 def test_apply_model_loads_once_a_task(spark, tracks):

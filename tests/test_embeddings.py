@@ -72,3 +72,10 @@ def test_identities(spark):
 def test_present(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "x double")
     assert df.where(present("x")).count() == 1
+
+
+def test_identities_of_a_long_chain(spark):
+    n = 300
+    means = spark.range(n).select(F.col("id").alias("track_id"))
+    pairs = spark.createDataFrame([((k * 7) % n, ((k + 1) * 7) % n) for k in range(n - 1)], "a long, b long")
+    assert {r.identity for r in E.identities(means, pairs).collect()} == {0}

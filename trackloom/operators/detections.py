@@ -93,16 +93,21 @@ def boxes_for_frame(df: DataFrame, frame: int) -> DataFrame:
     return df.where(F.col("frame") == frame).select(*keys_of(df), *CORNERS)
 
 
+def _never_ran(df: DataFrame, group: list[str]) -> DataFrame:
+    """No rows, with the columns of a pass."""
+    return df.limit(0).withColumns({c: F.lit(None).cast("double") for c in group if c not in df.columns})
+
+
 def faces_for_frame(df: DataFrame, frame: int) -> DataFrame:
     """The faces of one frame; none if the face pass never ran."""
     if "face_score" not in df.columns:
-        return df.limit(0).select(*keys_of(df))
+        return nest_faces(_never_ran(df, FACE_COLUMNS))
     return nest_faces(df.where(F.col("frame") == frame))
 
 
 def poses_for_frame(df: DataFrame, frame: int) -> DataFrame:
     if "pose_score" not in df.columns:
-        return df.limit(0).select(*keys_of(df))
+        return nest_poses(_never_ran(df, POSE_COLUMNS))
     return nest_poses(df.where(F.col("frame") == frame))
 
 

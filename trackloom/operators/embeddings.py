@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, present, to_half
-from ..sources.shared import stow
 from .detections import keys_of
+from .graph import components
 
 
 def align(raw: DataFrame, first_frame: int = 1) -> DataFrame:
@@ -78,14 +78,7 @@ def identity_pairs(means: DataFrame, least: float, key: str = "track_id") -> Dat
     return a.join(b, "cell").where("a < b and (r is null or abs(r - row) <= 1)").withColumn("cosine", cosine).where(F.col("cosine") >= least).select("a", "b", "cosine")
 
 
-def identities(means: DataFrame, pairs: DataFrame, key: str = "track_id", most_rounds: int = 40) -> DataFrame:
-    """(key, identity): connected tracks share the smallest key among them. Labels are written to the shared folder each round."""
-    edges = pairs.select("a", "b").union(pairs.select("b", "a"))
-    labels = means.select(F.col(key).alias("node"), F.col(key).alias("identity"))
-    for _ in range(most_rounds):
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("identity").alias("near"))
-        step = stow(labels.join(near, labels["node"] == near["a"], "left").select("node", "identity", F.least("identity", "near").alias("next")), "identities")
-        labels = step.select("node", F.col("next").alias("identity"))
-        if not step.where("next <> identity").limit(1).count():
-            return labels.withColumnRenamed("node", key)
-    raise RuntimeError("identities did not settle")
+def identities(means: DataFrame, pairs: DataFrame, key: str = "track_id") -> DataFrame:
+    """(key, identity): connected tracks share the smallest key among them, however long the chain; a track without a partner has its own."""
+    found = components(pairs.select("a", "b")).select(F.col("node").alias(key), F.col("component").alias("identity"))
+    return means.select(key).join(found, key, "left").select(key, F.coalesce("identity", key).alias("identity"))

@@ -88,7 +88,7 @@ def visible(x: str, y: str, score: str):
 
 
 def skeleton_edges(points: DataFrame) -> DataFrame:
-    """Segments between two visible keypoints: keys, edge, ax, ay, bx, by. ``points`` as from keypoint_rows; the 16 edges are a fixed table."""
+    """``pose_edges`` of keypoints that lie in rows of their own (as from keypoint_rows, perhaps filtered since): they are grouped first."""
     keys = keys_of(points)
     seen = points.where("visible").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("point", F.struct("x", "y")))).alias("m"))
     edges = F.array(*(F.struct(F.lit(i).alias("edge"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(SKELETON)))
@@ -96,6 +96,19 @@ def skeleton_edges(points: DataFrame) -> DataFrame:
     return rows.where("p is not null and q is not null").select(*keys, "edge", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
 
+def pose_edges(df: DataFrame) -> DataFrame:
+    """Segments between two visible keypoints of a flat pose: keys, edge, ax, ay, bx, by. All of them lie in one row, so nothing is shuffled."""
+
+    def segment(i: int, a: str, b: str):
+        at = lambda n: tuple(f"pose_{n}_{x}" for x in ("x", "y", "score"))
+        seen = visible(*at(a)) & visible(*at(b))
+        return F.struct(F.lit(i).alias("edge"), *(F.col(f"pose_{n}_{x}").alias(f"{c}{x}") for n, c in ((a, "a"), (b, "b")) for x in "xy"), seen.alias("seen"))
+
+    edges = F.array(*(segment(i, KEYPOINTS[a], KEYPOINTS[b]) for i, (a, b) in enumerate(SKELETON)))
+    rows = df.where(present("pose_score")).select(*keys_of(df), F.explode(edges).alias("e")).where("e.seen")
+    return rows.select(*keys_of(df), *(f"e.{c}" for c in ("edge", "ax", "ay", "bx", "by")))
+
+
 def box_rect(df: DataFrame) -> DataFrame:
     """x, y, w, h of each box."""
     return df.select(*keys_of(df), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))

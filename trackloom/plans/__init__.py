@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sources
@@ -11,6 +11,7 @@ from ..operators import detections, geometry, summary, timeline
 from ..operators import embeddings as vectors
 from ..schemas import CORNERS, FACE_COLUMNS, POSE_COLUMNS, SKELETON
 from ..sources import manifest
+from ..sources.shared import shared_path
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -145,6 +146,12 @@ def frame_poses(spark, sf_dir):
     return detections.poses_for_frame(detections.flatten_poses(pose_frames(spark, sf_dir)), 7).select("frame", "track_id", "pose.score")
 
 
+@query(f"SELECT frame, track_id, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS nose_x FROM ({fx.TRACKS}) t WHERE false")
+def frame_faces_without_pass(spark, sf_dir):
+    """No face pass ran: no rows, with the columns of faces."""
+    return detections.faces_for_frame(fx.tracks(spark, sf_dir), 7).select("frame", "track_id", "face.score", F.col("face.landmarks")[2]["x"].alias("nose_x"))
+
+
 @query(f"SELECT frame, count(*) AS n, min(track_id) AS first_id, max(x2) AS x2 FROM ({fx.TRACKS}) t GROUP BY frame")
 def boxes_by_frame(spark, sf_dir):
     found = detections.boxes_by_frame(fx.tracks(spark, sf_dir))
@@ -183,7 +190,7 @@ EDGES = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(SKELETON))
     f"SELECT frame, track_id, edge, bx1 + a AS ax, by1 + 2*a AS ay, bx1 + b AS bx, by1 + 2*b AS \"by\" FROM ({POSE}) p, (VALUES {EDGES}) e(edge, a, b) WHERE (cand_id % 17 <> a) AND (cand_id % 17 <> b)"
 )
 def skeleton_edges(spark, sf_dir):
-    return geometry.skeleton_edges(geometry.keypoint_rows(detections.flatten_poses(pose_frames(spark, sf_dir))))
+    return geometry.pose_edges(detections.flatten_poses(pose_frames(spark, sf_dir)))
 
 
 @query(f"SELECT frame, track_id, k AS point, cand_id % 17 <> k AS visible FROM ({POSE}) p, (SELECT unnest(range(17)) AS k) r")
@@ -371,6 +378,79 @@ def identity_clusters(spark, sf_dir):
     return vectors.identities(means, vectors.identity_pairs(means, 0.1 - 5e-7).where(F.round("cosine", 6) >= 0.1))
 
 
+@query(f"SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY score DESC) AS place, score FROM ({fx.EMBEDDINGS}) e")
+def best_first(spark, sf_dir):
+    """Each track's rows as they come, best first: their places in the order of the rows."""
+    rows = vectors.best_first(fx.embeddings(spark, sf_dir), ["track_id"]).select("track_id", "score", F.monotonically_increasing_id().alias("at"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("track_id").orderBy("at")).cast("bigint")).select("track_id", "place", "score")
+
+
+@query(f"SELECT frame, track_id, cand_id, CASE WHEN cand_id % 3 = 0 THEN 1.0 ELSE score END AS score FROM ({POSE}) p")
+def default_scores(spark, sf_dir):
+    """Keypoints without scores count as seen."""
+    point = F.struct(F.col("bx1").alias("x"), F.col("by1").alias("y"), F.when(F.col("cand_id") % 3 != 0, F.col("score")).alias("score"))
+    rows = geometry.best_pose(fx.poses(spark, sf_dir), 0.5).withColumn("keypoints", F.array(point, point))
+    return geometry.default_scores(rows).select("frame", "track_id", "cand_id", F.col("keypoints")[1]["score"].alias("score"))
+
+
+SEEN = f"SELECT frame, track_id, x1, y1, x2, y2, conf, 'glasses_video' AS input_kind, 'cam' || CAST(frame % 3 AS STRING) AS input_id FROM ({fx.TRACKS}) t"
+
+
+@query(f"SELECT input_id, frame, track_id, conf FROM ({SEEN}) s WHERE input_id <> 'cam1' OR conf >= 0.6")
+def results_round_trip(spark, sf_dir):
+    """Results are written, one input's are written anew, and all are read."""
+    rows, path = fx.made(spark, sf_dir, SEEN, "lineitem"), shared_path(spark, "results")
+    sources.write_results(rows, path)
+    sources.write_results(rows.where("input_id = 'cam1' and conf >= 0.6"), path)
+    return sources.read_results(spark, path).select("input_id", "frame", "track_id", "conf")
+
+
+@query(f"SELECT 'cam0' AS input_id, frame, track_id, conf FROM ({SEEN}) s WHERE input_id = 'cam0'")
+def tolerant_read(spark, sf_dir):
+    """Of three inputs one can be read: another is no table of results, the third is missing."""
+    path = shared_path(spark, "tolerant")
+    sources.export(fx.made(spark, sf_dir, SEEN, "lineitem").where("input_id = 'cam0'").drop("input_id", "input_kind"), f"{path}/a", "parquet")
+    sources.export(fx.inputs(spark, sf_dir), f"{path}/b", "parquet")
+    return sources.read_tolerant(spark, {"cam0": f"{path}/a", "cam1": f"{path}/b", "cam2": f"{path}/c"}).select("input_id", "frame", "track_id", "conf")
+
+
+@query(f"SELECT track_id, frame, score FROM ({fx.EMBEDDINGS}) e WHERE track_id % 2 = 0")
+def embeddings_round_trip(spark, sf_dir):
+    """Embeddings of two inputs are written, then of one only: the other's old ones go."""
+    rows, path = fx.embeddings(spark, sf_dir).selectExpr("*", "'glasses_video' as input_kind", "concat('cam', track_id % 2) as input_id"), shared_path(spark, "embeddings")
+    inputs = spark.createDataFrame([("glasses_video", "cam0"), ("glasses_video", "cam1")], "input_kind string, input_id string")
+    sources.write_embeddings(rows, path, inputs)
+    sources.write_embeddings(rows.where("input_id = 'cam0'"), path, inputs)
+    return sources.read_embeddings(spark, path).select("track_id", "frame", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@query(f"SELECT audio_id, turn, seg_start, seg_end FROM ({fx.SEGMENTS}) s")
+def audio_round_trip(spark, sf_dir):
+    rows, path = fx.segments(spark, sf_dir).selectExpr("*", "'audio' as input_kind", "'mic' as input_id"), shared_path(spark, "audio")
+    sources.write_audio(rows, path)
+    return sources.read_audio(spark, path).select("audio_id", "turn", "seg_start", "seg_end")
+
+
+@query(f"SELECT participant, CAST(gaze_video_time AS DOUBLE) AS gaze_video_time, gaze_x FROM ({fx.GAZE_DUCK}) g")
+def gaze_scan(spark, sf_dir):
+    """Samples written tab-separated with NA for missing, and read."""
+    path = shared_path(spark, "gaze")
+    rows = fx.gaze(spark, sf_dir).selectExpr("participant", "0.0 as rectimestamp", "gaze_x", "gaze_y", "cast(null as double) as pupil_left", "1.0 as pupil_right", "gaze_video_time")
+    rows.write.csv(path, sep="\t", header=True, nullValue="NA")
+    return sources.read_gaze(spark, path).select("participant", "gaze_video_time", "gaze_x")
+
+
+@query(f"SELECT kind, frame, track_id, conf FROM ({SEEN}) s, (VALUES ('csv'), ('json'), ('parquet')) k(kind) WHERE input_id = 'cam2'")
+def exports(spark, sf_dir):
+    rows, path = fx.made(spark, sf_dir, SEEN, "lineitem").where("input_id = 'cam2'").select("frame", "track_id", "conf"), shared_path(spark, "export")
+    read = []
+    for kind in ("csv", "json", "parquet"):
+        sources.export(rows, f"{path}/{kind}", kind)
+        own = spark.read.format(kind).schema(rows.schema)
+        read.append((own.option("header", "true") if kind == "csv" else own).load(f"{path}/{kind}").withColumn("kind", F.lit(kind)))
+    return sources.stack(read).select("kind", "frame", "track_id", "conf")
+
+
 @query(f"SELECT frame, track_id, cand_id, score FROM ({FACE}) f")
 def model_candidates(spark, sf_dir):
     """Crops scored by a stub model in Arrow batches; its candidates are then chosen from."""

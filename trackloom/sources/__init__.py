@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import from_half, to_half
 from ..schemas import EMBEDDINGS, EMBEDDINGS_HALF, GAZE
+from .shared import stow
 
 PARTITIONS = ["input_kind", "input_id"]
 
@@ -81,8 +82,9 @@ def write_embeddings(df: DataFrame, path: str, inputs: DataFrame) -> None:
     spark = df.sparkSession
     kinds = {"track_id": "bigint", "frame": "bigint", "score": "float"}
     rows = df.select(*by_input(df), *(F.col(c).cast(k).alias(c) for c, k in kinds.items()), F.transform("embedding", to_half).alias("embedding"))
+    rows = stow(rows, "embeddings")  # ``df`` may read what is replaced
     _write(rows, path)
-    kept = df.select(*PARTITIONS).distinct()
+    kept = rows.select(*PARTITIONS).distinct()
     for r in inputs.select(*PARTITIONS).distinct().join(kept, PARTITIONS, "left_anti").collect():  # a manifest's rows
         delete(spark, f"{path}/input_kind={r['input_kind']}/input_id={r['input_id']}")
 

@@ -46,6 +46,8 @@ def staged(spark: SparkSession, staging: str, kind: str, run_id: str) -> DataFra
 def commit(spark: SparkSession, staging: str, kind: str, run_id: str, results: str) -> None:
     """Make a finished run visible: tracks replace an input's results, faces and poses are joined onto its tracks."""
     raw = staged(spark, staging, kind, run_id)
+    if raw.isEmpty():  # a run without frames: results stay as they are
+        return discard(spark, staging, kind, run_id)
     if kind == "tracking":
         rows = flatten_tracks(raw)
     else:
