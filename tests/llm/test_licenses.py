@@ -75,3 +75,11 @@ def test_share_is_an_average_over_pieces(spark):
     near = lambda n: " ".join(w[:64] + w[64 : 68 + n])
     docs = spark.createDataFrame([(0, " ".join(w)), (1, near(40)), (2, near(20))], "doc_id long, text string")
     assert {r.doc_id: r.share for r in S.scan(docs, table).collect()} == {0: 1.0, 1: round((1 + 40 / 64) / 2, 6)}
+
+
+def test_very_many_notices_in_one_text(spark):
+    """100,000 words of notices, and one notice across the edge of two chunks."""
+    mit = S.TEMPLATES[1][1]
+    docs = [(1, "Released under the MIT License. " * 4000), (2, (mit + " ") * 2000), (3, "w " * (S.CHUNK - 20) + mit + " x" * 3000)]
+    got = {r.doc_id: (r.license, r.share, r.first_word) for r in S.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == ("MIT", 1.0, 0) and got[3][:2] == ("MIT", 1.0) and set(got) == {1, 2, 3}
