@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -63,3 +64,73 @@ def test_mask_keeps_columns_and_removes_secrets(spark, docs):
         if r.text:
             assert not brute(r.text)
     assert S.digest(df.limit(0)).count() == 0
+
+
+def battery(v):
+    """The inferred encoding's alphabet, the three tests' z and the p-value's bin of a run, plainly."""
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    which = 0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else 1 if re.fullmatch("[A-Z2-7]+=*", v) else 2
+    body = (v.lower() if which == 0 else v.replace("-", "+").replace("_", "/")).replace("=", "")
+    codes, k, n = [alphabets[which].index(c) for c in body], len(alphabets[which]), max(2, len(body))
+    chi = sum(codes.count(c) ** 2 for c in set(codes)) * k / n - n
+    z_chi = ((max(1e-9, chi) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    high = [2 * c >= k for c in codes]
+    up, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    expected = 1 + 2 * up * (n - up) / n
+    z_runs = (runs - expected) / math.sqrt(max(1e-9, (expected - 1) * (expected - 2) / (n - 1))) if 0 < up < n else 99
+    mean = sum(codes) / n
+    vary = sum((c - mean) ** 2 for c in codes)
+    z_serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False)) / vary * math.sqrt(n - 1) if vary else 99
+    kind = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "+" for c in v if c != "="]
+    log = math.log(1 / 4)
+    for a, b in zip(kind, kind[1:], strict=False):
+        log += math.log(S.CHANGE / 3 if a != b else 1 - S.CHANGE)
+    for c in body.lower():
+        log += math.log(S.PROSE * S.LETTERS[ord(c) - 97] / sum(S.LETTERS) + (1 - S.PROSE) / 26) if c.isalpha() else math.log(0.1 if c.isdigit() else 0.5)
+    grade = min(S.BINS, max(0, math.floor((-n * math.log(k) - log) * 4 / math.log(10))))
+    return k * 100 + math.floor(math.log2(len(v) / 20)), grade, max(abs(z_chi), abs(z_runs), abs(z_serial)) <= S.Z
+
+
+def brute_random(texts):
+    """The method's own spans of each text: Benjamini-Hochberg over all runs, by encoding and length."""
+    runs = [[(m.start(), m.end(), *battery(m[0])) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t or "")] for t in texts]
+    least = {}
+    for g in {r[2] for own in runs for r in own}:
+        bins = [r[3] for own in runs for r in own if r[2] == g]
+        good = [b for b in bins if 10 ** (-b / 4) <= S.FALSE * sum(x >= b for x in bins) / len(bins)]
+        least[g] = min(good, default=math.inf)
+    return [[(b, e) for b, e, g, grade, ok in own if ok and grade >= least[g] and not any(x < e and b < y for x, _, y in brute(t))] for own, t in zip(runs, texts, strict=True)]
+
+
+ALPHABETS = {"base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.9), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.9), "upper hex": ("0123456789ABCDEF", 0.9)}
+
+
+def test_battery_equals_brute_force_and_finds_keys_of_each_encoding(spark):
+    rnd = random.Random(8)
+    ordinary = ["internationalization", "CamelCaseNamesOfClassesLikeThis", "a/path/of/some/folders/and/files", "THISISALONGLINEOFCAPITALS", "2024-01-15-12-30-45-000", "550e8400-e29b-41d4-a716-446655440000", "snake_case_names_of_variables", "=" * 30, "NEVERGONNAGIVEYOUUPNEVERGONNALETYOUDOWN"]
+    keys = [(name, n, f"see {''.join(rnd.choices(letters, k=n))} there {rnd.choice(ordinary)}") for name, (letters, _) in ALPHABETS.items() for n in (24, 32, 40) for _ in range(30)]
+    texts = [t for _, _, t in keys] + [f"{a} {b}" for a in ordinary for b in ordinary] + [None, ""]
+    rows = {r.doc_id: r.spans for r in S.digest(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, want in enumerate(brute_random(texts)):
+        assert [tuple(map(int, x.split(":")[1:])) for x in rows[i].split(",") if x.startswith("random")] == want, texts[i]
+    for name, (_, recall) in ALPHABETS.items():
+        found = [f"random:4:{4 + n}" in rows[i] for i, (own, n, _) in enumerate(keys) if own == name]
+        assert sum(found) >= recall * len(found), (name, sum(found), len(found))
+    assert not any("random" in rows[i] for i in range(len(keys), len(texts)))
+
+
+def test_very_many_matches_in_one_text(spark):
+    rnd = random.Random(9)
+    parts = [rnd.choice(["token=abcdefgh", "".join(rnd.choices("0123456789abcdef", k=24)), "".join(rnd.choices(ALPHABETS["base64"][0], k=30)), "é🙂"]) for _ in range(30_000)]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = S.digest(df).first()
+    want = brute(text)
+    assert row.base_sha256 == hashlib.sha256(shown(want).encode()).hexdigest()
+    spans = sorted(tuple(map(int, x.split(":")[1:])) for x in row.spans.split(","))
+    out, at = [], 0
+    for b, e in spans:
+        if b >= at:
+            out += [text[at:b], "[secret]"]
+        at = max(at, e)
+    assert S.mask(df).first().text == "".join(out) + text[at:]

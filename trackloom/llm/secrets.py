@@ -5,19 +5,23 @@ characters of the encodings' alphabets that look drawn at random. Of each run th
 tested: chi-squared uniformity over that alphabet, the number of runs about the middle of the alphabet, and the serial
 correlation of neighbours; a random string fails none of them (|z| at most ``Z``).
 
-Ordinary long words may pass by luck, more easily when short, so discoveries are controlled: under "ordinary", letters, digits
-and capitals change places at a low rate, and a Chernoff bound on the number of changes gives each run a p-value. All runs of the
-table are counted by length class and p-value bin, and the Benjamini-Hochberg rule picks each class's bin at ``FALSE`` expected
-false discoveries. The counts are an aggregate of a fixed number of bins, so nothing grows with the data but the scan.
+Ordinary long words may pass by luck, more easily when short, so discoveries are controlled. Under "ordinary", letters, digits,
+capitals and signs change places at a low rate and letters are as frequent as in prose; under "random", all characters of the inferred
+alphabet are equally likely. An ordinary run has a likelihood ratio of 1 / p or more with a chance of p at most (Markov's bound), which
+gives each run its p-value. All runs of the table are counted by encoding, length class and p-value bin, and the Benjamini-Hochberg
+rule picks each group's bin at ``FALSE`` expected false discoveries. The counts are an aggregate of a fixed number of bins, so nothing
+grows with the data but the scan. Strings of small letters alone are never found: as base64 they are less likely than as prose.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows and ties are reported as they
-are; an empty table gives an empty result. Offsets are summed in blocks of BLOCK matches; the copies of arrays between blocks grow with the
-square of a text's matches (20,000 in one text take seconds). Runs of signs alone (a line of "=") are no strings of an encoding and are never found.
+are; an empty table gives an empty result. Runs of signs alone (a line of "=") are no strings of an encoding and are never found.
+A text's matches are worked on in blocks of BLOCK, so that very many cost little more than their number.
 ``mask`` and ``find`` keep all columns of their input but for those they set (names that begin with two underscores are theirs).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,27 +33,48 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 Z, FALSE, CHANGE, BINS = 3.0, 0.01, 0.1, 400
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-#: Matches whose offsets are summed in one block.
+#: Per cent of the letters a to z in English prose.
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+#: Share of prose in the ordinary model's letters; the others are equally likely.
+PROSE = 0.9
+#: Elements of an array that are copied at once.
 BLOCK = 256
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with ``value`` computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _blocks(values: Column) -> Column:
+    """Where the blocks of an array begin, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(values)), F.lit(BLOCK))
+
+
+def _before(values: Column, merge) -> Column:
+    """The fold, from 0, of all values before each one."""
+
+    def within(first: Column, part: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda a, x: F.struct(merge(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def whole(v: Column) -> Column:
+        totals = F.transform(_blocks(v), lambda b: F.aggregate(F.slice(v, b, BLOCK), F.lit(0), merge))
+        return _let(within(F.lit(0), totals), lambda firsts: F.flatten(F.transform(_blocks(v), lambda b, i: within(F.get(firsts, i), F.slice(v, b, BLOCK)))))
+
+    return _let(values, whole)
+
+
 def _fold(pieces: Column, found: Column, kind: int) -> Column:
     """Spans of the matches ``found`` between ``pieces``: offsets are running sums of lengths."""
-    none = F.array().cast(SPAN)
+    steps = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m"))
+    starts = _before(F.transform(steps, lambda x: F.length(x["p"]) + F.length(x["m"])), lambda a, x: a + x)
 
-    def inner(at: Column, first: Column) -> Column:
-        steps = F.arrays_zip(F.slice(pieces, first + 1, F.least(F.lit(BLOCK), F.size(found) - first)).alias("p"), F.slice(found, first + 1, BLOCK).alias("m"))
-        return F.aggregate(
-            steps,
-            F.struct(at.alias("at"), none.alias("out")),
-            lambda a, x: F.struct((a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), F.lit(kind).alias("kind"), (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out")),
-        )
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["p"])
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"))
 
-    def outer(a: Column, first: Column) -> Column:
-        part = inner(a["at"], first)
-        return F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(a["out"], p["out"]).alias("out")))[0]
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("out")), outer, lambda a: a["out"])
+    return F.zip_with(steps, starts, span)
 
 
 def _spans(df: DataFrame, text: str, into: str, pattern: str, kind: int, unless: Column | None = None, group: int = 0, least: int = 0) -> DataFrame:
@@ -76,23 +101,29 @@ def _tests(get) -> list[dict[str, Column]]:
     hexed, base32 = v.rlike("^([0-9a-f]+|[0-9A-F]+)$"), v.rlike("^[A-Z2-7]+=*$")
     alphabet = F.when(hexed, F.lit("0123456789abcdef")).when(base32, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).otherwise(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
     body = F.regexp_replace(F.when(hexed, F.lower(v)).otherwise(F.translate(v, "-_", "+/")), "=", "")
-    kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "-_=", "++")
+    kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "-_/=", "+++")
     codes, high = get("codes"), get("high")
     neighbours = lambda x: (F.slice(x, 1, F.greatest(F.lit(0), F.size(x) - 1)), F.slice(x, 2, F.size(x)))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
     square = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter(codes, lambda y: y == x)), F.lit(2)))
     excess = F.greatest(F.lit(1e-9), square * k / n - n) / (k - 1)
-    up, mean, vary, share = get("up"), get("mean"), get("vary"), get("share")
+    up, mean, vary = get("up"), get("mean"), get("vary")
     expected = 1 + 2 * up * (n - up) / n
     spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1)))
-    changed = F.when(share <= CHANGE, 0.0).when(share >= 1, F.log(F.lit(1 / CHANGE))).otherwise(share * F.log(share / CHANGE) + (1 - share) * F.log((1 - share) / (1 - CHANGE)))
+    letters = [math.log(PROSE * x / sum(LETTERS) + (1 - PROSE) / 26) for x in LETTERS]
+    prose = F.array(*(F.lit(x) for x in letters + [math.log(1 / 10)] * 10 + [math.log(1 / 2)] * 2))
+    plain = F.transform(F.filter(F.split(F.lower(get("body")), ""), lambda x: x != ""), lambda x: F.get(prose, F.position(x, F.lit("abcdefghijklmnopqrstuvwxyz0123456789+/")) - 1))
+    changes, steps = get("changes"), F.greatest(F.lit(0), F.length(get("kinds")) - 1)
+    ordinary = total(get("plain")) + changes * math.log(CHANGE / 3) + (steps - changes) * math.log(1 - CHANGE) + math.log(1 / 4)
+    evidence = -n * F.log(k) - ordinary
     return [
         {"alphabet": alphabet, "body": body, "kinds": kinds},
         {"n": F.greatest(F.lit(2), F.length(get("body"))), "k": F.length(get("alphabet")), "codes": F.transform(F.filter(F.split(get("body"), ""), lambda x: x != ""), lambda x: F.position(x, get("alphabet")) - 1)},
         {
             "high": F.transform(codes, lambda x: (2 * x >= k).cast("int")),
             "mean": total(codes) / n,
-            "share": F.size(F.filter(F.zip_with(*neighbours(F.filter(F.split(get("kinds"), ""), lambda x: x != "")), lambda a, b: a != b), lambda x: x)) / F.greatest(F.lit(1), F.length(get("kinds")) - 1),
+            "changes": F.size(F.filter(F.zip_with(*neighbours(F.filter(F.split(get("kinds"), ""), lambda x: x != "")), lambda a, b: a != b), lambda x: x)),
+            "plain": plain,
         },
         {
             "up": total(high),
@@ -103,8 +134,8 @@ def _tests(get) -> list[dict[str, Column]]:
             "z_chi": (F.pow(excess, F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1))),
             "z_runs": F.when((up > 0) & (up < n), (get("runs") - expected) / spread).otherwise(F.lit(99.0)),
             "z_serial": F.when(vary > 0, total(F.zip_with(*neighbours(codes), lambda a, b: (a - mean) * (b - mean))) / vary * F.sqrt(n - 1)).otherwise(F.lit(99.0)),
-            "bin": F.least(F.lit(BINS), F.floor(F.greatest(F.lit(0), F.length(get("kinds")) - 1) * changed * (4 / 2.302585092994046))).cast("int"),
-            "length_class": F.floor(F.log2(F.length(v) / 20)).cast("int"),
+            "bin": F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(evidence * (4 / math.log(10))))).cast("int"),
+            "group": (100 * F.length(get("alphabet")) + F.floor(F.log2(F.length(v) / 20))).cast("int"),
         },
         {"passes": (F.abs(get("z_chi")) <= Z) & (F.abs(get("z_runs")) <= Z) & (F.abs(get("z_serial")) <= Z)},
     ]
@@ -120,20 +151,20 @@ def _runs(df: DataFrame, text: str, into: str) -> DataFrame:
     fields = ["start", "end", "value"]
     for layer in range(6):
         tests = _tests(lambda name: F.lit(0))[layer]
-        keep = fields if layer < 5 else ["start", "end", "bin", "length_class"]
+        keep = fields if layer < 5 else ["start", "end", "bin", "group"]
         df = df.withColumn(into, F.transform(into, _layer(layer, tuple(keep))))
         fields += list(tests)
     return df
 
 
 def limits(df: DataFrame, column: str = "text") -> dict[int, int]:
-    """By length class, the least bin of p-values that Benjamini-Hochberg accepts. At most a few dozen classes of BINS bins."""
+    """By encoding and length class, the least bin of p-values that Benjamini-Hochberg accepts. At most some 80 groups of BINS bins."""
     rows = _runs(df.select(F.coalesce(column, F.lit("")).alias("t")), "t", "r").select(F.explode("r").alias("r"))
-    counted = rows.groupBy("r.length_class", "r.bin").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("length_class").orderBy(F.desc("bin"))
-    ranked = counted.withColumns({"above": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("length_class"))})
+    counted = rows.groupBy("r.group", "r.bin").agg(F.count("*").alias("n"))
+    up = Window.partitionBy("group").orderBy(F.desc("bin"))
+    ranked = counted.withColumns({"above": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("group"))})
     good = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 4) <= FALSE * F.col("above") / F.col("all"))
-    return {r[0]: r[1] for r in good.groupBy("length_class").agg(F.min("bin")).collect()}
+    return {r[0]: r[1] for r in good.groupBy("group").agg(F.min("bin")).collect()}
 
 
 def find(df: DataFrame, column: str = "text", into: str = "spans") -> DataFrame:
@@ -148,7 +179,14 @@ def find(df: DataFrame, column: str = "text", into: str = "spans") -> DataFrame:
     df = _runs(df, t, new("run"))
     plain = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     df = df.withColumn(new("base"), F.transform(F.concat(new("assign"), new("access"), new("hex")), plain))
-    chosen = F.filter(new("run"), lambda r: r["passes"] & (r["bin"] >= least[r["length_class"]]) & ~F.exists(new("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    chosen = F.filter(new("run"), lambda r: r["passes"] & (r["bin"] >= least[r["group"]]))
+    meet = lambda x, first, last: (x["start"] < last["end"]) & (first["start"] < x["end"])
+
+    def apart(part: Column) -> Column:  # runs of a block meet only base spans of its stretch of text
+        about = F.filter(new("base"), lambda b: meet(b, F.get(part, F.lit(0)), F.get(part, F.size(part) - 1)))
+        return _let(about, lambda near: F.filter(part, lambda r: ~F.exists(near, lambda b: meet(b, r, r))))
+
+    chosen = _let(chosen, lambda runs: F.flatten(F.transform(_blocks(runs), lambda b: _let(F.slice(runs, b, BLOCK), apart))))
     more = F.transform(chosen, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
     df = df.withColumn(into, F.array_sort(F.concat(new("base"), more)))
     return df.drop(t, *(new(x) for x in ("assign", "access", "hex", "run", "base")))
@@ -164,17 +202,17 @@ def mask(df: DataFrame, column: str = "text", by: str = "[secret]") -> DataFrame
     """``df`` with each run of overlapping spans of ``column`` replaced; null texts stay null."""
     spans = "__spans"
     df = find(df, column, spans)
-    joined = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] > x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(
-            F.concat(a, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-        ),
-    )
-    df = df.withColumn(spans, joined)
-    text = F.col(column)
-    parts = F.transform(spans, lambda x, i: F.concat(F.substring(text, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))), F.lit(by)))
-    rest = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
+    text, ends = F.col(column), F.transform(spans, lambda x: x["end"])
+    steps = F.arrays_zip(F.col(spans).alias("s"), _before(ends, lambda a, x: F.greatest(a, x)).alias("c"))  # c: where the spans before end
+
+    def cut(part: Column) -> Column:
+        first = F.get(part, F.lit(0))["c"]
+        stretch = F.struct(first.alias("at"), F.substring(text, first + 1, F.get(part, F.size(part) - 1)["s"]["start"] - first).alias("text"))
+        piece = lambda x, t: F.when(x["s"]["start"] >= x["c"], F.concat(F.substring(t["text"], x["c"] - t["at"] + 1, x["s"]["start"] - x["c"]), F.lit(by))).otherwise("")
+        return _let(stretch, lambda t: F.array_join(F.transform(part, lambda x: piece(x, t)), ""))
+
+    parts = _let(steps, lambda s: F.transform(_blocks(s), lambda b: _let(F.slice(s, b, BLOCK), cut)))
+    rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
     return df.withColumn(column, F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)).drop(spans)
 
 
