@@ -90,3 +90,17 @@ def test_clean_keeps_columns(spark, tables):
     assert kept.columns == wide.columns and {1000, 1001} <= {r.doc_id for r in kept.collect()} and 1002 not in {r.doc_id for r in kept.collect()}
     assert T.clean(wide.limit(0), labels).count() == 0
     assert T.digest(docs, labels.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_words_of_three_letters_match_only_as_a_whole():
+    m = T.Matcher({"fug": 4.0, "moron": 4.0})
+    assert [(word, far, term) for _, word, far, term in m.matches(words_of("fug fugue FUG fu fuga fag morons maron")[0])] == [(b"fug", 0, b"fug"), (b"fug", 0, b"fug"), (b"morons", 0, b"moron"), (b"maron", 1, b"moron")]
+
+
+def test_lexicons_of_very_many_terms_stay_whole(spark):
+    terms = [f"bad{a}{b}{c}" for a in "bcdfghjk" for b in "aeiou" for c in "bcdfghjk"]  # 320
+    rows = [(" ".join(terms), 1)] * 3 + [(" ".join(f"calm{i}" for i in range(k, k + 300)), 0) for k in range(8)]
+    found = T.learn_terms(spark.createDataFrame(rows, "text string, toxic int"), support=2)
+    assert all(any(t.startswith(s) for s in found) for t in terms) and not any(s.startswith("calm") for s in found)
+    short = spark.createDataFrame([("fug you", 1)] * 5 + [("see you", 0)] * 20, "text string, toxic int")
+    assert "fug" in T.learn_terms(short) and "you" not in T.learn_terms(short)

@@ -1,8 +1,9 @@
 """Operator 5: toxicity from a lexicon, with misspellings and context.
 
 The lexicon is learned: stems (beginnings of words, or whole words) that occur far oftener in texts labelled toxic than in
-the others of a bounded sample of labelled documents (``sample_rows``; whole texts), at most ``size`` of them, each with
-its log ratio, joined to the seeds that the caller gives. The lexicon is kept as a trie. A word is looked up by walking
+the others of a bounded sample of labelled documents (``sample_rows``; whole texts), and in a fiftieth of its toxic texts (so that they
+are 50 times the distinct stems of a toxic text at most), each with its log ratio, joined to the seeds that the caller gives. Words
+of three letters are stems only as a whole, and are found only as they are. The lexicon is kept as a trie. A word is looked up by walking
 the trie: exactly, for a term that it equals or inflects; else with the Levenshtein automaton of the word, whose states
 are (letters consumed, errors), leaving a branch of the trie as soon as no state is alive.
 A word within its distance of a term shares one of a few pieces with it, nearly all letters and the length, so lookups over
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import ALNUM, Words, held_out, text_blocks
 
-SAMPLE_ROWS, LEXICON_SIZE, SUPPORT = 8_000, 200, 4
+SAMPLE_ROWS, SUPPORT = 8_000, 4
 #: A seed's log ratio.
 SEED = 4.0
 #: Words near a match that tell quotation from abuse.
@@ -52,7 +53,7 @@ class Lexicon:
     """A trie of terms, walked by the Levenshtein automaton of a word."""
 
     def __init__(self, terms):
-        self.terms = sorted({t.encode() for t in terms if len(t.encode()) > 3})
+        self.terms = sorted({t.encode() for t in terms if len(t.encode()) > 2})
         self.trie: list[dict[int, int]] = [{}]
         self.term: dict[int, bytes] = {}
         for t in self.terms:
@@ -64,8 +65,11 @@ class Lexicon:
                 at = self.trie[at][c]
             self.term[at] = t
         # a term with d errors keeps one of its d + 1 pieces whole: its beginning, its end, or (d = 2) one after the beginning
-        self.begins2, self.begins, self.inner, self.ends, self.stems = (np.zeros(1 << 16, bool) for _ in range(5))
+        self.begins2, self.begins, self.inner, self.ends, self.stems, self.short = (np.zeros(1 << 16, bool) for _ in range(6))
         for t in self.terms:
+            if len(t) == 3:
+                self.short[triple(*t)] = True
+                continue
             self.stems[triple(t[0], t[1], t[2]) ^ t[3] << 8] = True
             if len(t) < 6:
                 self.begins2[t[0] << 8 | t[1]] = True
@@ -75,7 +79,7 @@ class Lexicon:
                 self.ends[triple(*t[-3:])] = True
             if self.errors(len(t)) == 2:
                 self.inner[triple(*t[3:6])] = True
-        self.masks = [(len(t), self.errors(len(t)), letters(np.frombuffer(t, np.uint8), np.zeros(1, np.int64))[0]) for t in self.terms]
+        self.masks = [(len(t), self.errors(len(t)), letters(np.frombuffer(t, np.uint8), np.zeros(1, np.int64))[0]) for t in self.terms if len(t) > 3]
         self.longest = max(map(len, self.terms), default=0)
         self.shortest = min(map(len, self.terms), default=0)
 
@@ -91,7 +95,8 @@ class Lexicon:
             at = self.trie[at].get(c)
             if at is None:
                 break
-            found = self.term.get(at, found)
+            if at in self.term and (len(self.term[at]) > 3 or len(word) == 3):
+                found = self.term[at]
         if found is not None:
             return found, 0
         most, best = self.errors(self.longest), None
@@ -148,7 +153,7 @@ class Matcher:
         b, e = w.starts[at], w.ends[at]
         code = w.low.astype(np.int64)
         head = triple(code[b], code[b + 1], code[b + 2])
-        stem = (e - b > 3) & lex.stems[head ^ code[np.minimum(b + 3, len(code) - 1)] << 8]
+        stem = (e - b > 3) & lex.stems[head ^ code[np.minimum(b + 3, len(code) - 1)] << 8] | (e - b == 3) & lex.short[head]
         keep = lex.begins2[code[b] << 8 | code[b + 1]] | lex.begins[head] | lex.ends[triple(code[e - 3], code[e - 2], code[e - 1])]
         if lex.inner.any():
             for k in range(1, 6):
@@ -228,7 +233,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def _stems(sample: DataFrame) -> DataFrame:
-    """(stem, toxic, n, d): occurrences and texts of each beginning of 4 to 10 letters and each whole word, summed in each task."""
+    """(stem, toxic, n, d): occurrences and texts of each beginning of 4 to 10 letters and each whole word of 3 or more, summed in each task."""
 
     def run(batches):
         n: dict[tuple[str, int], list[int]] = {}
@@ -241,13 +246,12 @@ def _stems(sample: DataFrame) -> DataFrame:
                     k, own = slice(int(w.first[i - at]), int(w.first[i - at + 1])), {}
                     for b, e in zip(w.starts[k].tolist(), w.ends[k].tolist(), strict=True):
                         word = text[b:e].decode("utf-8", "replace")
-                        for size in {*range(4, min(11, len(word))), len(word) if 4 <= len(word) <= 24 else 4}:
+                        for size in {*range(4, min(11, len(word))), len(word)} if len(word) > 2 else ():
                             own[word[:size]] = own.get(word[:size], 0) + 1
                     for stem, m in own.items():
-                        if len(stem) > 3:
-                            x = n.setdefault((stem, toxic[i]), [0, 0])
-                            x[0] += m
-                            x[1] += 1
+                        x = n.setdefault((stem, toxic[i]), [0, 0])
+                        x[0] += m
+                        x[1] += 1
                 if len(n) > 100_000:
                     yield made(n)
                     n = {}
@@ -259,24 +263,19 @@ def _stems(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "stem string, toxic int, n long, d long")
 
 
-def learn_terms(sample: DataFrame, size: int = LEXICON_SIZE, support: int = SUPPORT, ratio: float = 2.5) -> dict[str, float]:
+def learn_terms(sample: DataFrame, support: int = SUPPORT, ratio: float = 2.5) -> dict[str, float]:
     """Stems with a log ratio of occurrences of at least ``ratio``, in at least ``support`` and a fiftieth of the toxic texts."""
     length = F.length("text") + 1
     of = sample.agg(F.sum("toxic"), F.sum(F.when(F.col("toxic") == 1, length)), F.sum(F.when(F.col("toxic") == 0, length))).first()
     toxic, much, rest = (float(x or 1) for x in of)
     counted = _stems(sample).groupBy("stem").agg(*(F.sum(F.when(F.col("toxic") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in "nd"))
     score = F.log((F.col("n1") + 0.5) / much) - F.log((F.col("n0") + 0.5) / rest)
-    best = counted.where(F.col("d1") >= max(support, toxic / 50)).withColumn("x", score).where(F.col("x") >= ratio).orderBy(F.desc("d1"), F.desc("x"), "stem").limit(20 * size)
-    found = {r["stem"]: (r["d1"], r["x"]) for r in best.collect()}  # at most 20 * size rows
-    for s in sorted(found, key=len):  # of nested stems: the longest that loses few texts, and none that it covers
-        if any(len(t) > len(s) and t.startswith(s) and found[t][0] >= 0.9 * found[s][0] for t in found):
-            found[s] = (-1, 0.0)
-    kept: dict[str, float] = {}
-    for s in sorted((s for s in found if found[s][0] > 0), key=len):
-        above = [t for t in kept if s.startswith(t)]
-        if not above:
-            kept[s] = found[s][1]
-    return dict(sorted(kept.items(), key=lambda x: (-found[x[0]][0], x[0]))[:size])
+    best = counted.where(F.col("d1") >= max(support, toxic / 50)).withColumn("x", score).where(F.col("x") >= ratio)
+    found = {r["stem"]: (r["d1"], r["x"]) for r in best.select("stem", "d1", "x").collect()}  # at most 50 times the distinct stems of a toxic text of the sample
+    beginnings = lambda s: [s[:n] for n in range(4, len(s)) if s[:n] in found]
+    lost = {s for t in found for s in beginnings(t) if found[t][0] >= 0.9 * found[s][0]}  # of nested stems: the longest that loses few texts, and none that it covers
+    kept = [s for s in found if s not in lost and all(t in lost for t in beginnings(s))]
+    return {s: found[s][1] for s in sorted(kept, key=lambda s: (-found[s][0], s))}
 
 
 def train(docs: DataFrame, labels: DataFrame, seeds=(), sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -301,8 +300,8 @@ def train(docs: DataFrame, labels: DataFrame, seeds=(), sample_rows: int = SAMPL
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(of, pa.int32())], names=["word", "toxic"])
 
     seen = sample.mapInArrow(near_words, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    clean = seen.where(F.col("n") - F.col("t") > F.col("t") / 2).orderBy(F.desc("n"), "word").limit(20_000)
-    matcher = Matcher(terms, frozenset(bytes(r[0]) for r in clean.collect()))
+    clean = seen.where(F.col("n") - F.col("t") > F.col("t") / 2).select("word")
+    matcher = Matcher(terms, frozenset(bytes(r[0]) for r in clean.collect()))  # words of the bounded sample that are near a term
     shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
     def rows(batches):
