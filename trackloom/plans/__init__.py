@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import sources
+from .. import sources, streaming
 from ..functions import to_half
 from ..operators import detections, geometry, summary, timeline
 from ..operators import embeddings as vectors
@@ -463,6 +464,151 @@ def model_candidates(spark, sf_dir):
     return geometry.best_face(scored, 0.5).select("frame", "track_id", "cand_id", "score")
 
 
+MANIFEST_INPUTS = "SELECT s_nationkey AS n, kind, id, 'v/' || CAST(s_suppkey AS STRING) AS path, time_offset, CASE WHEN kind = 'glasses_video' THEN 'g/' || CAST(s_suppkey AS STRING) END AS gaze_path, glasses_video FROM (SELECT s_suppkey, s_nationkey, " + fx.INPUTS.removeprefix("SELECT ") + ") i"
+
+
+def manifests(spark, sf_dir) -> str:
+    """A folder with a manifest for each nation's suppliers: every seventh of a newer version, every fifth with an unknown key."""
+    rows, path = fx.made(spark, sf_dir, MANIFEST_INPUTS, "supplier"), shared_path(spark, "manifests")
+    own = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("id", "path", "time_offset", "gaze_path", "glasses_video")))
+    setting = F.struct(((F.col("n") % 5) / 10).alias("det_thresh"))
+    pipeline = F.struct(F.struct(F.struct(F.lit("bytetrack").alias("tracker")).alias("object_tracking"), setting.alias("face_detection")).alias("glasses_video"))
+    grouped = rows.groupBy("n").agg(*(own(kind).alias(name) for name, kind in manifest.LISTS.items()))
+    text = F.to_json(F.struct(F.when(F.col("n") % 7 == 0, 99).otherwise(1).alias("version"), *manifest.LISTS, pipeline.alias("pipeline"), F.when(F.col("n") % 5 == 4, "x").alias("colour")))
+    grouped.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query(f"SELECT kind, id, path, time_offset, gaze_path, glasses_video FROM ({MANIFEST_INPUTS}) m WHERE n % 7 <> 0 AND n % 5 <> 4")
+def manifest_inputs(spark, sf_dir):
+    """Manifests are written, one in a file, and read."""
+    return manifest.read_manifests(spark, manifests(spark, sf_dir))[0].select("kind", "id", "path", "time_offset", "gaze_path", "glasses_video")
+
+
+@query(
+    """SELECT k.kind, k.step, CASE WHEN k.kind = 'glasses_video' AND k.step = 'face_detection' THEN CAST(n % 5 AS DOUBLE) / 10 END AS det_thresh, CASE WHEN k.step = 'face_detection' THEN '640' END AS det_size,
+       CASE WHEN k.step = 'object_tracking' THEN CASE WHEN k.kind = 'glasses_video' THEN 'bytetrack' ELSE 'botsort' END END AS tracker, count(*) AS n
+       FROM (SELECT DISTINCT s_nationkey AS n FROM supplier) m, (VALUES ('glasses_video', 'object_tracking'), ('glasses_video', 'face_detection'), ('fixed_video', 'object_tracking')) k(kind, step) WHERE n % 7 <> 0 AND n % 5 <> 4 GROUP BY 1, 2, 3, 4, 5"""
+)
+def manifest_settings(spark, sf_dir):
+    """Of how many experiments a stage has which settings, given or by default."""
+    stages, value = manifest.read_manifests(spark, manifests(spark, sf_dir))[1], lambda name: F.col("settings")[name]
+    return stages.groupBy("kind", "step", value("det_thresh").cast("double").alias("det_thresh"), value("det_size").alias("det_size"), value("tracker").alias("tracker")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT problem, count(*) AS n FROM (SELECT DISTINCT s_nationkey AS n, 'newer version' AS problem FROM supplier WHERE s_nationkey % 7 = 0 UNION ALL SELECT DISTINCT s_nationkey, 'unknown key colour' FROM supplier WHERE s_nationkey % 5 = 4) p GROUP BY problem")
+def manifest_problems(spark, sf_dir):
+    return manifest.read_manifests(spark, manifests(spark, sf_dir))[2].groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT kind, id, path, time_offset FROM ({MANIFEST_INPUTS}) m")
+def manifest_tables(spark, sf_dir):
+    """The tables of inputs and settings are written and read."""
+    rows, path = fx.made(spark, sf_dir, MANIFEST_INPUTS, "supplier"), shared_path(spark, "tables")
+    manifest.write_manifest(rows, manifest.read_manifests(spark, manifests(spark, sf_dir))[1], path)
+    return spark.read.schema(rows.schema).json(f"{path}/inputs").select("kind", "id", "path", "time_offset")
+
+
+SETTINGS = """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'face_detection' WHEN 1 THEN 'body_pose' ELSE 'object_tracking' END AS step, CAST((s_suppkey * 37) % 2600 AS STRING) AS det_size,
+       CAST(s_acctbal / 5000.0 AS STRING) AS thresh, CAST(s_suppkey % 40 - 5 AS STRING) AS kept FROM supplier"""
+#: step, setting, column, least and largest value.
+RANGES = [("face_detection", "det_size", "det_size", 64, 2048), ("face_detection", "det_thresh", "thresh", 0, 1), ("body_pose", "conf", "thresh", 0, 1), ("object_tracking", "embeddings_per_track", "kept", 0, 1e9), ("face_detection", "embeddings_per_track", "kept", 0, 1e9)]
+
+
+@query(" UNION ALL ".join(f"SELECT CAST(s_suppkey AS STRING) AS kind, step AS id, '{step}.{name} out of range' AS problem FROM ({SETTINGS}) s WHERE step = '{step}' AND NOT CAST({column} AS DOUBLE) BETWEEN {lo} AND {hi}" for step, name, column, lo, hi in RANGES))
+def setting_violations(spark, sf_dir):
+    """Settings out of range, the limits themselves inside it."""
+    rows = fx.made(spark, sf_dir, SETTINGS, "supplier")
+    settings = F.create_map(*(F.lit(x) if isinstance(x, str) else x for name, column in (("det_size", "det_size"), ("det_thresh", "thresh"), ("conf", "thresh"), ("embeddings_per_track", "kept")) for x in (name, F.col(column))))
+    none = fx.inputs(spark, sf_dir).where("false")
+    return manifest.violations(none, rows.select(F.col("s_suppkey").cast("string").alias("kind"), "step", settings.alias("settings")))
+
+
+@query(f"SELECT id, problem FROM (SELECT id, 'no gaze_path' AS problem FROM ({MANIFEST_INPUTS}) m WHERE kind = 'glasses_video' AND n % 2 = 0 UNION ALL SELECT 'a/' || id, 'bad id' FROM ({MANIFEST_INPUTS}) m WHERE n % 3 = 0 AND n % 2 = 1) v")
+def gaze_path_violations(spark, sf_dir):
+    rows = fx.made(spark, sf_dir, MANIFEST_INPUTS, "supplier").withColumns({"gaze_path": F.when(F.col("n") % 2 == 1, F.col("gaze_path")), "id": F.when((F.col("n") % 3 == 0) & (F.col("n") % 2 == 1), F.concat(F.lit("a/"), "id")).otherwise(F.col("id"))})
+    return manifest.violations(rows).select("id", "problem")
+
+
+@query(f"SELECT id, '/data/' || path AS path FROM ({MANIFEST_INPUTS}) m WHERE n % 4 = 0")
+def missing_files(spark, sf_dir):
+    """Inputs whose files are not among those listed."""
+    rows = fx.made(spark, sf_dir, MANIFEST_INPUTS, "supplier")
+    listing = rows.where("n % 4 <> 0").select(F.concat(F.when(F.col("n") % 2 == 0, "file:").otherwise("file://"), F.lit("/data/"), "path").alias("path"))
+    return manifest.missing_files(rows.select("id", manifest.resolve(F.col("path"), F.lit("/data/")).alias("path")), listing).select("id", "path")
+
+
+def staged_frames(spark, sf_dir, kind: str) -> DataFrame:
+    """A stream of raw frames of two inputs, from files in the shared folder."""
+    rows = raw_tracks(spark, sf_dir) if kind == "tracking" else face_frames(spark, sf_dir)
+    extra = ["tracks", "cast(null as array<array<float>>) as embeddings"] if kind == "tracking" else ["faces"]
+    path = shared_path(spark, f"raw-{kind}")
+    rows.selectExpr("'glasses_video' as input_kind", f"concat('cam', (frame_idx + {0 if kind == 'tracking' else 1}) % 2) as input_id", "frame_idx", *extra).write.parquet(path)
+    return streaming.read_frames(spark, path, kind)
+
+
+@query(f"SELECT 'cam' || CAST((t.frame + 1) % 2 AS STRING) AS input_id, t.frame, t.track_id, t.conf, f.score AS face_score FROM ({fx.TRACKS}) t LEFT JOIN ({FACE}) f ON t.frame = f.frame AND t.track_id = f.track_id")
+def staged_passes(spark, sf_dir):
+    """A tracking pass is staged and committed, a face pass discarded, then staged again and committed."""
+    staging, results = shared_path(spark, "staging"), shared_path(spark, "passes")
+    streaming.ingest(staged_frames(spark, sf_dir, "tracking"), staging, "tracking", "r1").awaitTermination()
+    streaming.commit(spark, staging, "tracking", "r1", results)
+    faces = staged_frames(spark, sf_dir, "faces")
+    streaming.ingest(faces, staging, "faces", "r2").awaitTermination()
+    streaming.discard(spark, staging, "faces", "r2")
+    streaming.ingest(faces, staging, "faces", "r3").awaitTermination()
+    streaming.commit(spark, staging, "faces", "r3", results)
+    return sources.read_results(spark, results).select("input_id", "frame", "track_id", "conf", "face_score")
+
+
+def scored_stream(spark, sf_dir) -> DataFrame:
+    """Scores of embeddings as a stream of four files, one a batch."""
+    rows, path = fx.embeddings(spark, sf_dir).select("track_id", "frame", "score"), shared_path(spark, "scored")
+    rows.repartition(4, "frame").write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"SELECT track_id, score FROM (SELECT track_id, score, row_number() OVER (PARTITION BY track_id ORDER BY score DESC) AS place FROM ({fx.EMBEDDINGS}) e) r WHERE place <= 5")
+def streaming_topk(spark, sf_dir):
+    """The five best scores of each track, kept batch by batch."""
+    state = shared_path(spark, "topk")
+    streaming.keep_top_k(scored_stream(spark, sf_dir), state, shared_path(spark, "topk-checkpoint"), 5).awaitTermination()
+    kept = spark.read.parquet(state)
+    return kept.where(F.col("epoch") == kept.agg(F.max("epoch")).first()[0]).select("track_id", "score")
+
+
+@query(f"SELECT e.frame, count(t.track_id) AS n, min(t.x1) AS x1 FROM ({fx.EMBEDDINGS}) e LEFT JOIN ({fx.TRACKS}) t ON e.frame = t.frame GROUP BY e.frame")
+def live_boxes(spark, sf_dir):
+    """A stream of frames with the boxes that are stored for them."""
+    frames, path = scored_stream(spark, sf_dir).select(F.col("frame").alias("frame_idx")), shared_path(spark, "live")
+    view = streaming.live_view(frames, fx.tracks(spark, sf_dir))
+    view.writeStream.option("checkpointLocation", shared_path(spark, "live-checkpoint")).trigger(availableNow=True).start(path, format="parquet").awaitTermination()
+    return spark.read.parquet(path).select("frame", F.coalesce(F.array_size("boxes"), F.lit(0)).cast("bigint").alias("n"), F.array_min(F.transform("boxes", lambda b: b["x1"])).alias("x1"))
+
+
+@query(f"SELECT 'cam' || CAST((frame + 1) % 2 AS STRING) AS input_id, max(frame + 1) AS latest, count(DISTINCT frame) AS total FROM ({fx.TRACKS}) t GROUP BY 1")
+def pass_progress(spark, sf_dir):
+    frames = raw_tracks(spark, sf_dir).select(F.concat(F.lit("cam"), F.col("frame_idx") % 2).alias("input_id"), "frame_idx")
+    return streaming.progress(frames, frames.groupBy("input_id").agg(F.count("*").alias("total")))
+
+
+@query(f"SELECT frame, track_id, cand_id, w * h / 40000.0 AS score, cx1 + w * 0.25 AS bx1, cy1 AS by1, cx1 + w * 0.75 AS bx2, cy1 + h * 0.5 AS by2 FROM (SELECT frame, track_id, CAST(0 AS BIGINT) AS cand_id, cx1, cy1, cx2 - cx1 AS w, cy2 - cy1 AS h FROM ({CLAMPED}) c WHERE cx2 - cx1 >= 8 AND cy2 - cy1 >= 8) m WHERE w * h / 40000.0 >= 0.2")
+def model_on_crops(spark, sf_dir):
+    """A model is given crops and proposes a face in the middle of the upper half of each, and a worse one; the better is chosen and moved into the frame."""
+    schema = "frame bigint, track_id bigint, cand_id bigint, cx1 double, cy1 double, score double, bx1 double, by1 double, bx2 double, by2 double"
+
+    def load():
+        def model(batch):
+            w, h = batch["cx2"] - batch["cx1"], batch["cy2"] - batch["cy1"]
+            good = batch[["frame", "track_id", "cx1", "cy1"]].assign(cand_id=0, score=w * h / 40000.0, bx1=w * 0.25, by1=0.0, bx2=w * 0.75, by2=h * 0.5)
+            return pd.concat([good, good.assign(cand_id=1, score=good["score"] / 2)])[[c.split()[0] for c in schema.split(", ")]]
+
+        return model
+
+    found = geometry.apply_model(crops(spark, sf_dir), load, schema)
+    return geometry.to_frame(geometry.best_face(found, 0.2)).select("frame", "track_id", "cand_id", "score", "bx1", "by1", "bx2", "by2")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many detections of each track have a face?"""
     return face_summary(spark, sf_dir)
