@@ -28,6 +28,8 @@ def top_k(df: DataFrame, k: int, ties: str = "simple", keys=None, arrival: str =
 
     ties="simple": equal scores go by ``arrival``. ties="exact": as a heap of k fed by ``arrival`` leaves it: of the rows of the k-th
     score s, those among the first k arrivals of score s or more may stay, and of them the latest do.
+
+    Every rank is cut at k, so that Spark cuts each task's rows before the shuffle: a track of very many rows is not gathered whole.
     """
     keys = keys or [c for c in keys_of(df) if c != "frame"]
     df = df.where(present("score") & (F.col("embedding").isNotNull() if "embedding" in df.columns else F.lit(True)))
@@ -35,13 +37,15 @@ def top_k(df: DataFrame, k: int, ties: str = "simple", keys=None, arrival: str =
         return df.limit(0)
     of = Window.partitionBy(*keys)
     best = F.row_number().over(of.orderBy(F.desc("score"), arrival))
+    simple = df.withColumn("_rank", best).where(F.col("_rank") <= k).drop("_rank")
     if ties == "simple":
-        return df.withColumn("_rank", best).where(F.col("_rank") <= k).drop("_rank")
-    ranked = df.withColumns({"_rank": best, "_n": F.count("*").over(of)})
-    ranked = ranked.withColumn("_kth", F.max(F.when(F.col("_rank") == F.least(F.lit(k), F.col("_n")), F.col("score"))).over(of)).where("score >= _kth")
-    ranked = ranked.withColumn("_order", F.row_number().over(of.orderBy(arrival))).where((F.col("score") > F.col("_kth")) | (F.col("_order") <= k))
+        return simple
+    least = simple.groupBy(*(F.col(c).alias(f"_of_{c}") for c in keys)).agg(F.min("score").alias("_kth"))
+    among = df.join(least, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]).where("score >= _kth")
+    first = among.withColumn("_order", F.row_number().over(of.orderBy(arrival))).where(F.col("_order") <= k).where("score = _kth")
+    both = among.where("score > _kth").unionByName(first.drop("_order"))
     last = F.row_number().over(of.orderBy(F.desc("score"), F.desc(arrival)))
-    return ranked.withColumn("_last", last).where(F.col("_last") <= k).drop("_rank", "_n", "_kth", "_order", "_last")
+    return both.withColumn("_last", last).where(F.col("_last") <= k).select(*df.columns)
 
 
 def best_first(df: DataFrame, keys=None) -> DataFrame:

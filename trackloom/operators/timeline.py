@@ -19,12 +19,18 @@ def on_timeline(df: DataFrame, inputs: DataFrame, local: Column | None = None) -
     return df.join(own, "input_id").withColumn("t_exp", local + F.col("time_offset"))
 
 
-def gaze_summary(gaze: DataFrame, time: str = "gaze_video_time", by: str = "participant") -> DataFrame:
-    """Of each participant: samples, valid ones, gaps and the mean and largest interval between samples."""
-    step = F.col(time) - F.lag(time).over(Window.partitionBy(by).orderBy(time))
+def gaze_summary(gaze: DataFrame, time: str = "gaze_video_time", by: str = "participant", bucket: float = 60_000.0) -> DataFrame:
+    """Of each participant: samples, valid ones, gaps and the whole and largest interval between samples.
+
+    Samples are summed by participant and bucket of time, then over the buckets of each: a long recording is dealt over many tasks.
+    """
+    step = F.col(time) - F.lag(time).over(Window.partitionBy(by, "_bucket").orderBy(time))
     valid = present(F.col("gaze_x").cast("double")) & present(F.col("gaze_y").cast("double"))
-    rows = gaze.withColumns({"_step": step, "_valid": valid})
-    return rows.groupBy(by).agg(F.count("*").alias("samples"), F.count_if("_valid").alias("valid"), F.count_if(~F.col("_valid")).alias("missing"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.max("_step").alias("largest_step"), F.sum("_step").alias("total_step"))
+    rows = gaze.withColumns({"_bucket": F.floor(F.col(time) / bucket), "_valid": valid}).withColumn("_step", step)
+    parts = rows.groupBy(by, "_bucket").agg(F.count("*").alias("n"), F.count_if("_valid").alias("v"), F.count(time).alias("t"), F.min(time).alias("a"), F.max(time).alias("z"), F.max("_step").alias("_step"))
+    parts = parts.withColumn("_gap", F.col("a") - F.lag("z").over(Window.partitionBy(by).orderBy("_bucket")))
+    whole = F.when(F.sum("t") > 1, F.max("z") - F.min("a"))
+    return parts.groupBy(by).agg(F.sum("n").alias("samples"), F.sum("v").alias("valid"), (F.sum("n") - F.sum("v")).alias("missing"), F.min("a").alias("first_time"), F.max("z").alias("last_time"), F.greatest(F.max("_step"), F.max("_gap")).alias("largest_step"), whole.alias("total_step"))
 
 
 def asof(frames: DataFrame, samples: DataFrame, by: list[str], time: str, tolerance: float, values: list[str]) -> DataFrame:

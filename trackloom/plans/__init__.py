@@ -10,7 +10,7 @@ from .. import sources, streaming
 from ..functions import to_half
 from ..operators import detections, geometry, summary, timeline
 from ..operators import embeddings as vectors
-from ..schemas import CORNERS, FACE_COLUMNS, POSE_COLUMNS, SKELETON
+from ..schemas import CORNERS, FACE_COLUMNS, KEYPOINTS, POSE_COLUMNS, SKELETON
 from ..sources import manifest
 from ..sources.shared import shared_path
 from . import fixtures as fx
@@ -85,9 +85,12 @@ def pose_frames(spark, sf_dir) -> DataFrame:
     return best.groupBy(F.col("frame").alias("frame_idx")).agg(F.collect_list(pose).alias("poses"))
 
 
-@query(f"SELECT frame, track_id, score AS pose_score, bx1 AS pose_x1, by2 AS pose_y2, bx1 AS pose_nose_x, by1 + 32 AS pose_right_ankle_y, CASE WHEN cand_id % 17 = 0 THEN 0.0 ELSE score END AS pose_nose_score FROM ({POSE}) p")
+POINTS = ", ".join(f"bx1 + {i} AS pose_{p}_x, by1 + {2 * i} AS pose_{p}_y, CASE WHEN cand_id % 17 = {i} THEN 0.0 ELSE score END AS pose_{p}_score" for i, p in enumerate(KEYPOINTS))
+
+
+@query(f"SELECT frame, track_id, score AS pose_score, {', '.join(f'b{c} AS pose_{c}' for c in CORNERS)}, {POINTS} FROM ({POSE}) p")
 def poses_flatten(spark, sf_dir):
-    return detections.flatten_poses(pose_frames(spark, sf_dir)).select("frame", "track_id", "pose_score", "pose_x1", "pose_y2", "pose_nose_x", "pose_right_ankle_y", "pose_nose_score")
+    return detections.flatten_poses(pose_frames(spark, sf_dir)).select("frame", "track_id", *POSE_COLUMNS)
 
 
 @query(f"SELECT frame, track_id, cand_id, score, bx1, by1, bx2, by2 FROM ({FACE}) f")
@@ -293,10 +296,12 @@ def input_violations(spark, sf_dir):
     return manifest.violations(rows.select("id", "kind"))
 
 
-@query(f"SELECT id, 'data/' || id || '.mp4' AS stored, '/exp/data/' || id || '.mp4' AS resolved FROM ({fx.INPUTS}) i")
+@query(f"SELECT id, CASE kind WHEN 'glasses_video' THEN 'data/' WHEN 'fixed_video' THEN '/mnt/' ELSE '../' END || id || '.mp4' AS stored, CASE kind WHEN 'glasses_video' THEN '/exp/data/' WHEN 'fixed_video' THEN '/mnt/' ELSE '/exp/../' END || id || '.mp4' AS resolved, kind = 'audio' AS parents FROM ({fx.INPUTS}) i")
 def path_resolution(spark, sf_dir):
-    rows = fx.inputs(spark, sf_dir).withColumn("resolved", manifest.resolve(F.concat(F.lit("data/"), "id", F.lit(".mp4")), F.lit("/exp/")))
-    return rows.select("id", manifest.store(F.col("resolved"), F.lit("/exp")).alias("stored"), "resolved")
+    """Paths in the folder, elsewhere, and with parent segments, which are flagged as they are."""
+    folder = F.when(F.col("kind") == "glasses_video", "data/").when(F.col("kind") == "fixed_video", "/mnt/").otherwise("../")
+    rows = fx.inputs(spark, sf_dir).withColumn("resolved", manifest.resolve(F.concat(folder, "id", F.lit(".mp4")), F.lit("/exp/")))
+    return rows.select("id", manifest.store(F.col("resolved"), F.lit("/exp")).alias("stored"), "resolved", manifest.has_parent_segments(F.col("resolved")).alias("parents"))
 
 
 @query(f"SELECT DISTINCT id FROM (SELECT short_id AS id FROM ({fx.INPUTS}) i) j")
