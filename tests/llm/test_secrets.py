@@ -68,9 +68,10 @@ def test_mask_keeps_columns_and_removes_secrets(spark, docs):
 
 def battery(v):
     """The inferred encoding's alphabet, the three tests' z and the p-value's bin of a run, plainly."""
-    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
-    which = 0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else 1 if re.fullmatch("[A-Z2-7]+=*", v) else 2
-    body = (v.lower() if which == 0 else v.replace("-", "+").replace("_", "/")).replace("=", "")
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    patterns = ["[0-9a-f]+|[0-9A-F]+", "[a-z]+|[A-Z]+", "[A-Z2-7]+=*", "[0-9a-z]+|[0-9A-Z]+", ".*"]
+    which = next(i for i, p in enumerate(patterns) if re.fullmatch(p, v))
+    body = (v.lower() if which in (0, 1, 3) else v.replace("-", "+").replace("_", "/")).replace("=", "")
     codes, k, n = [alphabets[which].index(c) for c in body], len(alphabets[which]), max(2, len(body))
     chi = sum(codes.count(c) ** 2 for c in set(codes)) * k / n - n
     z_chi = ((max(1e-9, chi) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
@@ -88,7 +89,7 @@ def battery(v):
     for c in body.lower():
         log += math.log(S.PROSE * S.LETTERS[ord(c) - 97] / sum(S.LETTERS) + (1 - S.PROSE) / 26) if c.isalpha() else math.log(0.1 if c.isdigit() else 0.5)
     grade = min(S.BINS, max(0, math.floor((-n * math.log(k) - log) * 4 / math.log(10))))
-    return k * 100 + math.floor(math.log2(len(v) / 20)), grade, max(abs(z_chi), abs(z_runs), abs(z_serial)) <= S.Z
+    return which * 100 + math.floor(math.log2(len(v) / 20)), grade, max(abs(z_chi), abs(z_runs), abs(z_serial)) <= S.Z
 
 
 def brute_random(texts):
@@ -102,7 +103,7 @@ def brute_random(texts):
     return [[(b, e) for b, e, g, grade, ok in own if ok and grade >= least[g] and not any(x < e and b < y for x, _, y in brute(t))] for own, t in zip(runs, texts, strict=True)]
 
 
-ALPHABETS = {"base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.9), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.9), "upper hex": ("0123456789ABCDEF", 0.9)}
+ALPHABETS = {"base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.9), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.9), "upper hex": ("0123456789ABCDEF", 0.9), "small letters and digits": ("abcdefghijklmnopqrstuvwxyz0123456789", 0.9), "capitals and digits": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.9), "capitals": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.9), "small letters": ("abcdefghijklmnopqrstuvwxyz", 0.9)}
 
 
 def test_battery_equals_brute_force_and_finds_keys_of_each_encoding(spark):

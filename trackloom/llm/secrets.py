@@ -1,7 +1,7 @@
 """Operator 10: secret scans, in DataFrame functions only.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). The battery adds ``random`` spans: maximal runs of 20 or more
-characters of the encodings' alphabets that look drawn at random. Of each run the encoding is inferred (hex, base32 or base64) and
+characters of the encodings' alphabets that look drawn at random. Of each run the encoding is inferred (hex, letters of one case, base32, letters of one case with digits, or base64) and
 tested: chi-squared uniformity over that alphabet, the number of runs about the middle of the alphabet, and the serial
 correlation of neighbours; a random string fails none of them (|z| at most ``Z``).
 
@@ -10,7 +10,7 @@ capitals and signs change places at a low rate and letters are as frequent as in
 alphabet are equally likely. An ordinary run has a likelihood ratio of 1 / p or more with a chance of p at most (Markov's bound), which
 gives each run its p-value. All runs of the table are counted by encoding, length class and p-value bin, and the Benjamini-Hochberg
 rule picks each group's bin at ``FALSE`` expected false discoveries. The counts are an aggregate of a fixed number of bins, so nothing
-grows with the data but the scan. Strings of small letters alone are never found: as base64 they are less likely than as prose.
+grows with the data but the scan.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows and ties are reported as they
 are; an empty table gives an empty result. Runs of signs alone (a line of "=") are no strings of an encoding and are never found.
@@ -95,68 +95,120 @@ def _spans(df: DataFrame, text: str, into: str, pattern: str, kind: int, unless:
     return df.drop(m, p)
 
 
-def _tests(get) -> list[dict[str, Column]]:
-    """The tests of a run, in layers: each layer may use the fields of those before it, through ``get``."""
-    v, n, k = get("value"), get("n").cast("double"), get("k").cast("double")
-    hexed, base32 = v.rlike("^([0-9a-f]+|[0-9A-F]+)$"), v.rlike("^[A-Z2-7]+=*$")
-    alphabet = F.when(hexed, F.lit("0123456789abcdef")).when(base32, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).otherwise(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
-    body = F.regexp_replace(F.when(hexed, F.lower(v)).otherwise(F.translate(v, "-_", "+/")), "=", "")
+#: The alphabets of the encodings, in the order in which they are inferred: the first that holds the whole run. A pattern of the run, and the alphabet
+#: that its characters, in small letters where ``folded``, are taken from.
+ENCODINGS = (
+    ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", True),
+    ("^([a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz", True),
+    ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", False),
+    ("^([0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", True),
+    ("^", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", False),
+)
+
+
+def _first(value: Column, of) -> Column:
+    """``of`` the first encoding whose pattern the run ``value`` has."""
+    out = of(ENCODINGS[-1])
+    for encoding in reversed(ENCODINGS[:-1]):
+        out = F.when(value.rlike(encoding[0]), of(encoding)).otherwise(out)
+    return out
+
+
+def _neighbours(x: Column) -> tuple[Column, Column]:
+    return F.slice(x, 1, F.greatest(F.lit(0), F.size(x) - 1)), F.slice(x, 2, F.size(x))
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+
+
+def _signs(x: Column) -> Column:
+    return F.filter(F.split(x, ""), lambda c: c != "")
+
+
+# The tests of a run, in layers: each may use the fields of those before it, through ``get``.
+
+
+def _inferred(get) -> dict[str, Column]:
+    v = get("value")
+    text = F.regexp_replace(F.translate(v, "-_", "+/"), "=", "")
     kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "-_/=", "+++")
-    codes, high = get("codes"), get("high")
-    neighbours = lambda x: (F.slice(x, 1, F.greatest(F.lit(0), F.size(x) - 1)), F.slice(x, 2, F.size(x)))
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-    square = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter(codes, lambda y: y == x)), F.lit(2)))
-    excess = F.greatest(F.lit(1e-9), square * k / n - n) / (k - 1)
-    up, mean, vary = get("up"), get("mean"), get("vary")
-    expected = 1 + 2 * up * (n - up) / n
-    spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1)))
+    return {"alphabet": _first(v, lambda e: F.lit(e[1])), "encoding": _first(v, lambda e: F.lit(ENCODINGS.index(e))), "body": F.when(_first(v, lambda e: F.lit(e[2])), F.lower(text)).otherwise(text), "kinds": kinds}
+
+
+def _coded(get) -> dict[str, Column]:
+    alphabet, body = get("alphabet"), get("body")
+    return {"n": F.greatest(F.lit(2), F.length(body)), "k": F.length(alphabet), "codes": F.transform(_signs(body), lambda x: F.position(x, alphabet) - 1)}
+
+
+def _measured(get) -> dict[str, Column]:
+    codes, k = get("codes"), get("k").cast("double")
     letters = [math.log(PROSE * x / sum(LETTERS) + (1 - PROSE) / 26) for x in LETTERS]
     prose = F.array(*(F.lit(x) for x in letters + [math.log(1 / 10)] * 10 + [math.log(1 / 2)] * 2))
-    plain = F.transform(F.filter(F.split(F.lower(get("body")), ""), lambda x: x != ""), lambda x: F.get(prose, F.position(x, F.lit("abcdefghijklmnopqrstuvwxyz0123456789+/")) - 1))
+    return {
+        "high": F.transform(codes, lambda x: (2 * x >= k).cast("int")),
+        "mean": _total(codes) / get("n"),
+        "changes": F.size(F.filter(F.zip_with(*_neighbours(_signs(get("kinds"))), lambda a, b: a != b), lambda x: x)),
+        "plain": _let(prose, lambda p: F.transform(_signs(F.lower(get("body"))), lambda x: F.get(p, F.position(x, F.lit("abcdefghijklmnopqrstuvwxyz0123456789+/")) - 1))),
+    }
+
+
+def _counted(get) -> dict[str, Column]:
+    codes, high, mean = get("codes"), get("high"), get("mean")
+    return {
+        "up": _total(high),
+        "vary": F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)),
+        "runs": F.size(F.filter(F.zip_with(*_neighbours(high), lambda a, b: a != b), lambda x: x)) + 1,
+        "square": F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter(codes, lambda y: y == x)), F.lit(2))),
+    }
+
+
+def _graded(get) -> dict[str, Column]:
+    n, k, up, mean, vary = get("n").cast("double"), get("k").cast("double"), get("up"), get("mean"), get("vary")
+    excess = F.greatest(F.lit(1e-9), get("square") * k / n - n) / (k - 1)
+    expected = 1 + 2 * up * (n - up) / n
+    spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1)))
     changes, steps = get("changes"), F.greatest(F.lit(0), F.length(get("kinds")) - 1)
-    ordinary = total(get("plain")) + changes * math.log(CHANGE / 3) + (steps - changes) * math.log(1 - CHANGE) + math.log(1 / 4)
+    ordinary = _total(get("plain")) + changes * math.log(CHANGE / 3) + (steps - changes) * math.log(1 - CHANGE) + math.log(1 / 4)
     evidence = -n * F.log(k) - ordinary
-    return [
-        {"alphabet": alphabet, "body": body, "kinds": kinds},
-        {"n": F.greatest(F.lit(2), F.length(get("body"))), "k": F.length(get("alphabet")), "codes": F.transform(F.filter(F.split(get("body"), ""), lambda x: x != ""), lambda x: F.position(x, get("alphabet")) - 1)},
-        {
-            "high": F.transform(codes, lambda x: (2 * x >= k).cast("int")),
-            "mean": total(codes) / n,
-            "changes": F.size(F.filter(F.zip_with(*neighbours(F.filter(F.split(get("kinds"), ""), lambda x: x != "")), lambda a, b: a != b), lambda x: x)),
-            "plain": plain,
-        },
-        {
-            "up": total(high),
-            "vary": F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)),
-            "runs": F.size(F.filter(F.zip_with(*neighbours(high), lambda a, b: a != b), lambda x: x)) + 1,
-        },
-        {
-            "z_chi": (F.pow(excess, F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1))),
-            "z_runs": F.when((up > 0) & (up < n), (get("runs") - expected) / spread).otherwise(F.lit(99.0)),
-            "z_serial": F.when(vary > 0, total(F.zip_with(*neighbours(codes), lambda a, b: (a - mean) * (b - mean))) / vary * F.sqrt(n - 1)).otherwise(F.lit(99.0)),
-            "bin": F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(evidence * (4 / math.log(10))))).cast("int"),
-            "group": (100 * F.length(get("alphabet")) + F.floor(F.log2(F.length(v) / 20))).cast("int"),
-        },
-        {"passes": (F.abs(get("z_chi")) <= Z) & (F.abs(get("z_runs")) <= Z) & (F.abs(get("z_serial")) <= Z)},
-    ]
-
-
-def _layer(number: int, keep: tuple[str, ...]):
-    return lambda r: F.struct(*(r[f].alias(f) for f in keep), *(x.alias(f) for f, x in _tests(lambda name: r[name])[number].items()))
+    return {
+        "z_chi": (F.pow(excess, F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1))),
+        "z_runs": F.when((up > 0) & (up < n), (get("runs") - expected) / spread).otherwise(F.lit(99.0)),
+        "z_serial": F.when(vary > 0, _total(F.zip_with(*_neighbours(get("codes")), lambda a, b: (a - mean) * (b - mean))) / vary * F.sqrt(n - 1)).otherwise(F.lit(99.0)),
+        "bin": F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(evidence * (4 / math.log(10))))).cast("int"),
+        "group": (100 * get("encoding") + F.floor(F.log2(F.length(get("value")) / 20))).cast("int"),
+    }
+
+
+def _judged(get) -> dict[str, Column]:
+    return {"passes": (F.abs(get("z_chi")) <= Z) & (F.abs(get("z_runs")) <= Z) & (F.abs(get("z_serial")) <= Z)}
+
+
+LAYERS = (_inferred, _coded, _measured, _counted, _graded, _judged)
 
 
 def _runs(df: DataFrame, text: str, into: str) -> DataFrame:
     """``df`` with ``into``: its candidate runs and their tests, as an array of structs."""
     df = _spans(df, text, into, RUN, 3)
     fields = ["start", "end", "value"]
-    for layer in range(6):
-        tests = _tests(lambda name: F.lit(0))[layer]
-        keep = fields if layer < 5 else ["start", "end", "bin", "group"]
-        df = df.withColumn(into, F.transform(into, _layer(layer, tuple(keep))))
-        fields += list(tests)
+    for layer in LAYERS:
+        more: list[str] = []
+        df = df.withColumn(into, F.transform(into, _with(layer, ["start", "end", "bin", "group"] if layer is _judged else fields, more)))
+        fields = fields + more
     return df
 
 
+def _with(layer, keep: list[str], made: list[str]):
+    """A run's struct with the fields ``keep`` and those of ``layer``, whose names go to ``made``."""
+
+    def struct(r: Column) -> Column:
+        tests = layer(lambda name: r[name])
+        made[:] = tests
+        return F.struct(*(r[f].alias(f) for f in keep), *(x.alias(f) for f, x in tests.items()))
+
+    return struct
+
+
 def limits(df: DataFrame, column: str = "text") -> dict[int, int]:
     """By encoding and length class, the least bin of p-values that Benjamini-Hochberg accepts. At most some 80 groups of BINS bins."""
     rows = _runs(df.select(F.coalesce(column, F.lit("")).alias("t")), "t", "r").select(F.explode("r").alias("r"))
