@@ -10,9 +10,12 @@ the window must be 0.75 or more on average over all pieces of the template (0 fo
 largest such average of its templates. A whole license counts as several templates if its parts are told apart (its opening, the rest).
 
 A band of one row holds a single shingle, so a window can only meet a piece in a band if it holds the piece's least shingle
-of that band: windows are evaluated where one of those shingles occurs, which is the same result as evaluating all. Those shingles are
-tested as a literal set in blocks of at most ``BLOCK`` (their number is checked; more templates make more blocks, each its own pass).
-With at most PIECE hashes each they bound the broadcast table of pieces too.
+of that band: windows are evaluated where one of those shingles (seeds) occurs, which is the same result as evaluating all. The distinct seeds are
+tested as a literal set in blocks of at most about ``BLOCK`` (more templates make more blocks, each its own pass).
+
+Templates that share an opening share seeds, so a seed may stand for very many pieces. What a window must show depends on the seed's band and the piece's size
+only: windows are tested once for each such shape, and only those that pass meet the seed's pieces, one row a piece. Both tables are joined as rows: by
+broadcast while their rows are few (``FEW``, which bounds their bytes), else by a shuffle that deals each seed and piece over ``SALTS`` tasks.
 
 Texts are cut into chunks of ``CHUNK`` words, each with the words about it that windows at its edges reach into; a place where a seed occurs
 carries only the shingles about it. So a row's size follows neither the text's length nor the number of its licenses.
@@ -28,7 +31,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stow
+
 SHINGLE, PIECE, BANDS, SHARE, BLOCK, CHUNK = 5, 64, 8, 0.75, 10_000, 2048
+#: Rows of a broadcast table: of a few numbers, or of PIECE hashes.
+FEW, SALTS = 50_000, 16
 #: Shingles on either side of a seed that its windows, and what is about them, may reach.
 REACH = PIECE + 2 * (PIECE // 4)
 #: Well-known license notices, by SPDX name.
@@ -89,14 +96,16 @@ def pieces(table: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, table: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, license, share, first_word, n_windows): a row for each row of ``docs`` and license found."""
-    made = pieces(table)
-    size = made.select(F.explode("bands")).distinct().count()
-    blocks = max(1, -(-size // BLOCK))
-    parts = [_scan(docs, made.where(F.pmod(F.xxhash64("template"), F.lit(blocks)) == b), key, column) for b in range(blocks)]
-    every = parts[0]
-    for p in parts[1:]:
+    made = stow(pieces(table), "pieces")
+    seeds = made.select("template", "piece", "size", "n", F.posexplode("bands").alias("band", "seed"))
+    distinct = seeds.select("n", "seed").distinct()
+    blocks = max(1, -(-distinct.count() // BLOCK))
+    docs = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(column).alias("text"))
+    places = [_places(docs, distinct.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b)) for b in range(blocks)]
+    every = places[0]
+    for p in places[1:]:
         every = every.union(p)
-    return every
+    return _verify(every, seeds, made, key)
 
 
 def _chunks(w: Column) -> Column:
@@ -107,48 +116,54 @@ def _chunks(w: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - 1), F.lit(CHUNK)), cut)
 
 
-def _scan(docs: DataFrame, made: DataFrame, key: str, column: str) -> DataFrame:
+def _places(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(key, row, i, seed, at, about): where a seed occurs, at shingle i, and the shingles about it from ``at`` on."""
     wanted: dict[int, list[int]] = {SHINGLE: [0]}
-    for r in made.select("n", F.explode("bands").alias("seed")).distinct().collect():  # about BLOCK values
+    for r in seeds.collect():  # about BLOCK values
         wanted.setdefault(r["n"], []).append(r["seed"])
-    own = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), words(F.col(column)).alias("w"))
+    own = docs.select("key", "row", words(F.col("text")).alias("w"))
     own = own.select("key", "row", F.explode(_chunks(F.col("w"))).alias("c")).select("key", "row", "c.first", "c.last", "c.base", F.col("c.w").alias("w"))
     own = own.select("key", "row", "first", "last", "base", *(shingles(F.col("w"), n).alias(f"h{n}") for n in wanted))
     kind = "struct<i:int,seed:bigint,at:int,about:array<bigint>>"
     nothing, none = F.array().cast("array<bigint>"), F.lit(None).cast(kind)
 
-    def places(n: int) -> Column:
+    def of_size(n: int) -> Column:
         begin = lambda i: F.greatest(F.lit(0), i - REACH)
         about = lambda i: F.slice(f"h{SHINGLE}", begin(i) + 1, F.lit(2 * REACH + 1)) if n == SHINGLE else nothing
         place = lambda h, i: F.struct((i + F.col("base")).alias("i"), h.alias("seed"), (begin(i) + F.col("base")).alias("at"), about(i).alias("about")).cast(kind)
         inside = lambda i: (i + F.col("base") >= F.col("first")) & (i + F.col("base") < F.col("last"))
         return F.filter(F.transform(f"h{n}", lambda h, i: F.when(h.isin(wanted[n]) & inside(i), place(h, i)).otherwise(none)), lambda x: x.isNotNull())
 
-    own = own.withColumn("at", F.concat(*(places(n) for n in wanted))).select("key", "row", "at")
-    seeds = made.select("license", "template", "piece", "pieces", "size", "n", "hashes", F.posexplode("bands").alias("band", "seed"))
-    by_seed = seeds.groupBy("seed").agg(F.collect_list(F.struct("license", "template", "piece", "pieces", "size", "n", "hashes", "band")).alias("of")).collect()
-    return _verify(own, by_seed, key)
-
-
-def _verify(own: DataFrame, by_seed: list, key: str) -> DataFrame:
-    spark = own.sparkSession
-    rows = [(r["seed"], [tuple(x) for x in r["of"]]) for r in by_seed]
-    kind = "array<struct<license:string,template:bigint,piece:int,pieces:int,size:int,n:int,hashes:array<bigint>,band:int>>"
+    own = own.withColumn("at", F.concat(*(of_size(n) for n in wanted))).select("key", "row", "at")
     # explode_outer, and a filter on its output: a filter on the arrays would be pushed below the projections that make them,
     # and split the text anew for each of its words
-    found = own.select("key", "row", F.explode_outer("at").alias("a")).where("a is not null").select("key", "row", "a.*")
-    found = found.join(F.broadcast(spark.createDataFrame(rows, f"seed bigint, of {kind}")), "seed").select("key", "row", "i", "seed", "at", "about", F.explode("of").alias("p"))
-    step = F.greatest(F.lit(1), F.floor(F.col("p.size") / 4)).cast("int")
-    first, last = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("p.size") + 1) / step)).cast("int"), F.floor(F.col("i") / step).cast("int")
-    found = found.select("key", "row", "seed", "at", "about", "p", step.alias("step"), F.explode(F.sequence(first, F.greatest(first, last))).alias("g"))
-    begin = F.col("g") * F.col("step")
-    window = F.slice("about", begin - F.col("at") + 1, F.col("p.size"))
-    least = F.array_min(F.transform(window, lambda h: F.struct(F.xxhash64(h, F.col("p.band")).alias("x"), h.alias("h"))))["h"]
-    short = F.col("p.n") < SHINGLE  # its seed is all of it
-    met = found.withColumn("begin", begin).where(short | (least == F.col("seed")))
-    about = F.slice("about", F.greatest(F.lit(0), F.col("begin") - F.col("step")) - F.col("at") + 1, F.col("p.size") + 2 * F.col("step"))
-    share = F.when(short, 1.0).otherwise(F.size(F.array_intersect("p.hashes", about)) / F.size("p.hashes"))
-    met = met.select("key", "row", "begin", F.col("p.license").alias("license"), F.col("p.template").alias("template"), F.col("p.piece").alias("piece"), F.col("p.pieces").alias("pieces"), share.alias("share")).where((F.col("pieces") > 1) | (F.col("share") >= SHARE))
+    return own.select("key", "row", F.explode_outer("at").alias("a")).where("a is not null").select("key", "row", "a.*")
+
+
+def _meet(places: DataFrame, table: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """``places`` joined to a table of templates' rows: by broadcast if they are few, else each row of the table in every salt."""
+    if few:
+        return places.join(F.broadcast(table), on)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return places.withColumn("salt", F.pmod(F.xxhash64("row", "begin"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+
+
+def _verify(places: DataFrame, seeds: DataFrame, made: DataFrame, key: str) -> DataFrame:
+    few = seeds.limit(FEW + 1).count() <= FEW
+    shapes = seeds.select("seed", "band", "size", "n").distinct()
+    found = _meet(places.withColumn("begin", F.col("i")), shapes, ["seed"], few).drop("begin")
+    step = F.greatest(F.lit(1), F.floor(F.col("size") / 4)).cast("int")
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("size") + 1) / step)).cast("int"), F.floor(F.col("i") / step).cast("int")
+    found = found.withColumn("step", step).withColumn("g", F.explode(F.sequence(first, F.greatest(first, last)))).withColumn("begin", F.col("g") * F.col("step"))
+    window = F.slice("about", F.col("begin") - F.col("at") + 1, F.col("size"))
+    least = F.array_min(F.transform(window, lambda h: F.struct(F.xxhash64(h, F.col("band")).alias("x"), h.alias("h"))))["h"]
+    short = F.col("n") < SHINGLE  # its seed is all of it
+    about = F.slice("about", F.greatest(F.lit(0), F.col("begin") - F.col("step")) - F.col("at") + 1, F.col("size") + 2 * F.col("step"))
+    met = found.where(short | (least == F.col("seed"))).select("key", "row", "seed", "band", "size", "n", "begin", about.alias("about"))
+    met = _meet(met, seeds, ["seed", "band", "size", "n"], few)
+    met = _meet(met, made.select("license", "template", "piece", "pieces", "hashes"), ["template", "piece"], few)
+    share = F.when(short, 1.0).otherwise(F.size(F.array_intersect("hashes", "about")) / F.size("hashes"))
+    met = met.select("key", "row", "begin", "license", "template", "piece", "pieces", share.alias("share")).where((F.col("pieces") > 1) | (F.col("share") >= SHARE))
     good = F.when(F.col("share") >= SHARE, F.col("begin"))  # of a piece without such a window, its best one counts
     best = met.groupBy("row", "key", "license", "template", "pieces", "piece").agg(F.max("share").alias("share"), F.coalesce(F.min(good), F.min_by("begin", F.struct(-F.col("share"), "begin"))).alias("begin"), F.greatest(F.lit(1), F.countDistinct(good)).alias("windows"))
     whole = best.groupBy("row", "key", "license", "template", "pieces").agg(F.sum("share").alias("total"), F.min("begin").alias("begin"), F.sum("windows").alias("windows")).where(F.col("total") >= SHARE * F.col("pieces"))
