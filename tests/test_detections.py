@@ -117,3 +117,53 @@ def test_apply_model_loads_once_a_task(spark, tracks):
         return score
 
     assert G.apply_model(tracks, load, "frame long, track_id long, score double").count() == 3
+
+
+def test_stored_frames_are_pruned(spark, tmp_path):
+    """Of frames in 50 folders, those of the tracks' buckets are read."""
+    from trackloom import sources
+
+    path = str(tmp_path / "frames")
+    sources.write_frames(spark.range(50_000).selectExpr("'glasses_video' as input_kind", "if(id % 2 = 0, 'a', 'b') as input_id", "id as frame"), path)
+    tracks = spark.createDataFrame([("glasses_video", "a", f, 1) for f in (10, 12, 30_000, 30_001)], "input_kind string, input_id string, frame long, track_id long")
+    found = G.wanted_frames(sources.read_frames(spark, path), tracks)
+    assert sorted((r.input_id, r.frame) for r in found.collect()) == [("a", 10), ("a", 12), ("a", 30_000)]
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+    scans = [m for m in _nodes(plan) if "frame_bucket" in m.toString() and m.nodeName().startswith("Scan parquet") and m.metrics().contains("numPartitions")]
+    assert [m.metrics().apply("numPartitions").value() for m in scans] == [2], [(m.nodeName(), m.toString()[:300], str(m.metrics().keys())) for m in _nodes(plan)]
+
+
+def _nodes(plan):
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        yield from _nodes(plan.executedPlan())
+        return
+    yield plan
+    if "QueryStage" in plan.nodeName():
+        yield from _nodes(plan.plan())
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def test_model_batches_and_profile(spark):
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    crops = spark.range(1000).selectExpr("id as frame", "1L as track_id")
+
+    def load():
+        return lambda batch: batch.assign(n=len(batch))[["frame", "n"]]
+
+    sizes = [r.n for r in G.apply_model(crops, load, "frame long, n long", batch_rows=64).collect()]
+    assert len(sizes) == 1000 and max(sizes) == 64
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+    plan = G.apply_model(crops, load, "frame long, n long", profile=profile)._jdf.queryExecution().executedPlan()
+    assert any(n.nodeName() == "MapInPandas" and n.profile().isDefined() and n.profile().get().taskResources().apply("cpus").amount() == 2.0 for n in _all(plan))
+
+
+def _all(plan):
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.inputPlan()
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _all(plan.children().apply(i))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -34,6 +35,81 @@ def test_gaze_hits_and_summary(spark):
     assert (s.samples, s.valid, s.missing, s.largest_step) == (4, 3, 1, 1)
 
 
+def test_asof_without_tolerance(spark):
+    rnd = random.Random(3)
+    samples = [(p, rnd.randrange(0, 5000), rnd.random()) for p in (0, 1, 2, None) for _ in range(12)] + [(1, None, 0.5)]
+    frames = [(p, t) for p in (0, 1, 2, 3, None) for t in range(0, 9000, 77)] + [(1, None)]
+    left, right = spark.createDataFrame(frames, "p long, t long"), spark.createDataFrame(samples, "p long, t long, x double")
+    for bucket in (50.0, 1000.0, 1e6):
+        got = L.asof(left, right, ["p"], "t", None, ["x"], bucket=bucket).collect()
+        assert len(got) == len(frames)
+        for r in got:
+            near = max(((t, x) for p, t, x in samples if p == r.p and t is not None and r.t is not None and t <= r.t), default=(None, None))
+            assert (r.sample_time, r.x) == near
+
+
+def test_long_segments_equal_brute_force(spark):
+    rnd = random.Random(5)
+    seg = [(a, i, (s := rnd.uniform(-50, 90_000)), s + 10 ** rnd.uniform(-2, 5)) for a in range(2) for i in range(60)] + [(0, 99, 5.0, 5.0), (0, 100, 0.0, 1e9)]
+    fr = [(a, i, (s := rnd.uniform(-100, 100_000)), s + 10 ** rnd.uniform(-2, 4)) for a in range(2) for i in range(150)]
+    left, right = spark.createDataFrame(seg, "a long, i long, seg_start double, seg_end double"), spark.createDataFrame(fr, "a long, frame long, f_start double, f_end double")
+    want = sorted((a, i, f) for a, i, s, e in seg for b, f, x, y in fr if a == b and s < y and x < e and e > s)
+    assert sorted((r.a, r.i, r.frame) for r in L.segment_frames(left, right, "a").collect()) == want
+    short = left.where("i < 99")
+    assert sorted((r.a, r.i, r.frame) for r in L.segment_frames(short, right, "a", bucket=100.0, top=2).collect()) == [w for w in want if w[1] < 99]
+
+
+def test_a_segment_of_a_day_is_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    day = spark.createDataFrame([(0.3, 86_400.3), (7.0, 7.5)], "seg_start double, seg_end double")
+    _, cells = L._buckets("seg_start", "seg_end", 1.0, L.LEVELS)
+    assert max(r[0] for r in day.select(F.size(cells)).collect()) < 20
+
+
+def test_runs_of_frames(spark):
+    from trackloom.operators import summary
+
+    rnd = random.Random(8)
+    frames = {(t, f) for t in (1, 2, None) for f in range(400) if rnd.random() < (0.98 if t == 1 else 0.6)} | {(5, f) for f in range(1000)} | {(6, f) for f in range(0, 200, 2)}
+    want = []
+    for t in (1, 2, 5, 6, None):
+        own = sorted(f for k, f in frames if k == t)
+        starts = [f for f in own if (t, f - 1) not in frames]
+        ends = [f for f in own if (t, f + 1) not in frames]
+        want += [(t, a, z) for a, z in zip(starts, ends, strict=True)]
+    df = spark.createDataFrame([*frames, *list(frames)[:50], (1, None)], "track_id long, frame long")
+    for bucket in (1, 7, 100, 10_000):
+        assert sorted(map(tuple, summary.runs(df, bucket=bucket).collect()), key=repr) == sorted(want, key=repr)
+    assert summary.runs(df.limit(0)).count() == 0
+
+
+def test_streaming_top_k_equals_batch_after_a_restart(spark, folders):
+    from trackloom.operators import embeddings as V
+
+    rnd = random.Random(11)
+    rows = [("a", rnd.randrange(4), f, rnd.randrange(5) / 4 if f % 17 else None, [float(f)]) for f in rnd.sample(range(2000), 600)]
+    schema = "input_id string, track_id long, frame long, score double, embedding array<float>"
+    for part in range(4):
+        spark.createDataFrame(rows[part::4], schema).coalesce(1).write.mode("append").parquet(folders["in"])
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folders["in"])
+        T.keep_top_k(stream, folders["state"], folders["cp"], 5).awaitTermination()  # each time it goes on from the checkpoint
+        so_far = spark.createDataFrame([r for p in range(part + 1) for r in rows[p::4]], schema)
+        want = V.top_k(so_far, 5, ties="exact")
+        key = lambda df: sorted((r.input_id, r.track_id, r.frame, r.score, r.embedding) for r in df.collect())
+        assert key(T.read_top_k(spark, folders["state"], ["input_id", "track_id"])) == key(want)
+
+
+def test_a_batch_touches_its_own_tracks_only(spark, folders):
+    schema = "track_id long, frame long, score double"
+    for part in range(3):
+        spark.createDataFrame([(part, f, 0.5) for f in range(9)], schema).coalesce(1).write.mode("append").parquet(folders["in"])
+        stream = spark.readStream.schema(schema).parquet(folders["in"])
+        T.keep_top_k(stream, folders["state"], folders["cp"], 2).awaitTermination()
+        assert {r.track_id for r in spark.read.parquet(f"{folders['state']}/epoch={part}").collect()} == {part}
+    assert sorted((r.track_id, r.frame) for r in T.read_top_k(spark, folders["state"], ["track_id"]).collect()) == [(t, f) for t in range(3) for f in (0, 1)]
+
+
 def test_segments_equal_brute_force(spark):
     rnd = random.Random(2)
     seg = [(a, i, (s := rnd.uniform(0, 20)), s + rnd.uniform(0, 4)) for a in range(3) for i in range(20)] + [(0, 99, 5.0, 5.0)]
@@ -57,16 +133,16 @@ def test_passes_commit_and_discard(spark, folders):
     T.ingest(T.read_frames(spark, folders["in"], "tracking"), folders["staging"], "tracking", "r1").awaitTermination()
     assert not S.exists(spark, folders["results"]) and T.staged(spark, folders["staging"], "tracking", "r1").count() == 3
     T.commit(spark, folders["staging"], "tracking", "r1", folders["results"])
-    assert spark.read.parquet(folders["results"]).count() == 3 and T.staged(spark, folders["staging"], "tracking", "r1").count() == 0
+    assert S.read_results(spark, folders["results"]).count() == 3 and T.staged(spark, folders["staging"], "tracking", "r1").count() == 0
     face = ((1.0, 1.0, 2.0, 2.0, 1), 0.8, [(1.0, 1.0)] * 5, None)
     spark.createDataFrame([("glasses_video", "a", 0, [face])], T.raw_schema("faces")).write.parquet(folders["faces"])
     stream = T.read_frames(spark, folders["faces"], "faces")
     T.ingest(stream, folders["staging"], "faces", "r2").awaitTermination()
     T.discard(spark, folders["staging"], "faces", "r2")
-    assert "face_score" not in spark.read.parquet(folders["results"]).columns
+    assert "face_score" not in S.read_results(spark, folders["results"]).columns
     T.ingest(stream, folders["staging"], "faces", "r3").awaitTermination()
     T.commit(spark, folders["staging"], "faces", "r3", folders["results"])
-    done = spark.read.option("mergeSchema", "true").parquet(folders["results"])
+    done = S.read_results(spark, folders["results"])
     assert done.count() == 3 and done.where("face_score is not null").count() == 1
 
 
@@ -76,11 +152,16 @@ def test_streaming_top_k_progress_and_live_view(spark, folders):
         spark.createDataFrame(rows[k * 5 : k * 5 + 5], "input_id string, track_id long, frame long, score double").coalesce(1).write.mode("append").parquet(folders["in"])
     stream = spark.readStream.schema("input_id string, track_id long, frame long, score double").option("maxFilesPerTrigger", 1).parquet(folders["in"])
     T.keep_top_k(stream, folders["state"], folders["cp"], 3).awaitTermination()
-    last = spark.read.parquet(f"{folders['state']}/epoch=3")
-    assert sorted(r.score for r in last.collect()) == [0.8, 0.9, 0.9]
+    assert sorted(r.score for r in T.read_top_k(spark, folders["state"], ["input_id", "track_id"]).collect()) == [0.8, 0.9, 0.9]
     told = []
-    T.watch(stream.withColumnRenamed("frame", "frame_idx"), told.append, folders["cp2"]).awaitTermination()
-    assert max(t["a"] for t in told) == 19
+    listener = T.Progress(lambda *x: told.append(x), total=20)
+    spark.streams.addListener(listener)
+    T.observed(stream.withColumnRenamed("frame", "frame_idx"), "r7").writeStream.format("noop").option("checkpointLocation", folders["cp2"]).trigger(availableNow=True).start().awaitTermination()
+    deadline = time.monotonic() + 20
+    while (not told or told[-1][2] < 20) and time.monotonic() < deadline:
+        time.sleep(0.05)
+    spark.streams.removeListener(listener)
+    assert told[-1] == ("r7", 19, 20, 20) and len(told) >= 4 and [t[2] for t in told] == sorted(t[2] for t in told)
     stored = spark.createDataFrame([("a", 3, 1, 0.0, 0.0, 1.0, 1.0)], "input_id string, frame long, track_id long, x1 double, y1 double, x2 double, y2 double")
     view = T.live_view(stream.selectExpr("input_id", "frame as frame_idx").where("frame_idx in (3, 4)"), stored)
     q = view.writeStream.format("memory").queryName("live").option("checkpointLocation", folders["cp"] + "3").trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import finite, present, to_half
 from .detections import keys_of
 from .graph import components
+from .metric import within
 
 
 def align(raw: DataFrame, first_frame: int = 1) -> DataFrame:
@@ -60,26 +61,17 @@ def half(df: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def track_means(df: DataFrame, keys=None) -> DataFrame:
-    """keys and ``mean``: the mean vector of each track, scaled to length 1."""
+    """keys and ``mean``: the mean vector of each track, scaled to length 1 (elements null if it is zero: such a track has no direction)."""
     keys = keys or [c for c in keys_of(df) if c != "frame"]
     parts = df.select(*keys, F.posexplode("embedding").alias("i", "x")).groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
     norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
-    return mean.withColumn("mean", F.transform("mean", lambda x: x / norm))
+    return mean.withColumn("mean", F.transform("mean", lambda x: F.try_divide(x, norm)))
 
 
 def identity_pairs(means: DataFrame, least: float, key: str = "track_id") -> DataFrame:
-    """(a, b, cosine) of tracks with a cosine of at least ``least``, a < b; means of length 1.
-
-    Then |a - b| ** 2 <= 2 - 2 * least, and no coordinate differs by more than the root of that: with buckets of this width on the
-    first coordinate, every partner is in a track's own bucket or beside it, and the second coordinate is compared before the cosine.
-    """
-    width = (2 - 2 * least) ** 0.5 + 1e-9
-    rows = means.select(F.col(key), "mean", F.floor(F.col("mean")[0] / width).alias("cell"), F.floor(F.get("mean", F.lit(1)) / width).alias("row"))
-    a = rows.select(F.col(key).alias("a"), F.col("mean").alias("u"), F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1)))).alias("cell"), F.col("row").alias("r"))
-    b = rows.select(F.col(key).alias("b"), F.col("mean").alias("v"), "cell", "row")
-    cosine = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, "cell").where("a < b and (r is null or abs(r - row) <= 1)").withColumn("cosine", cosine).where(F.col("cosine") >= least).select("a", "b", "cosine")
+    """(a, b, cosine) of tracks with a cosine of at least ``least``, a < b; means of length 1 (``metric.within``: pivots, rings and blocks)."""
+    return within(means, least, key)
 
 
 def identities(means: DataFrame, pairs: DataFrame, key: str = "track_id") -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import area, finite, present
-from ..schemas import KEYPOINTS, SKELETON
+from ..schemas import FRAME_BUCKET, KEYPOINTS, SKELETON
+from ..sources import frame_bucket
+from ..sources.shared import stow
 from .detections import keys_of
 
 #: Fixed value: a crop has this many pixels at least on each side.
@@ -34,9 +37,18 @@ def crop_requests(tracks: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def wanted_frames(frames: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Only frames with a tracked box."""
+    """Only frames with a tracked box.
+
+    Frames stored by ``sources.write_frames`` lie in folders by bucket of frames: then the buckets that the tracks name are found first (written, so that their size
+    is known), and Spark reads only these folders.
+    """
     keys = [k for k in keys_of(frames) if k in tracks.columns and k != "track_id"]
-    return frames.join(tracks.select(*keys).distinct(), keys, "left_semi")
+    wanted = tracks.select(*keys).distinct()
+    if FRAME_BUCKET in frames.columns:
+        own = [k for k in keys if k != "frame"]
+        buckets = stow(tracks.select(*own, frame_bucket().alias(FRAME_BUCKET)).distinct(), "buckets")
+        frames = frames.join(buckets.where(f"{FRAME_BUCKET} >= 0"), [*own, FRAME_BUCKET], "left_semi")
+    return frames.join(wanted, keys, "left_semi")
 
 
 def best_of(candidates: DataFrame, order, keys=None) -> DataFrame:
@@ -97,15 +109,19 @@ def skeleton_edges(points: DataFrame) -> DataFrame:
 
 
 def pose_edges(df: DataFrame) -> DataFrame:
-    """Segments between two visible keypoints of a flat pose: keys, edge, ax, ay, bx, by. All of them lie in one row, so nothing is shuffled."""
+    """Segments between two visible keypoints of a flat pose: keys, edge, ax, ay, bx, by. All of them lie in one row, so nothing is shuffled.
+
+    Whether a keypoint is visible is found once each, though up to four edges end in it.
+    """
+    at = lambda n: tuple(f"pose_{n}_{x}" for x in ("x", "y", "score"))
+    ends = sorted({KEYPOINTS[i] for edge in SKELETON for i in edge})
+    seen = df.where(present("pose_score")).withColumns({f"_seen_{n}": visible(*at(n)) for n in ends})
 
     def segment(i: int, a: str, b: str):
-        at = lambda n: tuple(f"pose_{n}_{x}" for x in ("x", "y", "score"))
-        seen = visible(*at(a)) & visible(*at(b))
-        return F.struct(F.lit(i).alias("edge"), *(F.col(f"pose_{n}_{x}").alias(f"{c}{x}") for n, c in ((a, "a"), (b, "b")) for x in "xy"), seen.alias("seen"))
+        return F.when(F.col(f"_seen_{a}") & F.col(f"_seen_{b}"), F.struct(F.lit(i).alias("edge"), *(F.col(f"pose_{n}_{x}").alias(f"{c}{x}") for n, c in ((a, "a"), (b, "b")) for x in "xy")))
 
     edges = F.array(*(segment(i, KEYPOINTS[a], KEYPOINTS[b]) for i, (a, b) in enumerate(SKELETON)))
-    rows = df.where(present("pose_score")).select(*keys_of(df), F.explode(edges).alias("e")).where("e.seen")
+    rows = seen.select(*keys_of(df), F.explode(edges).alias("e")).where("e is not null")
     return rows.select(*keys_of(df), *(f"e.{c}" for c in ("edge", "ax", "ay", "bx", "by")))
 
 
@@ -114,12 +130,19 @@ def box_rect(df: DataFrame) -> DataFrame:
     return df.select(*keys_of(df), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
 
 
-def apply_model(crops: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """Score crops with a user's batch function; ``load`` runs once in each task and returns it. Crops of a frame stay together."""
+def apply_model(crops: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, batch_rows: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """Score crops with a user's batch function; ``load`` runs once in each task and returns it. Crops of a frame stay together.
+
+    batch_rows: the model is never given more rows at once (a device's memory bounds them), whatever Arrow's batches are. profile: what the
+    stage that runs the model needs of its executors and tasks (a share of a GPU, more memory); the other stages keep the session's.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            yield model(batch)
+            step = batch_rows or max(1, len(batch))
+            for at in range(0, len(batch), step):
+                yield model(batch.iloc[at : at + step].reset_index(drop=True))
 
-    return crops.repartition(*[k for k in keys_of(crops) if k != "track_id"]).mapInPandas(run, schema)
+    placed = crops.repartition(*[k for k in keys_of(crops) if k != "track_id"])
+    return placed.mapInPandas(run, schema, profile=profile)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import present
@@ -18,6 +18,25 @@ def found(df: DataFrame, score: str, by=()) -> DataFrame:
 
 
 def coverage(df: DataFrame, by=("track_id",), frames: bool = False) -> DataFrame:
-    """Of each track the frames it spans: first, last, how many; with ``frames`` also which (for short tracks)."""
+    """Of each track the frames it spans: first, last, how many; with ``frames`` also which, in one array (for short tracks: ``runs`` has no such bound)."""
     out = [F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.countDistinct("frame").alias("n_frames")]
     return df.groupBy(*by).agg(*out, *([F.array_sort(F.collect_set("frame")).alias("frames")] if frames else []))
+
+
+def runs(df: DataFrame, by=("track_id",), bucket: int = 10_000) -> DataFrame:
+    """Of each track its runs of frames without a gap: first_frame, last_frame (gaps and islands; repeated frames count once).
+
+    Frames are dealt by track and bucket of frames, and each bucket finds its own runs. Only runs that reach a bucket's edge may go on
+    beyond it: they, at most two a bucket, are ordered within a track and joined; all others are whole. No row or task holds all frames of a track.
+    """
+    by = list(by)
+    seen = df.where("frame is not null").select(*by, F.col("frame").cast("bigint").alias("frame"), F.floor(F.col("frame") / bucket).alias("_bucket")).distinct()
+    island = F.col("frame") - F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("frame"))
+    parts = seen.withColumn("_island", island).groupBy(*by, "_bucket", "_island").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame")).drop("_island")
+    low, high = F.col("_bucket") * bucket, (F.col("_bucket") + 1) * bucket - 1
+    parts = parts.withColumn("_open", (F.col("first_frame") == low) | (F.col("last_frame") == high)).drop("_bucket")
+    order = Window.partitionBy(*by).orderBy("first_frame")
+    begins = F.coalesce(F.col("first_frame") > F.lag("last_frame").over(order) + 1, F.lit(True))
+    joined = parts.where("_open").withColumn("_begins", begins.cast("int")).withColumn("_run", F.sum("_begins").over(order))
+    joined = joined.groupBy(*by, "_run").agg(F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame")).drop("_run")
+    return joined.unionByName(parts.where("not _open").drop("_open"))

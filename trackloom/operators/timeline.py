@@ -33,23 +33,43 @@ def gaze_summary(gaze: DataFrame, time: str = "gaze_video_time", by: str = "part
     return parts.groupBy(by).agg(F.sum("n").alias("samples"), F.sum("v").alias("valid"), (F.sum("n") - F.sum("v")).alias("missing"), F.min("a").alias("first_time"), F.max("z").alias("last_time"), F.greatest(F.max("_step"), F.max("_gap")).alias("largest_step"), whole.alias("total_step"))
 
 
-def asof(frames: DataFrame, samples: DataFrame, by: list[str], time: str, tolerance: float, values: list[str]) -> DataFrame:
-    """Each frame with the latest sample at or before it, at most ``tolerance`` earlier; else null.
+def asof(frames: DataFrame, samples: DataFrame, by: list[str], time: str, tolerance: float | None, values: list[str], bucket: float = 60_000.0) -> DataFrame:
+    """Each frame with the latest sample at or before it, at most ``tolerance`` earlier (null: however long ago); else null.
 
-    Samples are put in the time bucket of the tolerance that they fall in and in the next, frames in their own: a recording is then dealt
-    over as many tasks as it has buckets, however long it is. Of samples at one time the last by value stands.
+    Frames and samples are dealt by ``by`` and time bucket, so a recording is as many tasks as it has buckets, however long it is. With a tolerance that is the bucket, and
+    each sample is put in the next one too. Without, each bucket's last sample is carried over its end: one row a bucket is ordered within a
+    recording, and a frame with no sample before it in its own bucket has the one carried to it. Of samples at one time the last by value stands.
     """
-    bucket = F.floor(F.col(time) / tolerance)
+    width = bucket if tolerance is None else tolerance
+    own = F.floor(F.col(time) / width)
     sample = F.struct(F.col(time).alias("t"), *values)
-    left = frames.withColumns({"_bucket": bucket, "_kind": F.lit(1), "_s": F.lit(None).cast(samples.select(sample.alias("s")).schema["s"].dataType.simpleString())})
-    right = samples.select(*by, F.col(time), sample.alias("_s"), F.explode(F.array(bucket, bucket + 1)).alias("_bucket"), F.lit(0).alias("_kind"))
+    kind = samples.select(sample.alias("s")).schema["s"].dataType.simpleString()
+    left = frames.withColumns({"_bucket": own, "_kind": F.lit(1), "_s": F.lit(None).cast(kind)})
+    touched = F.array(own) if tolerance is None else F.array(own, own + 1)
+    right = samples.where(F.col(time).isNotNull()).select(*by, F.col(time), sample.alias("_s"), F.explode(touched).alias("_bucket"), F.lit(0).alias("_kind"))
     both = left.unionByName(right, allowMissingColumns=True)
     order = Window.partitionBy(*by, "_bucket").orderBy(time, "_kind", "_s").rowsBetween(Window.unboundedPreceding, 0)
     rows = both.withColumn("_last", F.last("_s", ignorenulls=True).over(order)).where("_kind = 1")
-    near = F.col(time) - F.col("_last.t") <= tolerance
+    if tolerance is None:
+        carried = _carried(left.select(*by, "_bucket"), right.select(*by, "_bucket", "_s"), by, kind)
+        same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"carried.{c}")) for c in (*by, "_bucket")]
+        rows = rows.alias("rows").join(carried.alias("carried"), same, "left").select("rows.*", F.col("carried._before"))
+        rows = rows.withColumn("_last", F.coalesce("_last", "_before"))
+        near = F.lit(True)
+    else:
+        near = F.col(time) - F.col("_last.t") <= tolerance
     return rows.select(*frames.columns, F.when(near, F.col("_last.t")).alias("sample_time"), *(F.when(near, F.col(f"_last.{v}")).alias(v) for v in values))
 
 
+def _carried(frames: DataFrame, samples: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """(by, _bucket, _before): for each bucket with frames, the last sample of the buckets before it."""
+    last = samples.groupBy(*by, "_bucket").agg(F.max("_s").alias("_s"), F.lit(False).alias("_asked"))
+    asked = frames.groupBy(*by, "_bucket").agg(F.lit(None).cast(kind).alias("_s"), F.lit(True).alias("_asked"))
+    ends = last.unionByName(asked).groupBy(*by, "_bucket").agg(F.max("_s").alias("_s"), F.bool_or("_asked").alias("_asked"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.withColumn("_before", F.last("_s", ignorenulls=True).over(before)).where("_asked and _before is not null").select(*by, "_bucket", "_before")
+
+
 def gaze_hits(gaze: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
     """Gaze points with the tracked box that holds them (edges count); of several the smallest, then the smallest track_id."""
     inside = F.col("gaze_x").between(F.col("x1"), F.col("x2")) & F.col("gaze_y").between(F.col("y1"), F.col("y2"))
@@ -60,16 +80,48 @@ def gaze_hits(gaze: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, *points, F.col("b.track_id").alias("track_id"))
 
 
-def segment_frames(segments: DataFrame, frames: DataFrame, by: str, bucket: float = 1.0) -> DataFrame:
+#: Buckets of an interval: their width grows by GROWTH from level to level; an interval's own level is the first at which it touches at most GROWTH + 1.
+GROWTH, LEVELS = 8, 8
+
+
+def _buckets(start: str, end: str, bucket: float, top: int) -> tuple[Column, Column]:
+    """The level of [start, end), and its buckets (level, cell) at that level and, each wider than the last, at all above it up to ``top``."""
+    length = F.col(end) - F.col(start)
+    level = F.lit(LEVELS)
+    for k in reversed(range(LEVELS)):
+        level = F.when(length <= bucket * GROWTH ** (k + 1), F.lit(k)).otherwise(level)
+    empty = F.array().cast("array<struct<level:int,cell:bigint>>")
+    cells = [F.when(level <= k, _touched(start, end, bucket, k)).otherwise(empty) for k in range(top + 1)]
+    return level, F.flatten(F.array(*cells))
+
+
+def _touched(start: str, end: str, bucket: float, level: int) -> Column:
+    """The buckets (level, cell) of one level that [start, end) touches."""
+    size = bucket * float(GROWTH**level)
+    first = F.floor(F.col(start) / size)
+    return F.transform(F.sequence(first, F.greatest(first, F.ceil(F.col(end) / size) - 1)), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
+
+
+def segment_frames(segments: DataFrame, frames: DataFrame, by: str, bucket: float = 1.0, top: int = LEVELS) -> DataFrame:
     """Frames [f_start, f_end) and segments [seg_start, seg_end) of one ``by`` that overlap.
 
-    Both are put in all buckets of ``bucket`` seconds that they touch and meet there; a pair is kept in the first bucket they share.
+    Buckets come in levels, from ``bucket`` seconds upwards, each GROWTH times as wide as the last. An interval has a level of its own, the first at which it touches few
+    buckets, and is put in the buckets that it touches there and at the levels above: a segment of a day is some ten rows, not one a
+    second. Two intervals meet at the higher of their levels, where the longer one is cut into parts of about its eighth; a pair is
+    kept in the first bucket that both touch. Levels above ``top`` are not made: a caller whose frames and segments are all short can save rows by it, longer ones are then cut finer.
     """
-    touch = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.greatest(F.floor(F.col(a) / bucket), F.ceil(F.col(b) / bucket) - 1)))
-    left = segments.where("seg_end > seg_start").withColumn("_bucket", touch("seg_start", "seg_end"))
-    right = frames.where("f_end > f_start").withColumn("_bucket", touch("f_start", "f_end"))
-    met = left.join(right, [by, "_bucket"]).where("seg_start < f_end and f_start < seg_end")
-    return met.where(F.col("_bucket") == F.floor(F.greatest("seg_start", "f_start") / bucket)).drop("_bucket")
+    top = min(top, LEVELS)
+
+    def dealt(df: DataFrame, start: str, end: str, own: str) -> DataFrame:
+        level, cells = _buckets(start, end, bucket, top)
+        cells = F.when(level <= top, cells).otherwise(_touched(start, end, bucket, top))  # a longer one is cut as finely as the top is
+        rows = df.where(F.col(end) > F.col(start)).withColumn(own, F.least(level, F.lit(top))).withColumn("_b", F.explode(cells))
+        return rows.withColumns({"_level": F.col("_b.level"), "_cell": F.col("_b.cell")}).drop("_b")
+
+    left, right = dealt(segments, "seg_start", "seg_end", "_own"), dealt(frames, "f_start", "f_end", "_of")
+    met = left.join(right, [by, "_level", "_cell"]).where("_level = greatest(_own, _of) and seg_start < f_end and f_start < seg_end")
+    first = F.floor(F.greatest("seg_start", "f_start") / (bucket * F.pow(F.lit(float(GROWTH)), F.col("_level"))))
+    return met.where(F.col("_cell") == first).drop("_level", "_cell", "_own", "_of")
 
 
 def attribute_audio(segments: DataFrame, inputs: DataFrame) -> DataFrame:

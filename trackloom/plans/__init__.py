@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from .. import sources, streaming
 from ..functions import to_half
 from ..operators import detections, geometry, summary, timeline
 from ..operators import embeddings as vectors
-from ..schemas import CORNERS, FACE_COLUMNS, KEYPOINTS, POSE_COLUMNS, SKELETON
+from ..schemas import CORNERS, EMBEDDINGS_HALF, FACE_COLUMNS, KEYPOINTS, POSE_COLUMNS, SKELETON
 from ..sources import manifest
 from ..sources.shared import shared_path
 from . import fixtures as fx
@@ -182,11 +186,28 @@ def crop_to_frame(spark, sf_dir):
     return geometry.to_frame(met).select("frame", "track_id", "score", "bx1", "by1", "bx2", "by2")
 
 
+@query(f"SELECT f.frame, f.track_id, k AS point, bx1 + k + cx1 AS x, by1 + 2*k + cy1 AS y, score AS seen FROM ({POSE}) f JOIN (SELECT * FROM ({CLAMPED}) c WHERE cx2 - cx1 >= 8 AND cy2 - cy1 >= 8) c ON f.frame = c.frame AND f.track_id = c.track_id, (SELECT unnest(range(17)) AS k) r")
+def keypoints_to_frame(spark, sf_dir):
+    """The keypoints of each box's best pose move with its box."""
+    point = lambda k: F.struct((F.col("bx1") + k).alias("x"), (F.col("by1") + 2 * k).alias("y"), F.col("score").alias("score"))
+    best = geometry.best_pose(fx.poses(spark, sf_dir), 0.5).withColumn("keypoints", F.array(*(point(k) for k in range(len(KEYPOINTS)))))
+    met = best.join(crops(spark, sf_dir).select("frame", "track_id", "cx1", "cy1"), ["frame", "track_id"])
+    return geometry.to_frame(met, points="keypoints").select("frame", "track_id", F.posexplode("keypoints").alias("point", "p")).select("frame", "track_id", "point", "p.x", "p.y", F.col("p.score").alias("seen"))
+
+
 @query(f"SELECT DISTINCT frame FROM ({fx.FACES}) f WHERE frame IN (SELECT frame FROM ({fx.TRACKS}) t WHERE cls = 0)")
 def semi_frames(spark, sf_dir):
     return geometry.wanted_frames(fx.faces(spark, sf_dir).select("frame").distinct(), fx.tracks(spark, sf_dir).where("cls = 0"))
 
 
+@query(f"SELECT frame, frame * 2 AS image FROM (SELECT DISTINCT frame FROM ({fx.FACES}) f) d WHERE frame IN (SELECT frame FROM ({fx.TRACKS}) t WHERE cls = 0 AND frame < 3000)")
+def stored_frames(spark, sf_dir):
+    """Frames in folders by bucket; a pass reads those of the tracks that it is about."""
+    path = shared_path(spark, "frames")
+    sources.write_frames(fx.faces(spark, sf_dir).select("frame", (F.col("frame") * 2).alias("image")).distinct(), path)
+    return geometry.wanted_frames(sources.read_frames(spark, path), fx.tracks(spark, sf_dir).where("cls = 0 and frame < 3000")).select("frame", "image")
+
+
 EDGES = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(SKELETON))
 
 
@@ -227,17 +248,27 @@ def track_coverage(spark, sf_dir):
     return summary.coverage(fx.tracks(spark, sf_dir))
 
 
+@query(f"""SELECT track_id, min(frame) AS first_frame, max(frame) AS last_frame FROM (SELECT track_id, frame, frame - row_number() OVER (PARTITION BY track_id ORDER BY frame) AS island
+  FROM (SELECT DISTINCT track_id, frame FROM ({fx.TRACKS}) t) d) i GROUP BY track_id, island""")
+def track_runs(spark, sf_dir):
+    """Runs of frames of each track, in buckets that the longest runs cross."""
+    return summary.runs(fx.tracks(spark, sf_dir), bucket=16)
+
+
 @query(f"SELECT track_id, frame, score FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame) AS rn FROM ({fx.EMBEDDINGS}) e) r WHERE rn <= 8")
 def topk_simple(spark, sf_dir):
     return vectors.top_k(fx.embeddings(spark, sf_dir), 8, keys=["track_id"]).select("track_id", "frame", "score")
 
 
-@query(f"""WITH e AS (SELECT track_id, frame, score FROM ({fx.EMBEDDINGS}) z),
+TOPK_EXACT = f"""WITH e AS (SELECT track_id, frame, score FROM ({fx.EMBEDDINGS}) z),
 r AS (SELECT e.*, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame) AS rn, count(*) OVER (PARTITION BY track_id) AS n FROM e),
 s AS (SELECT r.*, max(CASE WHEN rn = least(8, n) THEN score END) OVER (PARTITION BY track_id) AS kth FROM r),
 g AS (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS ord FROM s WHERE score >= kth),
 h AS (SELECT g.*, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame DESC) AS lr FROM g WHERE score > kth OR ord <= 8)
-SELECT track_id, frame, score FROM h WHERE lr <= 8""")
+SELECT track_id, frame, score FROM h WHERE lr <= 8"""
+
+
+@query(TOPK_EXACT)
 def topk_exact(spark, sf_dir):
     return vectors.top_k(fx.embeddings(spark, sf_dir), 8, ties="exact", keys=["track_id"]).select("track_id", "frame", "score")
 
@@ -261,6 +292,24 @@ def half_precision(spark, sf_dir):
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", to_half(F.col("x")).cast("double").alias("x"))
 
 
+@query("SELECT vec_id AS frame, i - 1 AS i, CASE WHEN x = 0 THEN x ELSE round_even(x / s, 0) * s END AS x FROM (SELECT vec_id, i, x, pow(2.0, greatest(floor(log2(abs(x))), -14) - 10) AS s FROM (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) v) w")
+def half_bytes(spark, sf_dir):
+    """Vectors that another writer stored as half-precision bytes are read."""
+    path = shared_path(spark, "half")
+
+    def stored(batches):
+        for batch in batches:
+            column = batch.column("embedding")
+            raw = column.flatten().to_numpy(zero_copy_only=False).astype("<f2").tobytes()
+            values = pa.array([raw[k : k + 2] for k in range(0, len(raw), 2)], pa.binary())
+            sizes = pa.array(np.cumsum([0, *column.value_lengths().to_pylist()]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("track_id", "frame", "score")), pa.ListArray.from_arrays(sizes, values)], names=["track_id", "frame", "score", "embedding"])
+
+    rows = fx.embeddings(spark, sf_dir).select("track_id", "frame", F.col("score").cast("float").alias("score"), "embedding")
+    rows.mapInArrow(stored, EMBEDDINGS_HALF).write.parquet(path)
+    return sources.read_embeddings(spark, path, half=True).select("frame", F.posexplode("embedding").alias("i", "x")).select("frame", "i", F.col("x").cast("double").alias("x"))
+
+
 @query(f"SELECT short_id, count(*) AS n FROM ({fx.INPUTS}) i GROUP BY short_id HAVING count(*) > 1")
 def dup_ids(spark, sf_dir):
     return manifest.duplicate_ids(fx.inputs(spark, sf_dir), "short_id")
@@ -290,6 +339,18 @@ def pending_inputs(spark, sf_dir):
     return sources.pending_inputs(rows, rows.where("time_offset > 2").select("input_kind", "input_id")).select(F.col("input_id").alias("id"))
 
 
+@query(f"SELECT id, forced FROM ({fx.INPUTS}) i, (VALUES (false), (true)) f(forced) WHERE forced OR NOT (kind = 'glasses_video' AND time_offset > 2)")
+def skipped_inputs(spark, sf_dir):
+    """Results of some inputs are committed; a run then takes the others, or all if it is forced."""
+    inputs = fx.inputs(spark, sf_dir).withColumnsRenamed({"id": "input_id", "kind": "input_kind"}).select("input_kind", "input_id", "time_offset")
+    store = shared_path(spark, "store")
+    rows = inputs.where("input_kind = 'glasses_video' and time_offset > 2").select("input_kind", "input_id", F.lit(0).cast("bigint").alias("frame"))
+    if not rows.isEmpty():
+        sources.snapshots.commit(rows, store)
+    runs = [sources.pending_inputs(inputs, sources.finished(spark, store), force).select(F.col("input_id").alias("id"), F.lit(force).alias("forced")) for force in (False, True)]
+    return runs[0].union(runs[1])
+
+
 @query(f"SELECT kind, replace(short_id, 'in-1', 'in/1') AS id, 'bad id' AS problem FROM ({fx.INPUTS}) i WHERE short_id LIKE 'in-1%'")
 def input_violations(spark, sf_dir):
     rows = fx.inputs(spark, sf_dir).withColumn("id", F.regexp_replace("short_id", "in-1", "in/1"))
@@ -339,6 +400,14 @@ def gaze_frame_asof(spark, sf_dir):
     return timeline.asof(frames, fx.gaze(spark, sf_dir), ["participant"], "gaze_video_time", 36_000_000, ["gaze_x"])
 
 
+@query(f"""SELECT frame, participant, gaze_video_time, sample_time, gaze_x FROM (SELECT f.*, g.gaze_video_time AS sample_time, g.gaze_x, row_number() OVER (PARTITION BY f.frame ORDER BY g.gaze_video_time DESC NULLS LAST, g.gaze_x DESC NULLS LAST) AS rn
+  FROM ({FRAMES}) f LEFT JOIN ({fx.GAZE_DUCK}) g ON f.participant = g.participant AND g.gaze_video_time <= f.gaze_video_time) r WHERE rn = 1""")
+def gaze_last_known(spark, sf_dir):
+    """Each frame with the latest gaze sample before it, however long ago: samples are carried over the ends of hours."""
+    frames = fx.made(spark, sf_dir, FRAMES, "lineitem")
+    return timeline.asof(frames, fx.gaze(spark, sf_dir), ["participant"], "gaze_video_time", None, ["gaze_x"], bucket=3_600_000)
+
+
 @query(f"""SELECT event_id, frame, track_id FROM (SELECT g.event_id, t.frame, t.track_id, row_number() OVER (PARTITION BY g.event_id ORDER BY (x2-x1)*(y2-y1), track_id) AS rn
   FROM (SELECT event_id, event_id % 15000 AS frame, gaze_x, gaze_y FROM ({fx.GAZE_DUCK}) z) g JOIN ({fx.TRACKS}) t ON g.frame = t.frame AND gaze_x BETWEEN x1 AND x2 AND gaze_y BETWEEN y1 AND y2) r WHERE rn = 1""")
 def gaze_hit(spark, sf_dir):
@@ -355,6 +424,16 @@ def segment_overlap(spark, sf_dir):
     return timeline.segment_frames(fx.segments(spark, sf_dir), frames, "audio_id").select("audio_id", "turn", "frame")
 
 
+LONG = "SELECT o_orderkey AS seg, o_custkey % 150 AS audio_id, CAST(o_orderkey % 5000 AS DOUBLE) AS seg_start, CAST(o_orderkey % 5000 AS DOUBLE) + CAST(o_custkey % 7 AS DOUBLE) * CAST(o_custkey % 11 AS DOUBLE) * CAST(o_orderkey % 13 AS DOUBLE) * 9.5 AS seg_end FROM orders"
+
+
+@query(f"SELECT s.seg, count(*) AS n, min(f.frame) AS first_frame, sum(f.frame) AS frames FROM ({LONG}) s JOIN ({SPANS}) f ON s.audio_id = f.audio_id AND s.seg_start < f.f_end AND f.f_start < s.seg_end AND s.seg_end > s.seg_start GROUP BY s.seg")
+def long_segments(spark, sf_dir):
+    """Segments of seconds to hours, and the frames that each overlaps."""
+    frames = fx.made(spark, sf_dir, SPANS.replace("frame // 150", "frame div 150"), "lineitem")
+    return timeline.segment_frames(fx.made(spark, sf_dir, LONG, "orders"), frames, "audio_id").groupBy("seg").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"), F.sum("frame").alias("frames"))
+
+
 @query(f"SELECT s.audio_id, s.turn, i.glasses_video AS participant_input FROM (SELECT 'Supplier#' || lpad(CAST(audio_id % 50 + 1 AS STRING), 9, '0') AS audio_id, turn FROM ({fx.SEGMENTS}) z) s LEFT JOIN (SELECT * FROM ({fx.INPUTS}) j WHERE kind = 'audio') i ON s.audio_id = i.id")
 def audio_attribution(spark, sf_dir):
     rows = fx.segments(spark, sf_dir).withColumn("audio_id", F.expr("'Supplier#' || lpad(CAST(audio_id % 50 + 1 AS STRING), 9, '0')"))
@@ -573,13 +652,16 @@ def scored_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query(f"SELECT track_id, score FROM (SELECT track_id, score, row_number() OVER (PARTITION BY track_id ORDER BY score DESC) AS place FROM ({fx.EMBEDDINGS}) e) r WHERE place <= 5")
+@query(TOPK_EXACT.replace("8", "5"))
 def streaming_topk(spark, sf_dir):
-    """The five best scores of each track, kept batch by batch."""
-    state = shared_path(spark, "topk")
-    streaming.keep_top_k(scored_stream(spark, sf_dir), state, shared_path(spark, "topk-checkpoint"), 5).awaitTermination()
-    kept = spark.read.parquet(state)
-    return kept.where(F.col("epoch") == kept.agg(F.max("epoch")).first()[0]).select("track_id", "score")
+    """The five best rows of each track with the exact rule for ties, kept batch by batch; the stream is stopped after its first two files and started again."""
+    rows, path = fx.embeddings(spark, sf_dir).select("track_id", "frame", "score"), shared_path(spark, "scored")
+    state, checkpoint = shared_path(spark, "topk"), shared_path(spark, "topk-checkpoint")
+    for part in (0, 1):  # the later files hold earlier frames too
+        rows.where(f"frame % 2 = {part}").repartition(2, "frame").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        streaming.keep_top_k(stream, state, checkpoint, 5, keys=["track_id"]).awaitTermination()
+    return streaming.read_top_k(spark, state, ["track_id"]).select("track_id", "frame", "score")
 
 
 @query(f"SELECT e.frame, count(t.track_id) AS n, min(t.x1) AS x1 FROM ({fx.EMBEDDINGS}) e LEFT JOIN ({fx.TRACKS}) t ON e.frame = t.frame GROUP BY e.frame")
@@ -597,6 +679,23 @@ def pass_progress(spark, sf_dir):
     return streaming.progress(frames, frames.groupBy("input_id").agg(F.count("*").alias("total")))
 
 
+@query(f"SELECT 'r1' AS run, max(frame + 1) AS latest, count(DISTINCT frame) AS n_frames, count(DISTINCT frame) AS total FROM ({fx.TRACKS}) t")
+def watched_pass(spark, sf_dir):
+    """A tracking pass is staged while a listener is told of its progress: what it was told last."""
+    told: list = []
+    listener = streaming.Progress(lambda *facts: told.append(facts), total=raw_tracks(spark, sf_dir).count())
+    spark.streams.addListener(listener)
+    try:
+        frames = streaming.observed(staged_frames(spark, sf_dir, "tracking"), "r1")
+        streaming.ingest(frames, shared_path(spark, "staging"), "tracking", "r1").awaitTermination()
+        deadline = time.monotonic() + 30
+        while (not told or told[-1][2] < listener.total) and time.monotonic() < deadline:  # events come after the batch
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame(told[-1:], "run string, latest long, n_frames long, total long")
+
+
 @query(f"SELECT frame, track_id, cand_id, w * h / 40000.0 AS score, cx1 + w * 0.25 AS bx1, cy1 AS by1, cx1 + w * 0.75 AS bx2, cy1 + h * 0.5 AS by2 FROM (SELECT frame, track_id, CAST(0 AS BIGINT) AS cand_id, cx1, cy1, cx2 - cx1 AS w, cy2 - cy1 AS h FROM ({CLAMPED}) c WHERE cx2 - cx1 >= 8 AND cy2 - cy1 >= 8) m WHERE w * h / 40000.0 >= 0.2")
 def model_on_crops(spark, sf_dir):
     """A model is given crops and proposes a face in the middle of the upper half of each, and a worse one; the better is chosen and moved into the frame."""

@@ -39,3 +39,6 @@ EMBEDDINGS = "track_id bigint, frame bigint, score float, embedding array<float>
 #: How a half-precision vector is stored by other writers: two little-endian bytes an element.
 EMBEDDINGS_HALF = "track_id bigint, frame bigint, score float, embedding array<binary>"
 GAZE = "participant bigint, rectimestamp double, gaze_x double, gaze_y double, pupil_left double, pupil_right double, gaze_video_time double"
+
+#: Frames of raw recordings are stored in folders of this many each, by the column FRAME_BUCKET.
+FRAMES_A_BUCKET, FRAME_BUCKET = 1000, "frame_bucket"

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import warnings
-
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import from_half, to_half
-from ..schemas import EMBEDDINGS, EMBEDDINGS_HALF, GAZE
+from ..schemas import EMBEDDINGS, EMBEDDINGS_HALF, FRAME_BUCKET, FRAMES_A_BUCKET, GAZE
+from . import snapshots
 from .shared import stow
+from .tolerant import read_tolerant
 
 PARTITIONS = ["input_kind", "input_id"]
 
@@ -24,7 +22,9 @@ def check_results(df: DataFrame) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Results of all inputs at ``path``; inputs may have had different passes, so their columns are put together."""
+    """Results of all inputs at ``path`` (a folder of partitions, or a store of ``snapshots``); inputs may have had different passes, so their columns are put together."""
+    if snapshots.current(spark, path) is not None:
+        return check_results(snapshots.read(spark, path))
     return check_results(spark.read.option("mergeSchema", "true").parquet(path))
 
 
@@ -40,17 +40,6 @@ def read_embeddings(spark: SparkSession, path: str, half: bool = False) -> DataF
     return df.withColumn("embedding", F.transform("embedding", from_half)) if half else df
 
 
-def read_tolerant(spark: SparkSession, paths: dict[str, str]) -> DataFrame | None:
-    """Results of all inputs (id -> path) that can be read, with input_id; a warning for each other. None if there is none."""
-    found = []
-    for input_id, path in sorted(paths.items()):
-        try:
-            found.append(read_results(spark, path).withColumn("input_id", F.lit(input_id)))
-        except (PySparkException, Py4JJavaError, ValueError) as e:
-            warnings.warn(f"no results for {input_id}: {str(e).splitlines()[0]}", stacklevel=2)
-    return stack(found) if found else None
-
-
 def stack(tables: list[DataFrame]) -> DataFrame:
     """Tables one after another; a column that a table lacks is null there. Pairs are stacked, so that the plan stays shallow."""
     while len(tables) > 1:
@@ -89,6 +78,22 @@ def write_embeddings(df: DataFrame, path: str, inputs: DataFrame) -> None:
         delete(spark, f"{path}/input_kind={r['input_kind']}/input_id={r['input_id']}")
 
 
+def frame_bucket(frame: str = "frame") -> Column:
+    return F.floor(F.col(frame) / FRAMES_A_BUCKET).cast("int")
+
+
+def write_frames(df: DataFrame, path: str) -> None:
+    """Raw frames in folders by input and bucket of frames, so that a pass over few of them (``geometry.wanted_frames``) reads few files."""
+    rows = df.withColumn(FRAME_BUCKET, frame_bucket())
+    parts = [*by_input(df), FRAME_BUCKET]
+    rows.repartition(*parts).sortWithinPartitions(*parts, "frame").write.mode("overwrite").partitionBy(*parts).parquet(path)
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Frames as ``write_frames`` stored them, with frame_bucket."""
+    return spark.read.parquet(path)
+
+
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
     """Audio results: any columns."""
     return spark.read.parquet(path)
@@ -132,6 +137,8 @@ def delete(spark: SparkSession, path: str) -> None:
 def finished(spark: SparkSession, path: str) -> DataFrame:
     """(input_kind, input_id) of the inputs with a partition of results, readable or not: only folder names are read."""
     kind = f"{', '.join(f'{c} string' for c in PARTITIONS)}"
+    if snapshots.current(spark, path) is not None:
+        return snapshots.live(spark, path).select(*PARTITIONS)
     if not exists(spark, path):
         return spark.createDataFrame([], kind)
     fs, _ = _fs(spark, path)
@@ -144,4 +151,4 @@ def pending_inputs(inputs: DataFrame, done: DataFrame, force: bool = False) -> D
     return inputs if force else inputs.join(done, [c for c in PARTITIONS if c in inputs.columns and c in done.columns], "left_anti")
 
 
-__all__ = ["check_results", "delete", "empty_embeddings", "exists", "export", "finished", "pending_inputs", "read_audio", "read_embeddings", "read_gaze", "read_results", "read_tolerant", "stack", "write_audio", "write_embeddings", "write_results"]
+__all__ = ["check_results", "delete", "empty_embeddings", "exists", "export", "finished", "frame_bucket", "pending_inputs", "read_audio", "read_embeddings", "read_frames", "read_gaze", "read_results", "read_tolerant", "snapshots", "stack", "write_audio", "write_embeddings", "write_frames", "write_results"]

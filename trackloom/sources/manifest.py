@@ -136,3 +136,12 @@ def missing_files(inputs: DataFrame, listing: DataFrame) -> DataFrame:
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+
+
+def require_files(inputs: DataFrame, listing: DataFrame, name: int = 20) -> DataFrame:
+    """``inputs`` itself if all their files are there; else an error that names the first of those without."""
+    missing = missing_files(inputs, listing)
+    lost = [r["id"] for r in missing.select("id").orderBy("id").limit(name + 1).collect()]
+    if lost:
+        raise FileNotFoundError(f"no file for {', '.join(map(str, lost[:name]))}{' and more' if len(lost) > name else ''}")
+    return inputs

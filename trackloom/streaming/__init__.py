@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.detections import flatten_faces, flatten_poses, flatten_tracks, join_faces, join_poses, keys_of
-from ..operators.embeddings import top_k
 from ..schemas import RAW_FACES, RAW_POSES, RAW_TRACKS
-from ..sources import delete, exists, read_results, write_results
+from ..sources import delete, exists, snapshots
+from .ranked import keep_top_k, read_top_k
 
 RAW = {"tracking": RAW_TRACKS, "faces": RAW_FACES, "poses": RAW_POSES}
 
@@ -44,7 +44,11 @@ def staged(spark: SparkSession, staging: str, kind: str, run_id: str) -> DataFra
 
 
 def commit(spark: SparkSession, staging: str, kind: str, run_id: str, results: str) -> None:
-    """Make a finished run visible: tracks replace an input's results, faces and poses are joined onto its tracks."""
+    """Make a finished run visible: tracks replace an input's results, faces and poses are joined onto its tracks.
+
+    ``results`` is a store of ``snapshots``: all inputs of the run change at once, and a commit that dies on the way changes none. It can then be
+    made again, since the run stays staged until its results are visible.
+    """
     raw = staged(spark, staging, kind, run_id)
     if raw.isEmpty():  # a run without frames: results stay as they are
         return discard(spark, staging, kind, run_id)
@@ -52,38 +56,17 @@ def commit(spark: SparkSession, staging: str, kind: str, run_id: str, results: s
         rows = flatten_tracks(raw)
     else:
         inputs = raw.select("input_kind", "input_id").distinct()
-        tracks = read_results(spark, results).join(inputs, ["input_kind", "input_id"], "left_semi")
+        tracks = snapshots.read(spark, results).join(inputs, ["input_kind", "input_id"], "left_semi")
         rows = join_faces(tracks, flatten_faces(raw)) if kind == "faces" else join_poses(tracks, flatten_poses(raw))
-        rows = _apart(rows, f"{staging_path(staging, kind, run_id)}/joined")  # it replaces the partitions that it reads
-    write_results(rows, results)
+    snapshots.commit(rows, results)
     discard(spark, staging, kind, run_id)
 
 
-def _apart(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, staging: str, kind: str, run_id: str) -> None:
     """Roll a run back (or clean up after it): results stay as they are."""
     delete(spark, staging_path(staging, kind, run_id))
 
 
-def keep_top_k(scored: DataFrame, state: str, checkpoint: str, k: int) -> StreamingQuery:
-    """Keep the k best rows of each track of a stream (scores without the exact tie rule, which needs the whole history: that
-    runs at commit). Each batch writes a new state from the one before."""
-    spark = scored.sparkSession
-
-    def put(batch: DataFrame, number: int) -> None:
-        before = f"{state}/epoch={number - 1}"
-        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(before)) if exists(spark, before) else batch
-        top_k(rows, k).write.mode("overwrite").parquet(f"{state}/epoch={number}")
-        if number > 1:
-            delete(spark, f"{state}/epoch={number - 2}")
-
-    return scored.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def live_view(frames: DataFrame, stored: DataFrame) -> DataFrame:
     """A stream of frames with the boxes already stored for each (null where there are none)."""
     keys = [k for k in keys_of(stored) if k != "track_id"]
@@ -97,10 +80,40 @@ def progress(frames: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     return latest.join(totals, "input_id", "left") if totals is not None else latest
 
 
-def watch(frames: DataFrame, tell, checkpoint: str) -> StreamingQuery:
-    """Call ``tell`` with the latest frame of each input (a row for each input) after each batch."""
+class Progress(StreamingQueryListener):
+    """Calls ``tell`` with the run's name, the latest frame so far, how many rows it has taken in and of how many, after each batch of a query that ``observed`` names.
+
+    Spark's own events carry the figures: no batch is computed again or collected for them.
+    """
+
+    def __init__(self, tell, total: int | None = None):
+        self.tell, self.total, self.latest, self.rows = tell, total, {}, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, seen in (event.progress.observedMetrics or {}).items():
+            if name.startswith(OBSERVED):
+                run = name.removeprefix(OBSERVED)
+                if seen["latest"] is not None:
+                    self.latest[run] = max(self.latest.get(run, seen["latest"]), seen["latest"])
+                self.rows[run] = self.rows.get(run, 0) + seen["rows"]
+                self.tell(run, self.latest.get(run), self.rows[run], self.total)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+OBSERVED = "progress of "
+
+
+def observed(frames: DataFrame, run: str) -> DataFrame:
+    """``frames`` itself, reporting its progress under ``run`` to a ``Progress`` listener of the session."""
+    return frames.observe(f"{OBSERVED}{run}", F.max("frame_idx").alias("latest"), F.count("*").alias("rows"))
 
-    def put(batch: DataFrame, number: int) -> None:
-        tell({r["input_id"]: r["latest"] for r in progress(batch).collect()})
 
-    return frames.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+__all__ = ["OBSERVED", "Progress", "RAW", "commit", "discard", "ingest", "keep_top_k", "live_view", "observed", "progress", "raw_schema", "read_frames", "read_top_k", "staged", "staging_path"]
