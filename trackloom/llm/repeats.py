@@ -4,17 +4,19 @@ The method asked for (suffix arrays by linear grouping over Lyndon prefixes) vis
 task's bytes are, that takes several microseconds a byte (figures in the README), so it is the local step only where the caller
 asks for it (``local="lyndon"``). By default it is hashing:
 
-1. Equal texts are one from there on; a text with copies, of 200 bytes or more, goes as a whole.
-2. Each 200-byte string names an anchor: the leftmost least of the hashes of its 32-byte grams. Equal strings name equal grams at
-   equal offsets, so only strings of equal anchors need to meet. There is about one anchor in 85 bytes.
-3. Anchors that occur once are dropped. Around each other one, up to 168 bytes on either side are sent to the anchor's group.
-4. A group sorts the strings that hold its anchor, offset by offset (64-bit hashes of all 200 bytes), and marks those found twice. The
-   occurrences of an anchor are dealt over groups of about ``HOT``; of such an anchor each group also hands on the strings that
+1. Each 200-byte string names an anchor: the leftmost least of the hashes of its 32-byte grams. Equal strings name equal grams at
+   equal offsets, so only strings of equal anchors need to meet. There is about one anchor in 85 bytes. An anchor's context is the
+   168 bytes before it, itself and the 168 after it, as far as the text goes: all strings that hold it.
+2. Occurrences of an anchor are told apart by a hash of their context. Of those with one context, in whatever texts, all strings are repeated: they are
+   marked at once, without their bytes. Those in one batch of texts are made one there, so that a passage that very many texts share is one row a batch.
+3. Anchors with one context only are done. Of the others, one occurrence of each context sends its bytes to the anchor's group.
+4. A group sorts the strings that hold its anchor, offset by offset (64-bit hashes of all 200 bytes), marks those found twice, and compares the bytes of
+   each with those of the one beside it. The contexts of an anchor are dealt over groups of about ``HOT``; of such an anchor each group also hands on the strings that
    it found once, and one of each that it found more often, and these are compared over all groups by anchor and hash.
 5. The marked strings' bytes are joined into spans for each text, and the spans are given to its copies.
 
-Texts are equal if their SHA-256 is. Strings are compared only with those of the same anchor, so that two different ones are
-taken for equal only if both 64-bit hashes agree.
+Texts are known by the first 128 bits of their SHA-256. Contexts of one anchor, and strings of groups that a hot anchor is dealt over, are taken for equal if anchor and hash,
+128 bits together, agree.
 
 Texts are UTF-8 bytes; matches never cross documents; strings are judged on the input. Null and empty texts have no bytes and
 nothing removed; repeated rows are copies of each other; an empty table gives an empty result. Only doc_id and text are read.
@@ -28,14 +30,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BYTE_CODE, bounded_broadcast, mix, stow, text_blocks
+from ..sources.shared import forget
+from .shared import BYTE_CODE, mix, stow, text_blocks
 
 LENGTH, GRAM, HOT = 200, 32, 2000
 SIDE = LENGTH - GRAM
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a text whose anchors are found at once, and of contexts that go on in one batch.
+CHUNK, SENT = 1 << 22, 4 << 20
 
 
 #: Sizes and multipliers that double strings from 1 to 32 bytes.
@@ -66,27 +71,48 @@ def string_hashes(g: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that the 200-byte strings of a text name."""
+def _chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes of all grams): the grams that the 200-byte strings of a short text name."""
     g = gram_hashes(data)
     window = SIDE + 1
     n = len(g) - window + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), g
     # least (hash, place) of each window: running minima forward and backward in blocks as long as a window
     low = np.uint64((1 << 26) - 1)
-    key = (g & ~low) | np.arange(len(g), dtype=np.uint64) if len(g) < 1 << 26 else None
-    if key is None:
-        parts = [anchors(data[b : b + (1 << 25) + LENGTH]) for b in range(0, len(data), 1 << 25)]
-        places = np.concatenate([p + (i << 25) for i, (p, _) in enumerate(parts)])
-        places, first = np.unique(places, return_index=True)
-        return places, np.concatenate([h for _, h in parts])[first]
+    key = (g & ~low) | np.arange(len(g), dtype=np.uint64)
     pad = np.full(-len(key) % window, np.iinfo(np.uint64).max, np.uint64)
     block = np.concatenate([key, pad]).reshape(-1, window)
     ahead = np.minimum.accumulate(block, axis=1).ravel()
     behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    places = np.unique(np.minimum(behind[:n], ahead[window - 1 : window - 1 + n]) & low).astype(np.int64)
-    return places, g[places]
+    return np.unique(np.minimum(behind[:n], ahead[window - 1 : window - 1 + n]) & low).astype(np.int64), g
+
+
+#: Multipliers of the grams that a context's hash is made of.
+PARTS = np.cumprod(np.full((SIDE + LENGTH) // GRAM + 3, 0x9FB21C651E98DF25, np.uint64), dtype=np.uint64)
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, contexts) of the grams that the 200-byte strings of a text name; a context is known by its hash. Long texts are read in chunks."""
+    found = []
+    for start in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
+        # the strings that begin in the chunk, and the contexts of their anchors
+        begin, end = max(0, start - SIDE), min(len(data), start + CHUNK + 2 * LENGTH + SIDE)
+        places, g = _chunk(data[start : min(len(data), start + CHUNK + LENGTH - 1)])
+        if not len(places):
+            continue
+        around = gram_hashes(data[begin:end])
+        own = places + start
+        first, last = np.maximum(own - SIDE, 0), np.minimum(own + LENGTH, len(data)) - GRAM
+        context = (own - first).astype(np.uint64) * PARTS[-1] + (last - own).astype(np.uint64) * PARTS[-2]
+        for k, at in enumerate(range(-SIDE, LENGTH, GRAM)):
+            context += around[np.clip(own + at, first, last) - begin] * PARTS[k]
+        found.append((own, g[places], mix(context)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    places, hashes, contexts = (np.concatenate(x) for x in zip(*found, strict=True))
+    places, first = np.unique(places, return_index=True)
+    return places, hashes[first], contexts[first]
 
 
 def texts_of(batch: pa.RecordBatch):
@@ -104,36 +130,85 @@ def covered(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + size).tolist(), strict=True))
 
 
+ANCHORS = "a long, c long, known boolean, t binary, p long, first long, last long"
+
+
 def _anchor_rows(batches):
+    """The anchors of a batch of texts, one row for each anchor and context; ``known``: the batch holds it more than once. Spans of those are rows without an anchor."""
     for batch in batches:
-        ids, d, p, a = batch.column("d"), [], [], []
+        a, c, row, p, first, last = ([np.zeros(0, np.int64)] for _ in range(6))
         for i, data in texts_of(batch):
-            places, hashes = anchors(data)
-            d.append(np.full(len(places), ids[i].as_py(), np.int64))
-            p.append(places.astype(np.int64))
+            places, hashes, contexts = anchors(data)
             a.append(hashes.view(np.int64))
-        if d:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, d, p)], names=["a", "d", "p"])
+            c.append(contexts.view(np.int64))
+            row.append(np.full(len(places), i))
+            p.append(places)
+            first.append(np.maximum(places - SIDE, 0))
+            last.append(np.minimum(places + LENGTH, len(data)))
+        a, c, row, p, first, last = (np.concatenate(x) for x in (a, c, row, p, first, last))
+        order = np.lexsort((c, a))
+        a, c, row, p, first, last = (x[order] for x in (a, c, row, p, first, last))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        starts = np.flatnonzero(new)
+        many = np.diff(np.append(starts, len(a))) > 1
+        t = batch.column("t")
+        yield pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(c[starts]), pa.array(many), t.take(pa.array(row[starts])), *(pa.array(x[starts]) for x in (p, first, last))], names=["a", "c", "known", "t", "p", "first", "last"])
+        runs = [(i, b, e) for i, own in _by_row(row, first, np.repeat(many, np.diff(np.append(starts, len(a)))), last) for b, e in own]
+        if runs:
+            i, b, e = (np.array(x, np.int64) for x in zip(*runs, strict=True))
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(i), pa.bool_()), t.take(pa.array(i)), none, pa.array(b), pa.array(e)], names=["a", "c", "known", "t", "p", "first", "last"])
+
+
+def _by_row(row, first, chosen, last):
+    """(row, merged runs) of the chosen spans."""
+    row, first, last = row[chosen], first[chosen], last[chosen]
+    order = np.lexsort((first, row))
+    row, first, last = row[order], first[order], last[order]
+    if not len(row):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    for b, e in zip(starts, [*starts[1:], len(row)], strict=True):
+        yield int(row[b]), merged(zip(first[b:e].tolist(), last[b:e].tolist(), strict=True))
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """Sorted spans, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for first, last in spans:
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+CONTEXTS = "a long, salt int, g int, t binary, b long, l int, c binary"
 
 
 def _context_rows(batches):
     """For each wanted anchor of a text: the bytes about it and where it is in them; salt parts the occurrences of a hot anchor."""
+
+    def sent(rows):
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
+
+    rows, held = [], 0
     for batch in batches:
-        a, d, at, left, salt, parts, about = [], [], [], [], [], [], []
-        ids, wanted = batch.column("d"), batch.column("wanted")
+        keys, wanted = batch.column("t"), batch.column("wanted")
         for i, data in texts_of(batch):
-            raw, own = data.tobytes(), ids[i].as_py()
-            for w in wanted[i].as_py():
-                p = w["p"]
+            t = keys[i].as_py()
+            own = wanted.slice(i, 1).flatten()
+            for a, p, g in zip(*(own.field(f).to_numpy().tolist() for f in ("a", "p", "g")), strict=True):
                 b = max(0, p - SIDE)
-                a.append(w["a"])
-                d.append(own)
-                at.append(b)
-                left.append(p - b)
-                salt.append((own ^ own >> 17 ^ p * 40503) % w["g"])
-                parts.append(w["g"])
-                about.append(raw[b : p + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int32()), pa.array(parts, pa.int32()), pa.array(d, pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.int32()), pa.array(about, pa.binary())], names=["a", "salt", "g", "d", "b", "l", "c"])
+                rows.append((a, (int.from_bytes(t[:4], "little") ^ p * 40503) % g, g, t, b, p - b, data[b : p + LENGTH].tobytes()))
+                held += LENGTH + SIDE
+                if held >= SENT:
+                    yield sent(rows)
+                    rows, held = [], 0
+    if rows:
+        yield sent(rows)
 
 
 def twice(about: list[bytes], left: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,12 +236,23 @@ def twice(about: list[bytes], left: list[int]) -> tuple[np.ndarray, np.ndarray,
     later[:, 1:] = equal
     same |= later
     same[:, :-1] |= equal
+    _compare(wide, order, equal)
     found, rest = np.zeros(row.shape, bool), np.zeros(row.shape, bool)
     np.put_along_axis(found, order, same, 1)
     np.put_along_axis(rest, order, ~later, 1)
     return found.T & valid, rest.T & valid, h
 
 
+def _compare(wide: np.ndarray, order: np.ndarray, equal: np.ndarray, some: int = 20_000) -> None:
+    """Strings of equal hashes have equal bytes; two that do not would be an error, not a wrong result."""
+    strings = np.lib.stride_tricks.sliding_window_view(wide, LENGTH, axis=1)
+    at, k = np.nonzero(equal)
+    for b in range(0, len(at), some):
+        s, x, y = at[b : b + some], order[at[b : b + some], k[b : b + some]], order[at[b : b + some], k[b : b + some] + 1]
+        if not np.array_equal(strings[x, s], strings[y, s]):
+            raise RuntimeError("two strings have one hash: run again with other values in shared.BYTE_CODE")
+
+
 def lyndon_order(x: list[int]) -> list[int]:
     """The suffixes of ``x`` and of the empty end, sorted, by linear grouping.
 
@@ -256,25 +342,28 @@ def twice_by_order(about: list[bytes], left: list[int], where: list[tuple[int, i
 TOGETHER = 1000
 
 
+SOLVED = "t binary, first long, last long, h long"
+
+
 def _group_rows(batches, local: str = "hashes"):
-    """Rows sorted by anchor and salt -> (d, first, last, h): covered bytes (h null), and the strings left to compare across salts (last: their anchor)."""
+    """Rows sorted by anchor and salt -> (t, first, last, h): covered bytes (h null), and the strings left to compare across salts (last: their anchor)."""
 
     def solve(rows):
         found, rest, h = twice([r[6] for r in rows], [r[5] for r in rows])
         if local == "lyndon":
             found, rest = twice_by_order([r[6] for r in rows], [r[5] for r in rows], [(r[3], r[4]) for r in rows])
         out = []
-        for k, (a, _, g, d, b, left, _) in enumerate(rows):
-            out += [(d, b + x, b + y, None) for x, y in covered(np.flatnonzero(found[k]) - (SIDE - left), LENGTH)]
+        for k, (a, _, g, t, b, left, _) in enumerate(rows):
+            out += [(t, b + x, b + y, None) for x, y in covered(np.flatnonzero(found[k]) - (SIDE - left), LENGTH)]
             if g > 1:
                 s = np.flatnonzero(rest[k])
-                out += [(d, b + x, a, y) for x, y in zip((s - (SIDE - left)).tolist(), h[k, s].view(np.int64).tolist(), strict=True)]
+                out += [(t, b + x, a, y) for x, y in zip((s - (SIDE - left)).tolist(), h[k, s].view(np.int64).tolist(), strict=True)]
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "first", "last", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["t", "first", "last", "h"])
 
     rows = []
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "g", "d", "b", "l", "c")), strict=True):
+        for r in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "g", "t", "b", "l", "c")), strict=True):
             if len(rows) >= TOGETHER and r[:2] != rows[-1][:2]:
                 yield solve(rows)
                 rows = []
@@ -284,69 +373,60 @@ def _group_rows(batches, local: str = "hashes"):
 
 
 def _key():
-    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
-
-
-def spans(docs: DataFrame, hot: int = HOT, local: str = "hashes") -> tuple[DataFrame, DataFrame]:
-    """(rows, found): rows has doc_id, t (the text's key), n_bytes and copies; found has t and spans array<struct<first, last>>, sorted and merged."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("t", _key())
-    rows = stow(keyed.select("doc_id", "t", F.xxhash64("doc_id", "t").alias("d"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
-    classes = rows.groupBy("t").agg(F.min("d").alias("d"), F.count("*").alias("copies"))
-    chosen = stow(classes, "classes")
-    # one row of each text; equal (doc_id, text) rows that stand for one text are made one
-    one = keyed.withColumn("d", F.xxhash64("doc_id", "t")).join(bounded_broadcast(chosen.select("d"), BROADCAST_ROWS), "d").select("d", "t", "text")
-    found = stow(one.select("d", "text").mapInArrow(_anchor_rows, "a long, d long, p long").distinct(), "anchors")
-    often = stow(found.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "often")  # written: else an anchor of very many places could not be split in the join
-    parts = F.ceil(F.col("m") / hot).cast("int").alias("g")
-    wanted = stow(found.join(often, "a").groupBy("d").agg(F.collect_list(F.struct("a", "p", parts)).alias("wanted")), "wanted")
-    near = one.dropDuplicates(["d"]).select("d", "text").join(wanted, "d")
-    about = near.select("d", "text", "wanted").mapInArrow(_context_rows, "a long, salt int, g int, d long, b long, l int, c binary")
-    solved = stow(about.repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(functools.partial(_group_rows, local=local), "d long, first long, last long, h long"), "solved")
+    return F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
+
+
+def spans(docs: DataFrame, hot: int = HOT, local: str = "hashes") -> DataFrame:
+    """(t, spans array<struct<first, last>>): of each text, known by ``t``, with something repeated, its covered runs, sorted and merged."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("t", _key()).where(F.octet_length("text") >= LENGTH)
+    found = stow(texts.select("t", "text").mapInArrow(_anchor_rows, ANCHORS), "anchors")
+    # one shuffle, by anchor: the rows of a context, and all of an anchor
+    context, anchor = Window.partitionBy("a", "c"), Window.partitionBy("a")
+    rows = found.where("a is not null").withColumn("same", F.row_number().over(context.orderBy("t", "p")))
+    rows = rows.withColumns({"times": F.sum(F.when(F.col("known"), 2).otherwise(1)).over(context), "contexts": F.sum(F.when(F.col("same") == 1, 1).otherwise(0)).over(anchor)})
+    whole, ask = (F.col("times") > 1) & ~F.col("known"), (F.col("same") == 1) & (F.col("contexts") > 1)
+    decided = stow(rows.where(whole | ask).select("a", "t", "p", "first", "last", whole.alias("whole"), ask.alias("ask"), F.ceil(F.col("contexts") / hot).cast("int").alias("g")), "decided")
+    wanted = decided.where("ask").groupBy("t").agg(F.collect_list(F.struct("a", "p", "g")).alias("wanted"))
+    near = texts.dropDuplicates(["t"]).join(wanted, "t").select("t", "text", "wanted")
+    about = near.mapInArrow(_context_rows, CONTEXTS)
+    solved = stow(about.repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(functools.partial(_group_rows, local=local), SOLVED), "solved")
     rest = solved.where("h is not null").distinct()  # a string may hold two hot anchors, and comes from both groups
     again = rest.groupBy("last", "h").agg(F.count("*").alias("m")).where("m > 1").select("last", "h")
-    parts = solved.where("h is null").drop("h").union(rest.join(again, ["last", "h"]).select("d", "first", F.col("first") + LENGTH))
-    merged = parts.groupBy("d").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    return rows, one.select("d", "t").distinct().join(merged.mapInArrow(_merge, "d long, spans array<struct<first:long,last:long>>"), "d").select("t", "spans")
+    parts = solved.where("h is null").select("t", "first", "last").union(rest.join(again, ["last", "h"]).select("t", "first", F.col("first") + LENGTH))
+    parts = parts.union(decided.where("whole").select("t", "first", "last")).union(found.where("a is null").select("t", "first", "last"))
+    sets = parts.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    out = stow(sets.mapInArrow(_merge, "t binary, spans array<struct<first:long,last:long>>"), "spans")
+    forget(found, decided, solved)
+    return out
 
 
 def _merge(batches):
     for batch in batches:
-        out = []
-        for own in batch.column("spans").to_pylist():
-            merged: list[list[int]] = []
-            for s in own:
-                if merged and s["first"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["last"])
-                else:
-                    merged.append([s["first"], s["last"]])
-            out.append([{"first": a, "last": b} for a, b in merged])
-        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=["d", "spans"])
+        out = [[{"first": a, "last": b} for a, b in merged((s["first"], s["last"]) for s in own)] for own in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=["t", "spans"])
 
 
 def digest(docs: DataFrame, hot: int = HOT, local: str = "hashes") -> DataFrame:
-    """Per row: n_bytes, n_removed, n_spans, kept_sha256. Only texts with something removed are read again."""
-    rows, found = spans(docs, hot, local)
-    copies = rows.groupBy("t").agg(F.count("*").alias("copies"))
-    found = stow(found.join(copies.where("copies = 1"), "t", "left_semi"), "spans")
-    text = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("t", _key())
+    """Per row: n_bytes, n_removed, n_spans, kept_sha256. Only texts with something removed are read again.
+
+    A text with copies needs no rule of its own: all its strings are repeated.
+    """
+    found = spans(docs, hot, local)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", _key())
     size = found.agg(F.sum(16 * F.size("spans") + 64)).first()[0] or 0
-    cut = text.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "t").mapInArrow(_cut, "t binary, n_removed long, n_spans long, kept_sha256 string")
-    none = F.sha2(F.lit("").cast("binary"), 256)
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    out = rows.join(copies, "t").join(cut, "t", "left")
-    return out.select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(whole, none).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("t")))).alias("kept_sha256"))
+    rows = text.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "t", "left")
+    return rows.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut(batches):
     for batch in batches:
         out = []
-        for t, own, (_, data) in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist(), texts_of(batch), strict=True):
+        for doc_id, own, (_, data) in zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), texts_of(batch), strict=True):
             kept, at, gone = hashlib.sha256(), 0, 0
-            for s in own:
+            for s in own or []:
                 kept.update(data[at : s["first"]])
                 at, gone = s["last"], gone + s["last"] - s["first"]
             kept.update(data[at:])
-            out.append((t, gone, len(own), kept.hexdigest()))
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["t", "n_removed", "n_spans", "kept_sha256"])
+            out.append((doc_id, len(data), gone, len(own or []), kept.hexdigest()))
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
