@@ -82,3 +82,35 @@ def test_run_equals_the_stages_done_plainly(spark, tmp_path):
         want.append((d[0], text, *d[2:4], None if text is None else len(text), d[5], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     got = corpus_pipeline.run(spark, str(tmp_path)).select(*schema.replace(" long", "").replace(" string", "").split(", "), "n_tokens", "ids_sha256", "decoded_sha256")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, ids_sha256 long, decoded_sha256 string, spans long, score string, kept string, component_id string"
+
+
+def written(spark, tmp_path, docs, items=((1, "a b c d e f g h i j"),), labels=((1, 0),)):
+    spark.createDataFrame(docs, CLASHES).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([*items], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_empty_documents(spark, tmp_path):
+    out = corpus_pipeline.run(spark, written(spark, tmp_path, [], items=[], labels=[]))
+    assert out.count() == 0 and out.columns[-3:] == ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_clashing_names_and_very_long_texts(spark, tmp_path):
+    rnd = random.Random(2)
+    say = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    long = say(150_000)
+    texts = [long, long + " more", "x" * 400_000, say(60) + " token=abcdef1234 " + say(150_000), None, "", say(90_000) + " a B c d e f g h i j " + say(10)]
+    docs = [(i, t, "en", "s", 7, "own", 5, "own", 6, "own", "own", "own") for i, t in enumerate(texts)]
+    out = corpus_pipeline.run(spark, written(spark, tmp_path, docs))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert set(rows) == {0, 2, 3, 4, 5}  # the near copy and the benchmark's passage are gone
+    assert sorted(out.columns) == sorted(c.split()[0] for c in CLASHES.split(", "))
+    assert "[secret]" in rows[3].text and rows[3].n_chars == len(rows[3].text) and rows[4].text is None and rows[4].n_chars is None
+    for r in rows.values():
+        assert (r.spans, r.score, r.kept, r.component_id) == (6, "own", "own", "own")
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert rows[5].n_tokens == 0 and rows[2].text == "x" * 400_000

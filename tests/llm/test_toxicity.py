@@ -1,5 +1,8 @@
+import math
 import random
+import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -104,3 +107,79 @@ def test_lexicons_of_very_many_terms_stay_whole(spark):
     assert all(any(t.startswith(s) for s in found) for t in terms) and not any(s.startswith("calm") for s in found)
     short = spark.createDataFrame([("fug you", 1)] * 5 + [("see you", 0)] * 20, "text string, toxic int")
     assert "fug" in T.learn_terms(short) and "you" not in T.learn_terms(short)
+
+
+def plain_features(text, ratio, ordinary):
+    """The six counts of a text, from its words by a regular expression and the distance by dynamic programming."""
+    raw = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode()
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[0-9a-z\x80-\xff]+", raw)]
+    terms = [t.encode() for t in ratio]
+    abuse = misspelled = quoted = addressed = 0
+    for k, (b, e, word) in enumerate(words):
+        begins = [t for t in terms if word.startswith(t) and (len(t) > 3 or word == t)]
+        if begins:
+            term, far = max(begins, key=len), 0
+        else:
+            near = [(d, t) for t in terms if len(t) > 4 and (d := distance(word, t)) <= (1 if len(t) < 9 else 2)]
+            if not near or word in ordinary:
+                continue
+            far, term = min(near)
+        before, after = raw[max(0, b - T.WINDOW) : b].split(b"\n")[-1], raw[e : e + T.WINDOW].split(b"\n")[0]
+        beside = {w.decode("utf-8", "replace") for j, (_, _, w) in enumerate(words) if j != k and abs(j - k) <= 4}
+        marks = [(x.encode(), z.encode()) for x, z in ("\u201c\u201d", "\u00ab\u00bb", "\u201e\u201c")]
+        inside = before.count(b'"') % 2 == 1 and b'"' in after or any(before.rfind(x) > before.rfind(z) and z in after for x, z in marks)
+        if inside or beside & set(T.REPORTING):
+            quoted += 1
+        else:
+            abuse += ratio[term.decode()] / (1 + far)
+            misspelled += far > 0
+            addressed += bool(beside & set(T.ADDRESS))
+    return [min(abuse, 40) / 10, math.log1p(abuse), math.log1p(misspelled), math.log1p(quoted), math.log1p(addressed), math.log1p(1000 * abuse / (len(words) + 50))]
+
+
+def test_scores_equal_a_plain_twin(spark, tables):
+    docs, labels = tables
+    rnd = random.Random(14)
+    more = ["blargo", "Snivvel!", "grumkinz", "blaargo", "you", "your", "said", "called", '"', "\u201c", "\u201d", "\u00ab", "\u00bb", "\u201e", "\n", "word1", "é", "word22", "snivvels", "blarg"]
+    texts = [(3000 + i, " ".join(rnd.choices(more, k=rnd.randrange(60)))) for i in range(300)] + [(4000, "word5 " * 200_000 + "you blargo"), (4001, "blargo" * 50_000)]
+    every = docs.union(spark.createDataFrame(texts, "doc_id long, text string"))
+    model = T.train(docs, labels)
+    ratio = {t.decode(): x for t, x in model.matcher.ratio.items()}
+    assert {"blargo", "snivvel"} <= {t for t in ratio} | {t[:6] for t in ratio} | {t[:7] for t in ratio}
+    score = lambda text: 1 / (1 + math.exp(-(model.weights[0] + sum(a * b for a, b in zip(model.weights[1:].tolist(), plain_features(text, ratio, model.matcher.ordinary), strict=True)))))
+    got = T.score(every, model).collect()
+    assert len(got) == every.count()
+    for r in got:
+        if r.doc_id not in (4000,):
+            assert r.score == pytest.approx(score(r.text), abs=1e-5), r.text and r.text[:200]
+    assert {r.doc_id: r.score for r in got}[4000] == pytest.approx(score("word5 " * 200_000 + "you blargo"), abs=1e-5)
+
+
+def test_the_weights_are_the_best_ones():
+    """The loss, and the pull towards the prior, has no slope at the weights found."""
+    rng = np.random.default_rng(3)
+    x, n = rng.random((200, T.FEATURES)), rng.integers(1, 5, 200).astype(float)
+    y = (x[:, 0] + 0.3 * rng.normal(size=200) > 0.5).astype(float)
+    w = T.fit(x, y, n)
+    own = np.concatenate([np.ones((200, 1)), x], 1)
+    slope = own.T @ (n * (1 / (1 + np.exp(-own @ w)) - y)) + 0.5 * (w - T.PRIOR)
+    assert np.abs(slope).max() < 1e-6
+
+
+def test_terms_equal_a_plain_count(spark):
+    rnd = random.Random(6)
+    rows = [(" ".join(rnd.choices(["blargo", "blargos", "grum", "grumkin", "fug", "calm", "word"], [3, 2, 1, 2, 1, 5, 5], k=20)) if i % 3 == 0 else " ".join(rnd.choices(["calm", "word", "grum", "other"], [6, 6, 1, 5], k=20)), int(i % 3 == 0)) for i in range(90)]
+    much = [sum(len(t) + 1 for t, y in rows if y == k) for k in (0, 1)]
+    found = {}
+    stems = {w[:n] for t, _ in rows for w in t.split() for n in [*range(4, min(11, len(w))), len(w)] if n > 2}
+    for s in stems:
+        held = lambda t: sum(w == s or w.startswith(s) and 4 <= len(s) <= 10 for w in t.split())  # noqa: B023, E731
+        n, d = [sum(held(t) for t, y in rows if y == k) for k in (0, 1)], sum(held(t) > 0 for t, y in rows if y)
+        ratio = math.log((n[1] + 0.5) / much[1]) - math.log((n[0] + 0.5) / much[0])
+        if d >= max(T.SUPPORT, sum(y for _, y in rows) / 50) and ratio >= 2.5:
+            found[s] = (d, ratio)
+    inner = lambda s: [s[:n] for n in range(4, len(s)) if s[:n] in found]
+    lost = {b for s in found for b in inner(s) if found[s][0] >= 0.9 * found[b][0]}
+    want = {s: x for s, (_, x) in found.items() if s not in lost and all(b in lost for b in inner(s))}
+    got = T.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s]) for s in want)

@@ -61,3 +61,61 @@ def test_the_longest_rule_wins_and_ties_go_by_host(spark):
     pages = spark.createDataFrame([(1, "x://b.c/abcd"), (2, "x://b.c/ab/"), (3, "x://c/ab/"), (4, "x://b.c/zz"), (5, "x://a.b.c/ax")], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in U.judge(pages, rules, U.train(U.labelled(spark, 20))).collect()}
     assert got == {1: ("c/abcd", "allow"), 2: ("b.c/a", "block"), 3: ("c/ab/", "block"), 4: ("b.c", "allow"), 5: ("b.c/a", "block")}
+
+
+def murmur(data: bytes, seed: int = 42) -> int:
+    """MurmurHash3, 32 bits, with the last bytes one by one as signed ones, as Spark hashes text."""
+    rotate = lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF
+    mix = lambda h, k: (rotate(h ^ rotate(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h, body = seed, len(data) // 4 * 4
+    for i in range(0, body, 4):
+        h = mix(h, int.from_bytes(data[i : i + 4], "little"))
+    tail = 0
+    for i, b in enumerate(data[body:]):
+        tail |= b << 8 * i
+    if body < len(data):
+        h ^= rotate(tail * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_model_scores_equal_a_plain_twin(spark):
+    """Grams by slicing, their hashes, and the logistic function of the weights that they name."""
+    import math
+
+    rules = spark.createDataFrame([], "verdict string, host string, path string")
+    model = U.train(U.labelled(spark, 60))
+    weights, bias = model.stages[1].coefficients.toArray(), model.stages[1].intercept
+
+    def score(url):
+        host, path = split(url)
+        labels = host.split(".")
+        name = "^" + (".".join(labels[:-2]) if len(labels) > 2 else host) + "$"
+        grams = {m + t[i : i + n] for m, t in (("h", name), ("p", path)) for n in U.SIZES for i in range(len(t) - n + 1)}
+        return 1 / (1 + math.exp(-bias - sum(weights[i] for i in {murmur(g.encode()) % U.BUCKETS for g in grams})))
+
+    urls = URLS + [f"https://{n}.example.org/en/{i}" for i, (n, _) in enumerate(U.names(900, 60))]
+    rows = U.judge(spark.createDataFrame([*enumerate(urls)], "page_id long, url string"), rules, model).collect()
+    for r in rows:
+        want = score(urls[r.page_id])
+        assert abs(r.score - want) < 1e-9 and r.verdict == ("block" if want >= 0.5 else "allow"), (urls[r.page_id], r.score, want)
+
+
+#: Words of hosts of either kind, none of them in the training table.
+NEW_BAD = "vegas blackjack wager lotto bingo cialis meds debt mortgage erotic nude hookup pirate leaked counterfeit handbags promo discount sweepstakes clickbait crypto giveaway rich slim detox".split()
+NEW_GOOD = "academy planetarium observatory laboratory geology geography economics philosophy sociology parliament ministry embassy harbour station bridge orchard brewery butcher tailor carpenter dentist pharmacy-school orchestra ballet opera".split()
+
+
+def test_hosts_of_words_that_the_table_lacks(spark):
+    """How the model does on words it never saw: figures in the README. It mostly lets such hosts pass."""
+    assert not {*NEW_BAD, *NEW_GOOD} & {*U.BAD, *U.GOOD}
+    rules = spark.createDataFrame([], "verdict string, host string, path string")
+    other = [(U.compound(words, k), bad) for words, bad in ((NEW_BAD, 1.0), (NEW_GOOD, 0.0)) for k in range(200)]
+    pages = [(i, f"https://{n}.example.org/en/{i}", bad) for i, (n, bad) in enumerate(other)]
+    rows = U.judge(spark.createDataFrame(pages, "page_id long, url string, bad double"), rules, U.train(U.labelled(spark))).collect()
+    right, blocked = sum(r.bad == 1 and r.verdict == "block" for r in rows), sum(r.verdict == "block" for r in rows)
+    print("unseen words: precision", right / max(1, blocked), "recall", right / sum(r.bad for r in rows))
+    assert right >= 0.1 * sum(r.bad for r in rows) and right >= 0.5 * blocked, (right, blocked)

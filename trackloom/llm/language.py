@@ -128,7 +128,9 @@ def chance(z: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(h, text, lang): at most about ``per_language`` labelled rows of each language, ``rows`` in all."""
     known = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 2).collect()  # one row for each language
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 2 + 1).collect()  # one row for each language
+    if len(counts) > rows // 2:
+        raise ValueError(f"more than {rows // 2} languages: a sample of {rows} rows has under two of each; raise ``rows``")
     each = max(2, min(per_language, rows // max(1, len(counts))))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1_000_000, int(1e6 * each / r[1]) + 1)))) if counts else F.create_map(F.lit(""), F.lit(0))
     picked = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")]

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, Words, held_out, text_blocks
+from ..sources.shared import forget
+from .shared import ALNUM, Words, held_out, stow, text_blocks
 
 SAMPLE_ROWS, SUPPORT = 8_000, 4
 #: A seed's log ratio.
@@ -280,8 +281,6 @@ def learn_terms(sample: DataFrame, support: int = SUPPORT, ratio: float = 2.5) -
 
 def train(docs: DataFrame, labels: DataFrame, seeds=(), sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample; the lexicon, the ordinary variants of the sample and seven weights come to the driver."""
-    from .shared import stow
-
     sample = stow(labelled_sample(docs, labels, sample_rows).groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
     terms = {s: SEED for s in seeds} | learn_terms(sample)
     plain = docs.sparkSession.sparkContext.broadcast(Matcher(terms))
@@ -311,6 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, seeds=(), sample_rows: int = SAMPL
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("toxic").slice(at, end - at)], names=["x", "toxic"])
 
     fitted = sample.mapInArrow(rows, "x binary, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect()
+    forget(sample)
     x = np.array([np.frombuffer(bytes(r[0]), np.float32) for r in fitted], np.float64).reshape(-1, FEATURES)
     return Model(matcher, fit(x, np.array([r[1] for r in fitted], np.float64), np.array([r[2] for r in fitted], np.float64)))
 
