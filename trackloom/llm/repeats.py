@@ -9,14 +9,16 @@ asks for it (``local="lyndon"``). By default it is hashing:
    168 bytes before it, itself and the 168 after it, as far as the text goes: all strings that hold it.
 2. Occurrences of an anchor are told apart by a hash of their context. Of those with one context, in whatever texts, all strings are repeated: they are
    marked at once, without their bytes. Those in one batch of texts are made one there, so that a passage that very many texts share is one row a batch.
-3. Anchors with one context only are done. Of the others, one occurrence of each context sends its bytes to the anchor's group.
-4. A group sorts the strings that hold its anchor, offset by offset (64-bit hashes of all 200 bytes), marks those found twice, and compares the bytes of
-   each with those of the one beside it. The contexts of an anchor are dealt over groups of about ``HOT``; of such an anchor each group also hands on the strings that
-   it found once, and one of each that it found more often, and these are compared over all groups by anchor and hash.
+3. Anchors with one context only are done. Of the others, one occurrence of each context goes on. Each string holds the 84 bytes before its anchor or the 85 after it:
+   occurrences meet in groups of one anchor and one of these halves, so that a line that very many texts share, each in
+   surroundings of its own, makes no large group. A half that one occurrence alone has is done; for the others the bytes of their half's strings are sent to the group.
+4. A group sorts its strings, offset by offset (64-bit hashes of all 200 bytes), marks those found twice, and compares the bytes of
+   each with those of the one beside it. The contexts of a hot half are dealt over groups of about ``HOT``; of such a half each group also hands on the strings that
+   it found once, and one of each that it found more often, and these are compared over all groups by half and hash.
 5. The marked strings' bytes are joined into spans for each text, and the spans are given to its copies.
 
-Texts are known by the first 128 bits of their SHA-256. Contexts of one anchor, and strings of groups that a hot anchor is dealt over, are taken for equal if anchor and hash,
-128 bits together, agree.
+Texts are known by the first 128 bits of their SHA-256, and within the job by a number. Contexts of one anchor, and strings of groups that a hot half is dealt over, are taken for equal
+if anchor or half and hash, 128 bits together, agree.
 
 Texts are UTF-8 bytes; matches never cross documents; strings are judged on the input. Null and empty texts have no bytes and
 nothing removed; repeated rows are copies of each other; an empty table gives an empty result. Only doc_id and text are read.
@@ -30,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +95,24 @@ def _chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PARTS = np.cumprod(np.full((SIDE + LENGTH) // GRAM + 3, 0x9FB21C651E98DF25, np.uint64), dtype=np.uint64)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes, contexts) of the grams that the 200-byte strings of a text name; a context is known by its hash. Long texts are read in chunks."""
+#: Bytes before or after its anchor that a string holds: at least one of the two. Then what is before the anchor, and how many strings, in the frame of a kind of half.
+BEFORE, AFTER = 84, 85
+FRAMES = ((SIDE, SIDE - BEFORE + 1), (BEFORE - 1, BEFORE))
+
+
+def _sum(around: np.ndarray, first: np.ndarray, last: np.ndarray, places) -> np.ndarray:
+    """Of the bytes from ``first`` to the end of the gram at ``last``, from the grams at ``places``, drawn in to lie between."""
+    out = np.zeros(len(first), np.uint64)
+    for k, at in enumerate(places):
+        out += around[np.clip(at, first, last)] * PARTS[k]
+    return out
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, contexts, halves) of the grams that the 200-byte strings of a text name. Long texts are read in chunks.
+
+    A context is known by its hash; halves holds 31 bits for the half before and for the half after, 0 for one that the text is too short for.
+    """
     found = []
     for start in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
         # the strings that begin in the chunk, and the contexts of their anchors
@@ -101,18 +120,19 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         places, g = _chunk(data[start : min(len(data), start + CHUNK + LENGTH - 1)])
         if not len(places):
             continue
-        around = gram_hashes(data[begin:end])
-        own = places + start
-        first, last = np.maximum(own - SIDE, 0), np.minimum(own + LENGTH, len(data)) - GRAM
-        context = (own - first).astype(np.uint64) * PARTS[-1] + (last - own).astype(np.uint64) * PARTS[-2]
-        for k, at in enumerate(range(-SIDE, LENGTH, GRAM)):
-            context += around[np.clip(own + at, first, last) - begin] * PARTS[k]
-        found.append((own, g[places], mix(context)))
+        around, own = gram_hashes(data[begin:end]), places + (start - begin)
+        first, last = np.maximum(own - SIDE, 0), np.minimum(own + LENGTH, len(data) - begin) - GRAM
+        ends = (own - first).astype(np.uint64) * PARTS[-1] + (last - own).astype(np.uint64) * PARTS[-2]
+        context = mix(_sum(around, first, last, (own + k for k in range(-SIDE, LENGTH, GRAM))) + ends)
+        short = lambda x, fits: np.where(fits, (mix(x) >> np.uint64(33)).astype(np.int64) | 1, 0)
+        before = short(_sum(around, np.maximum(own - BEFORE, 0), own, (own - BEFORE, own - 52, own - 20, own)), own - first >= BEFORE)
+        after = short(_sum(around, own, np.minimum(own + AFTER, last), (own, own + 32, own + 64, own + AFTER)), last - own >= AFTER)
+        found.append((places + start, g[places], context, before << 32 | after))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    places, hashes, contexts = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    places, *others = (np.concatenate(x) for x in zip(*found, strict=True))
     places, first = np.unique(places, return_index=True)
-    return places, hashes[first], contexts[first]
+    return places, *(x[first] for x in others)
 
 
 def texts_of(batch: pa.RecordBatch):
@@ -130,35 +150,39 @@ def covered(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + size).tolist(), strict=True))
 
 
-ANCHORS = "a long, c long, known boolean, t binary, p long, first long, last long"
+#: a: an anchor, c: its context, halves, q: its place in the text d, the bytes before and after it in its context, and whether the batch holds the context again.
+#: Rows without an anchor are spans of contexts that a batch holds more than once, or give the text's key t.
+ANCHORS = "a long, c long, halves long, q long, d long, first long, last long, t binary"
 
 
 def _anchor_rows(batches):
-    """The anchors of a batch of texts, one row for each anchor and context; ``known``: the batch holds it more than once. Spans of those are rows without an anchor."""
+    """Rows of ANCHORS, one for each anchor and context of a batch of texts; texts are numbered by task and order."""
+    number = TaskContext.get().partitionId() << 40
     for batch in batches:
-        a, c, row, p, first, last = ([np.zeros(0, np.int64)] for _ in range(6))
-        for i, data in texts_of(batch):
-            places, hashes, contexts = anchors(data)
-            a.append(hashes.view(np.int64))
-            c.append(contexts.view(np.int64))
-            row.append(np.full(len(places), i))
-            p.append(places)
-            first.append(np.maximum(places - SIDE, 0))
-            last.append(np.minimum(places + LENGTH, len(data)))
-        a, c, row, p, first, last = (np.concatenate(x) for x in (a, c, row, p, first, last))
+        found = [(i, *anchors(data), len(data)) for i, data in texts_of(batch)]
+        join = lambda k, kind=np.int64: np.concatenate([np.zeros(0, kind), *(x[k] for x in found)])
+        p, a, c, halves = join(1), join(2, np.uint64).view(np.int64), join(3, np.uint64).view(np.int64), join(4)
+        row, n = (np.repeat(np.array([x[k] for x in found], np.int64), [len(x[1]) for x in found]) for k in (0, 5))
+        before, after = np.minimum(p, SIDE), np.minimum(n - p, LENGTH)
         order = np.lexsort((c, a))
-        a, c, row, p, first, last = (x[order] for x in (a, c, row, p, first, last))
+        a, c, halves, p, row, before, after = (x[order] for x in (a, c, halves, p, row, before, after))
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
         starts = np.flatnonzero(new)
-        many = np.diff(np.append(starts, len(a))) > 1
-        t = batch.column("t")
-        yield pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(c[starts]), pa.array(many), t.take(pa.array(row[starts])), *(pa.array(x[starts]) for x in (p, first, last))], names=["a", "c", "known", "t", "p", "first", "last"])
-        runs = [(i, b, e) for i, own in _by_row(row, first, np.repeat(many, np.diff(np.append(starts, len(a)))), last) for b, e in own]
-        if runs:
-            i, b, e = (np.array(x, np.int64) for x in zip(*runs, strict=True))
-            none = pa.nulls(len(i), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(i), pa.bool_()), t.take(pa.array(i)), none, pa.array(b), pa.array(e)], names=["a", "c", "known", "t", "p", "first", "last"])
+        times = np.diff(np.append(starts, len(a)))
+        q = p << 18 | before << 10 | after << 2 | np.repeat(times > 1, times)
+        yield _rows(a=a[starts], c=c[starts], halves=halves[starts], q=q[starts], d=number + row[starts])
+        runs = [(i, b, e) for i, own in _by_row(row, p - before, np.repeat(times > 1, times), p + after) for b, e in own]
+        i, b, e = (np.array(x, np.int64) for x in (zip(*runs, strict=True) if runs else ([], [], [])))
+        yield _rows(d=number + i, first=b, last=e)
+        yield _rows(d=number + np.arange(batch.num_rows), t=batch.column("t"))
+        number += batch.num_rows
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    kinds = dict(x.split() for x in ANCHORS.split(", "))
+    kind = lambda c: pa.binary() if kinds[c] == "binary" else pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind(c)) if c in columns else pa.nulls(len(columns["d"]), kind(c)) for c in kinds], names=[*kinds])
 
 
 def _by_row(row, first, chosen, last):
@@ -184,26 +208,26 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-CONTEXTS = "a long, salt int, g int, t binary, b long, l int, c binary"
+CONTEXTS = "a long, salt int, g int, d long, b long, l int, c binary"
 
 
 def _context_rows(batches):
-    """For each wanted anchor of a text: the bytes about it and where it is in them; salt parts the occurrences of a hot anchor."""
+    """For each wanted half of a text: the bytes of its strings and where the anchor is in them; salt parts the occurrences of a hot half."""
 
     def sent(rows):
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
 
     rows, held = [], 0
     for batch in batches:
-        keys, wanted = batch.column("t"), batch.column("wanted")
+        numbers, wanted = batch.column("d").to_pylist(), batch.column("wanted")
         for i, data in texts_of(batch):
-            t = keys[i].as_py()
-            own = wanted.slice(i, 1).flatten()
+            d, own = numbers[i], wanted.slice(i, 1).flatten()
             for a, p, g in zip(*(own.field(f).to_numpy().tolist() for f in ("a", "p", "g")), strict=True):
-                b = max(0, p - SIDE)
-                rows.append((a, (int.from_bytes(t[:4], "little") ^ p * 40503) % g, g, t, b, p - b, data[b : p + LENGTH].tobytes()))
-                held += LENGTH + SIDE
+                side, strings = FRAMES[a & 1]
+                b = max(0, p - side)
+                rows.append((a, (d ^ d >> 17 ^ p * 40503) % g, g, d, b, p - b, data[b : p - side + strings - 1 + LENGTH].tobytes()))
+                held += LENGTH + strings
                 if held >= SENT:
                     yield sent(rows)
                     rows, held = [], 0
@@ -211,18 +235,18 @@ def _context_rows(batches):
         yield sent(rows)
 
 
-def twice(about: list[bytes], left: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For occurrences of anchors, row by row: (found, rest, hashes) of the 169 strings that may hold an anchor, by offset.
+def twice(about: list[bytes], left: list[int], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For halves of one kind, row by row: (found, rest, hashes) of the strings that hold the half, by offset.
 
     found: another row has this string; rest: no other row has it, or it is the first of those that do. Strings of one column
-    have their anchors at the same place, so those of different anchors differ, and rows of many anchors are sorted together.
+    have their anchors at the same place, so those of different anchors or halves differ, and rows of many groups are sorted together.
     """
-    m = len(about)
-    wide = np.zeros((m, SIDE + LENGTH), np.uint8)
-    valid = np.zeros((m, SIDE + 1), bool)
+    m, (side, strings) = len(about), FRAMES[kind]
+    wide = np.zeros((m, strings - 1 + LENGTH), np.uint8)
+    valid = np.zeros((m, strings), bool)
     for k, (c, x) in enumerate(zip(about, left, strict=True)):
-        wide[k, SIDE - x : SIDE - x + len(c)] = np.frombuffer(c, np.uint8)
-        valid[k, SIDE - x : max(SIDE - x, min(SIDE, SIDE - x + len(c) - LENGTH) + 1)] = True
+        wide[k, side - x : side - x + len(c)] = np.frombuffer(c, np.uint8)
+        valid[k, side - x : max(side - x, min(strings - 1, side - x + len(c) - LENGTH) + 1)] = True
     x = BYTE_CODE[wide]
     for size, odd in DOUBLING:
         x = x[:, :-size] * np.uint64(odd) + x[:, size:]
@@ -305,26 +329,27 @@ def lyndon_order(x: list[int]) -> list[int]:
     return order
 
 
-def twice_by_order(about: list[bytes], left: list[int], where: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def twice_by_order(about: list[bytes], left: list[int], where: list[tuple[int, int]], kind: int) -> tuple[np.ndarray, np.ndarray]:
     """``found`` and ``rest`` as of ``twice``, from the sorted suffixes of all contexts; where: of each, its text and its place there.
 
     Equal strings stand side by side, and bytes are compared, not hashes. A place that two anchors bring is one place.
     """
-    found, rest = np.zeros((2, len(about), SIDE + 1), bool)
+    side, strings = FRAMES[kind]
+    found, rest = np.zeros((2, len(about), strings), bool)
     x: list[int] = []
     places: list[tuple[int, int] | None] = []
     for k, (c, near) in enumerate(zip(about, left, strict=True)):
         x += [b + 1 for b in c] + [0]
-        places += [(k, s) if s <= min(near, len(c) - LENGTH) else None for s in range(len(c) + 1)]
+        places += [(k, s) if s <= min(near + strings - 1 - side, len(c) - LENGTH) else None for s in range(len(c) + 1)]
     run, last = [], None
 
     def close():
         if run:
             k, s = run[0]
-            rest[k, SIDE - left[k] + s] = True
+            rest[k, side - left[k] + s] = True
             if len({(where[k][0], where[k][1] + s) for k, s in run}) > 1:
                 for k, s in run:
-                    found[k, SIDE - left[k] + s] = True
+                    found[k, side - left[k] + s] = True
 
     for i in lyndon_order(x)[1:]:
         if places[i] is not None:
@@ -342,28 +367,32 @@ def twice_by_order(about: list[bytes], left: list[int], where: list[tuple[int, i
 TOGETHER = 1000
 
 
-SOLVED = "t binary, first long, last long, h long"
+SOLVED = "d long, first long, last long, h long"
 
 
 def _group_rows(batches, local: str = "hashes"):
-    """Rows sorted by anchor and salt -> (t, first, last, h): covered bytes (h null), and the strings left to compare across salts (last: their anchor)."""
+    """Rows sorted by half and salt -> (d, first, last, h): covered bytes (h null), and the strings left to compare across salts (last: their half)."""
 
     def solve(rows):
-        found, rest, h = twice([r[6] for r in rows], [r[5] for r in rows])
-        if local == "lyndon":
-            found, rest = twice_by_order([r[6] for r in rows], [r[5] for r in rows], [(r[3], r[4]) for r in rows])
         out = []
-        for k, (a, _, g, t, b, left, _) in enumerate(rows):
-            out += [(t, b + x, b + y, None) for x, y in covered(np.flatnonzero(found[k]) - (SIDE - left), LENGTH)]
-            if g > 1:
-                s = np.flatnonzero(rest[k])
-                out += [(t, b + x, a, y) for x, y in zip((s - (SIDE - left)).tolist(), h[k, s].view(np.int64).tolist(), strict=True)]
+        for kind, (side, _) in enumerate(FRAMES):
+            own = [r for r in rows if r[0] & 1 == kind]
+            if not own:
+                continue
+            found, rest, h = twice([r[6] for r in own], [r[5] for r in own], kind)
+            if local == "lyndon":
+                found, rest = twice_by_order([r[6] for r in own], [r[5] for r in own], [(r[3], r[4]) for r in own], kind)
+            for k, (a, _, g, d, b, left, _) in enumerate(own):
+                out += [(d, b + x, b + y, None) for x, y in covered(np.flatnonzero(found[k]) - (side - left), LENGTH)]
+                if g > 1:
+                    s = np.flatnonzero(rest[k])
+                    out += [(d, b + x, a, y) for x, y in zip((s - (side - left)).tolist(), h[k, s].view(np.int64).tolist(), strict=True)]
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["t", "first", "last", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "first", "last", "h"])
 
     rows = []
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "g", "t", "b", "l", "c")), strict=True):
+        for r in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "g", "d", "b", "l", "c")), strict=True):
             if len(rows) >= TOGETHER and r[:2] != rows[-1][:2]:
                 yield solve(rows)
                 rows = []
@@ -380,22 +409,30 @@ def spans(docs: DataFrame, hot: int = HOT, local: str = "hashes") -> DataFrame:
     """(t, spans array<struct<first, last>>): of each text, known by ``t``, with something repeated, its covered runs, sorted and merged."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("t", _key()).where(F.octet_length("text") >= LENGTH)
     found = stow(texts.select("t", "text").mapInArrow(_anchor_rows, ANCHORS), "anchors")
+    names = found.where("t is not null").select("d", "t")
     # one shuffle, by anchor: the rows of a context, and all of an anchor
     context, anchor = Window.partitionBy("a", "c"), Window.partitionBy("a")
-    rows = found.where("a is not null").withColumn("same", F.row_number().over(context.orderBy("t", "p")))
-    rows = rows.withColumns({"times": F.sum(F.when(F.col("known"), 2).otherwise(1)).over(context), "contexts": F.sum(F.when(F.col("same") == 1, 1).otherwise(0)).over(anchor)})
-    whole, ask = (F.col("times") > 1) & ~F.col("known"), (F.col("same") == 1) & (F.col("contexts") > 1)
-    decided = stow(rows.where(whole | ask).select("a", "t", "p", "first", "last", whole.alias("whole"), ask.alias("ask"), F.ceil(F.col("contexts") / hot).cast("int").alias("g")), "decided")
-    wanted = decided.where("ask").groupBy("t").agg(F.collect_list(F.struct("a", "p", "g")).alias("wanted"))
-    near = texts.dropDuplicates(["t"]).join(wanted, "t").select("t", "text", "wanted")
+    known = F.col("q").bitwiseAND(1) == 1
+    rows = found.where("a is not null").select("a", "c", "halves", "q", "d").withColumn("same", F.row_number().over(context.orderBy("d", "q")))
+    rows = rows.withColumns({"times": F.sum(F.when(known, 2).otherwise(1)).over(context), "contexts": F.sum(F.when(F.col("same") == 1, 1).otherwise(0)).over(anchor)})
+    whole, ask = (F.col("times") > 1) & ~known, (F.col("same") == 1) & (F.col("contexts") > 1)
+    decided = stow(rows.where(whole | ask).select("a", "halves", "q", "d", whole.alias("whole"), ask.alias("ask")), "decided")
+    halves = F.array(*(F.struct(F.lit(kind).alias("kind"), half.alias("half")) for kind, half in enumerate((F.shiftright("halves", 32), F.col("halves").bitwiseAND((1 << 32) - 1)))))
+    asked = decided.where("ask").select("a", "d", F.shiftright("q", 18).alias("p"), F.explode(halves).alias("h")).where("h.half <> 0")
+    asked = asked.select(F.xxhash64("a", "h.kind", "h.half").bitwiseAND(-2).bitwiseOR(F.col("h.kind").cast("long")).alias("a"), "p", "d")
+    asked = asked.withColumn("many", F.count("*").over(Window.partitionBy("a"))).where("many > 1")
+    wanted = asked.groupBy("d").agg(F.collect_list(F.struct("a", "p", F.ceil(F.col("many") / hot).cast("int").alias("g"))).alias("wanted"))
+    near = texts.dropDuplicates(["t"]).join(wanted.join(names, "d"), "t").select("d", "text", "wanted")
     about = near.mapInArrow(_context_rows, CONTEXTS)
     solved = stow(about.repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(functools.partial(_group_rows, local=local), SOLVED), "solved")
-    rest = solved.where("h is not null").distinct()  # a string may hold two hot anchors, and comes from both groups
+    rest = solved.where("h is not null").distinct()
     again = rest.groupBy("last", "h").agg(F.count("*").alias("m")).where("m > 1").select("last", "h")
-    parts = solved.where("h is null").select("t", "first", "last").union(rest.join(again, ["last", "h"]).select("t", "first", F.col("first") + LENGTH))
-    parts = parts.union(decided.where("whole").select("t", "first", "last")).union(found.where("a is null").select("t", "first", "last"))
-    sets = parts.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    out = stow(sets.mapInArrow(_merge, "t binary, spans array<struct<first:long,last:long>>"), "spans")
+    parts = solved.where("h is null").select("d", "first", "last").union(rest.join(again, ["last", "h"]).select("d", "first", F.col("first") + LENGTH))
+    p, before, after = F.shiftright("q", 18), F.shiftright("q", 10).bitwiseAND(255), F.shiftright("q", 2).bitwiseAND(255)
+    parts = parts.union(decided.where("whole").select("d", p - before, p + after)).union(found.where("first is not null").select("d", "first", "last"))
+    sets = parts.groupBy("d").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    joined = sets.mapInArrow(_merge, "d long, spans array<struct<first:long,last:long>>").join(names, "d")
+    out = stow(joined.groupBy("t").agg(F.max("spans").alias("spans")), "spans")  # copies have the same spans: all their strings are repeated
     forget(found, decided, solved)
     return out
 
@@ -403,7 +440,7 @@ def spans(docs: DataFrame, hot: int = HOT, local: str = "hashes") -> DataFrame:
 def _merge(batches):
     for batch in batches:
         out = [[{"first": a, "last": b} for a, b in merged((s["first"], s["last"]) for s in own)] for own in batch.column("spans").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=["t", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=["d", "spans"])
 
 
 def digest(docs: DataFrame, hot: int = HOT, local: str = "hashes") -> DataFrame:
