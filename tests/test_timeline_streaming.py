@@ -35,6 +35,13 @@ def test_gaze_hits_and_summary(spark):
     assert (s.samples, s.valid, s.missing, s.largest_step) == (4, 3, 1, 1)
 
 
+def test_valid_gaze_has_both_coordinates(spark):
+    nan = float("nan")
+    gaze = spark.createDataFrame([(1, 0.0, 5.0), (2, None, 5.0), (3, 5.0, None), (4, nan, 5.0), (5, 5.0, nan), (6, None, None)], "n int, gaze_x double, gaze_y double")
+    assert [r.n for r in L.valid_gaze(gaze).collect()] == [1]
+    assert L.valid_gaze(gaze.limit(0)).count() == 0
+
+
 def test_asof_without_tolerance(spark):
     rnd = random.Random(3)
     samples = [(p, rnd.randrange(0, 5000), rnd.random()) for p in (0, 1, 2, None) for _ in range(12)] + [(1, None, 0.5)]

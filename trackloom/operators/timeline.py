@@ -19,14 +19,23 @@ def on_timeline(df: DataFrame, inputs: DataFrame, local: Column | None = None) -
     return df.join(own, "input_id").withColumn("t_exp", local + F.col("time_offset"))
 
 
+def seen(x: str = "gaze_x", y: str = "gaze_y") -> Column:
+    """Whether a sample says where the eye looked: both coordinates are there, and neither is NaN."""
+    return present(F.col(x).cast("double")) & present(F.col(y).cast("double"))
+
+
+def valid_gaze(gaze: DataFrame) -> DataFrame:
+    """The samples that say where the eye looked; blinks and lost samples go, as does a sample of one coordinate."""
+    return gaze.where(seen())
+
+
 def gaze_summary(gaze: DataFrame, time: str = "gaze_video_time", by: str = "participant", bucket: float = 60_000.0) -> DataFrame:
     """Of each participant: samples, valid ones, gaps and the whole and largest interval between samples.
 
     Samples are summed by participant and bucket of time, then over the buckets of each: a long recording is dealt over many tasks.
     """
     step = F.col(time) - F.lag(time).over(Window.partitionBy(by, "_bucket").orderBy(time))
-    valid = present(F.col("gaze_x").cast("double")) & present(F.col("gaze_y").cast("double"))
-    rows = gaze.withColumns({"_bucket": F.floor(F.col(time) / bucket), "_valid": valid}).withColumn("_step", step)
+    rows = gaze.withColumns({"_bucket": F.floor(F.col(time) / bucket), "_valid": seen()}).withColumn("_step", step)
     parts = rows.groupBy(by, "_bucket").agg(F.count("*").alias("n"), F.count_if("_valid").alias("v"), F.count(time).alias("t"), F.min(time).alias("a"), F.max(time).alias("z"), F.max("_step").alias("_step"))
     parts = parts.withColumn("_gap", F.col("a") - F.lag("z").over(Window.partitionBy(by).orderBy("_bucket")))
     whole = F.when(F.sum("t") > 1, F.max("z") - F.min("a"))

@@ -372,7 +372,7 @@ def distinct_ids(spark, sf_dir):
 
 @query(f"SELECT event_id, gaze_video_time, gaze_x FROM ({fx.GAZE_DUCK}) g WHERE gaze_x IS NOT NULL")
 def gaze_valid(spark, sf_dir):
-    return fx.gaze(spark, sf_dir).where("gaze_x is not null").select("event_id", "gaze_video_time", "gaze_x")
+    return timeline.valid_gaze(fx.gaze(spark, sf_dir)).select("event_id", "gaze_video_time", "gaze_x")
 
 
 @query(f"""SELECT participant, count(*) AS samples, count(gaze_x) AS valid, count(*) - count(gaze_x) AS missing, min(gaze_video_time) AS first_time, max(gaze_video_time) AS last_time,
@@ -536,16 +536,24 @@ def exports(spark, sf_dir):
     return sources.stack(read).select("kind", "frame", "track_id", "conf")
 
 
-@query(f"SELECT frame, track_id, cand_id, score FROM ({FACE}) f")
+#: What the model of ``model_candidates`` makes of a candidate's score: wide faces count for more.
+RESCORED = "score * (bx2 - bx1) / ((bx2 - bx1) + (by2 - by1) + 1.0)"
+
+
+@query(f"SELECT frame, track_id, cand_id, score FROM ({BEST.format(f'SELECT frame, track_id, cand_id, {RESCORED} AS score, bx1, by1, bx2, by2 FROM ({fx.FACES}) f')}) b WHERE score >= 0.25")
 def model_candidates(spark, sf_dir):
-    """Crops scored by a stub model in Arrow batches; its candidates are then chosen from."""
-    crops_with = fx.faces(spark, sf_dir)
+    """Candidates are scored anew by a model in bounded batches, and the best of each box are chosen by its scores."""
+    given = fx.faces(spark, sf_dir)
 
     def load():
-        return lambda batch: batch.assign(score=batch["score"])
+        def model(batch):
+            w, h = batch["bx2"] - batch["bx1"], batch["by2"] - batch["by1"]
+            return batch.assign(score=batch["score"] * w / (w + h + 1.0))
+
+        return model
 
-    scored = geometry.apply_model(crops_with, load, crops_with.schema.simpleString()[7:-1].replace(":", " "))
-    return geometry.best_face(scored, 0.5).select("frame", "track_id", "cand_id", "score")
+    scored = geometry.apply_model(given, load, given.schema.simpleString()[7:-1].replace(":", " "), batch_rows=4096)
+    return geometry.best_face(scored, 0.25).select("frame", "track_id", "cand_id", "score")
 
 
 MANIFEST_INPUTS = "SELECT s_nationkey AS n, kind, id, 'v/' || CAST(s_suppkey AS STRING) AS path, time_offset, CASE WHEN kind = 'glasses_video' THEN 'g/' || CAST(s_suppkey AS STRING) END AS gaze_path, glasses_video FROM (SELECT s_suppkey, s_nationkey, " + fx.INPUTS.removeprefix("SELECT ") + ") i"
