@@ -66,6 +66,41 @@ def test_long_segments_equal_brute_force(spark):
     assert sorted((r.a, r.i, r.frame) for r in L.segment_frames(short, right, "a", bucket=100.0, top=2).collect()) == [w for w in want if w[1] < 99]
 
 
+def test_segment_totals_equal_brute_force(spark):
+    rnd = random.Random(9)
+    seg = [(a, i % 50, float(s := rnd.randrange(-300, 4000)), s + 10 ** rnd.uniform(-2, 3.5)) for a in (0, 1, 4) for i in range(60)] + [(0, 98, 0.0, 0.0), (0, 99, 5.0, 5.0), (0, 100, -1e9, 1e9), (None, 101, 0.0, 9.0), (1, 102, float("nan"), 9.0), (2, 103, None, 9.0)]
+    fr = [(a, i, float(s), s + rnd.choice([0.4, 1.0, 7.0, 500.0])) for a in (0, 1, 2) for i, s in enumerate(sorted(rnd.randrange(-100, 3000) for _ in range(200)))] + [(0, 500, 9000.0, 9000.0), (None, 501, 0.0, 9.0), (0, 502, 9000.0, None)]
+    left, right = spark.createDataFrame(seg, "a long, i long, seg_start double, seg_end double"), spark.createDataFrame(fr, "a long, frame long, f_start double, f_end double")
+    want: dict = {}
+    for a, i, s, e in seg:
+        for b, f, x, y in fr:
+            if a is not None and a == b and None not in (s, y) and x < y and s < e and s < y and x < e:
+                want.setdefault(i, []).append(f)
+    want_rows = sorted((i, len(f), min(f), sum(f)) for i, f in want.items())
+    for bucket in (0.7, 60.0, 1e6):
+        assert sorted(map(tuple, L.segment_totals(left, right, "a", ["i"], bucket=bucket).collect())) == want_rows
+    assert L.segment_totals(left.limit(0), right, "a", ["i"]).count() == L.segment_totals(left, right.limit(0), "a", ["i"]).count() == 0
+
+
+def test_long_segments_make_no_row_for_each_pair(spark, tmp_path):
+    """30,000 frames and 300,000 segments of one recording: over a thousand million pairs, which took some minutes row by row."""
+    import numpy as np
+
+    from trackloom import plans
+
+    spark.range(300_000).selectExpr("id as o_orderkey", "76L as o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = "150 * id + 76 as l_orderkey, 1 as l_linenumber, 1L as l_partkey, 1L as l_suppkey, 1.0D as l_quantity, 0.0D as l_discount"
+    spark.range(30_000).selectExpr(*lines.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    started = time.monotonic()
+    got = plans.long_segments(spark, str(tmp_path)).toPandas().sort_values("seg")
+    seg, n = np.arange(300_000), np.arange(30_000)
+    start, begin = (seg % 5000).astype(float), n * 0.4
+    low, high = np.searchsorted(begin + 0.4, start, "right"), np.searchsorted(begin, start + 60 * (seg % 13) * 9.5, "left")
+    some, sums = (high > low) & (seg % 13 > 0), np.concatenate([[0], np.cumsum(150 * n + 76)])
+    assert (high - low)[some].sum() > 1_000_000_000 and time.monotonic() - started < 120
+    assert got[["seg", "n", "first_frame", "frames"]].to_numpy().tolist() == np.stack([seg, high - low, 150 * low + 76, sums[high] - sums[low]], 1)[some].tolist()
+
+
 def test_a_segment_of_a_day_is_few_rows(spark):
     from pyspark.sql import functions as F
 

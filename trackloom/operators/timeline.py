@@ -133,6 +133,37 @@ def segment_frames(segments: DataFrame, frames: DataFrame, by: str, bucket: floa
     return met.where(F.col("_cell") == first).drop("_level", "_cell", "_own", "_of")
 
 
+def segment_totals(segments: DataFrame, frames: DataFrame, by: str, keys: list[str], value: str = "frame", bucket: float = 60.0) -> DataFrame:
+    """Of each ``keys`` of segments with a frame that overlaps (as in ``segment_frames``): n, how many do, the ``first`` value and the ``total`` of the values, without a row for each pair.
+
+    Values are whole numbers that rise with f_start within a ``by``, as frame numbers do. The frames that a segment overlaps are those that begin before its end and end after its start: all frames,
+    less those that begin too late and those that end too early. So each interval is two rows, whatever its length: starts of frames are ordered with ends of segments, and ends of frames with
+    starts of segments, backwards in time. Both are dealt by ``by`` and bucket of time; a bucket begins with the sums of those before it, of which one row a bucket is ordered within a recording.
+    """
+    begins, ends = F.struct(F.col("f_start").alias("at"), F.col(value).alias("value")), "struct<at:double,value:bigint>"
+    ask = [F.struct(F.lit(0).alias("side"), (F.lit(0.0) - F.col("seg_start")).alias("x"), F.col("seg_end").cast("double").alias("until")), F.struct(F.lit(1).alias("side"), (F.lit(0.0) + F.col("seg_end")).alias("x"), F.lit(None).cast("double").alias("until"))]
+    own = [F.struct(F.lit(0).alias("side"), (F.lit(0.0) - F.col("f_end")).alias("x"), begins.cast(ends).alias("first")), F.struct(F.lit(1).alias("side"), (F.lit(0.0) + F.col("f_start")).alias("x"), F.lit(None).cast(ends).alias("first"))]
+
+    def dealt(df: DataFrame, start: str, end: str, sides: list[Column], *more) -> DataFrame:
+        rows = df.where(present(F.col(start).cast("double")) & present(F.col(end).cast("double")) & (F.col(end) > F.col(start)) & F.col(by).isNotNull())
+        rows = rows.select(F.col(by).alias("_by"), *more, F.explode(F.array(*sides)).alias("_s"))
+        return rows.select("_by", *(c for c in rows.columns if c not in ("_by", "_s")), "_s.*").withColumn("bucket", F.floor(F.col("x") / bucket))
+
+    asked = dealt(segments, "seg_start", "seg_end", ask, *keys)
+    given = dealt(frames, "f_start", "f_end", own, F.lit(1).cast("bigint").alias("n"), F.col(value).cast("bigint").alias("v"))
+    whole = given.groupBy("_by", "side", "bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.min("first").alias("first"))
+    places = whole.unionByName(asked.select("_by", "side", "bucket").distinct(), allowMissingColumns=True).groupBy("_by", "side", "bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.min("first").alias("first"))
+    before, side = Window.partitionBy("_by", "side").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_by", "side")
+    less = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)) - F.when(F.col("side") == 0, F.coalesce(F.sum(c).over(side), F.lit(0))).otherwise(0)
+    carried = places.select("_by", "side", "bucket", less("n").alias("n0"), less("v").alias("v0"), F.min("first").over(before).alias("first0"))
+    order = Window.partitionBy("_by", "side", "bucket").orderBy("x", "n").rowsBetween(Window.unboundedPreceding, 0)  # at one time those that ask come first
+    sums = asked.unionByName(given, allowMissingColumns=True).withColumns({"n1": F.sum("n").over(order), "v1": F.sum("v").over(order), "first1": F.min("first").over(order)})
+    met = sums.where("n is null").join(carried, ["_by", "side", "bucket"]).withColumn("_first", F.least("first0", "first1"))
+    count, total = (F.sum(F.col(f"{c}0") + F.coalesce(f"{c}1", F.lit(0))) for c in "nv")
+    found = met.groupBy(*keys).agg(count.alias("n"), F.min(F.when(F.col("_first.at") < F.col("until"), F.col("_first.value"))).alias("first"), total.alias("total"))
+    return found.where("n > 0")
+
+
 def attribute_audio(segments: DataFrame, inputs: DataFrame) -> DataFrame:
     """Segments with the glasses input that their audio belongs to; audio without a reference has none."""
     audio = inputs.where("kind = 'audio'").select(F.col("id").alias("audio_id"), F.col("glasses_video").alias("participant_input"), "time_offset")
