@@ -90,6 +90,27 @@ def test_a_killed_pass_can_be_committed_again(spark, tmp_path, monkeypatch):
     assert S.read_results(spark, folder("results")).count() == 2
 
 
+def test_one_long_recording_is_not_one_task(spark, tmp_path, monkeypatch):
+    """Rows are not dealt by their input alone, neither where results are read nor where a pass is joined to them, however small the table that Spark itself would broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    folder, asked = lambda n: str(tmp_path / n), []
+    try:
+        spark.range(3000).selectExpr("'glasses_video' as input_kind", "'a' as input_id", "id + 1 as frame_idx", "array(array(0D, 0D, 9D, 9D, 1D, 0.9D, 0D, 0D)) as tracks", "cast(null as array<array<float>>) as embeddings").write.parquet(folder("tracks"))
+        spark.range(0, 3000, 2).selectExpr("'glasses_video' as input_kind", "'a' as input_id", "id as frame_idx", "array(named_struct('box', named_struct('x1', 1D, 'y1', 1D, 'x2', 2D, 'y2', 2D, 'track_id', 1L), 'score', 0.8D, 'landmarks', array(named_struct('x', 1D, 'y', 1D)), 'embedding', cast(null as array<float>))) as faces").write.parquet(folder("faces"))
+        commit = P.commit
+        monkeypatch.setattr(P, "commit", lambda df, root: (asked.append(df._jdf.queryExecution().executedPlan().toString()), commit(df, root))[1])
+        for kind in ("tracking", "faces"):
+            T.ingest(T.read_frames(spark, folder("tracks" if kind == "tracking" else kind), kind), folder("staging"), kind, "r").awaitTermination()
+            T.commit(spark, folder("staging"), kind, "r", folder("results"))
+        done = S.read_results(spark, folder("results"))
+        assert done.count() == 3000 and done.where("face_score = 0.8").count() == 1500
+        for plan in (asked[1], done._jdf.queryExecution().executedPlan().toString()):
+            dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+            assert not [line for line in dealt if "frame" not in line] and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_very_many_inputs_are_one_scan_a_schema(spark, tmp_path):
     """Of 600 inputs some are missing, damaged or no results; the plan has one scan for each of the three schemas."""
     import pyarrow as pa

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +47,12 @@ def forget(*stowed: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             where = spark._jvm.org.apache.hadoop.fs.Path(folder)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows of a list of inputs that are sent to every task.
+FEW = 500_000
+
+
+def few(inputs: DataFrame, most: int = FEW) -> DataFrame:
+    """A list of inputs for a join with their rows, sent to every task: joined by a shuffle, all rows of an input would land in one task. A list of over ``most`` is left as it is."""
+    return F.broadcast(inputs) if inputs.limit(most + 1).count() <= most else inputs

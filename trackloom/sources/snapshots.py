@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .shared import few
+
 PARTITIONS = ["input_kind", "input_id"]
 POINTER = "CURRENT"
 LIVE = "input_kind string, input_id string, version string"
@@ -52,7 +54,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     reader = lambda: spark.read.option("basePath", f"{root}/data")
     found = reader().option("mergeSchema", "true").parquet(*paths).schema
     text = StructType([StructField(f.name, StringType()) if f.name in (*PARTITIONS, "version") else f for f in found.fields])  # ids stay text, whatever they look like
-    return reader().schema(text).parquet(*paths).join(inputs, [*PARTITIONS, "version"], "left_semi").drop("version")
+    return reader().schema(text).parquet(*paths).join(few(inputs), [*PARTITIONS, "version"], "left_semi").drop("version")
 
 
 def commit(df: DataFrame, root: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from ..operators.detections import flatten_faces, flatten_poses, flatten_tracks, join_faces, join_poses, keys_of
 from ..schemas import RAW_FACES, RAW_POSES, RAW_TRACKS
 from ..sources import delete, exists, snapshots
+from ..sources.shared import few, forget, stow
 from .ranked import keep_top_k, read_top_k
 
 RAW = {"tracking": RAW_TRACKS, "faces": RAW_FACES, "poses": RAW_POSES}
@@ -49,16 +50,18 @@ def commit(spark: SparkSession, staging: str, kind: str, run_id: str, results: s
     ``results`` is a store of ``snapshots``: all inputs of the run change at once, and a commit that dies on the way changes none. It can then be
     made again, since the run stays staged until its results are visible.
     """
-    raw = staged(spark, staging, kind, run_id)
+    raw, inputs = staged(spark, staging, kind, run_id), None
     if raw.isEmpty():  # a run without frames: results stay as they are
         return discard(spark, staging, kind, run_id)
     if kind == "tracking":
         rows = flatten_tracks(raw)
     else:
-        inputs = raw.select("input_kind", "input_id").distinct()
-        tracks = snapshots.read(spark, results).join(inputs, ["input_kind", "input_id"], "left_semi")
+        inputs = stow(raw.select("input_kind", "input_id").distinct(), "inputs")
+        tracks = snapshots.read(spark, results).join(few(inputs), ["input_kind", "input_id"], "left_semi")
         rows = join_faces(tracks, flatten_faces(raw)) if kind == "faces" else join_poses(tracks, flatten_poses(raw))
     snapshots.commit(rows, results)
+    if inputs is not None:
+        forget(inputs)
     discard(spark, staging, kind, run_id)
 
 
