@@ -111,6 +111,27 @@ def test_one_long_recording_is_not_one_task(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_very_many_inputs_are_few_files(spark, tmp_path):
+    """5,000 inputs, some of odd names, are committed in a few files; results of single ones are replaced and read."""
+    root, many = str(tmp_path / "store"), spark.range(10_000).selectExpr("'glasses_video' as input_kind", "concat('in ', id div 2, '=/%') as input_id", "id % 2 as frame", "1L as track_id", "0.5D as conf")
+    P.commit(many, root)
+    assert sum(name.endswith(".parquet") for _, _, files in os.walk(root) for name in files) < 100
+    P.commit(rows(spark, ["in 7=/%", "new"], 0.9), root)
+    assert S.finished(spark, root).count() == 5001 and S.read_results(spark, root).count() == 10_000 - 2 + 6
+    assert {(r.frame, r.conf) for r in S.read_results(spark, root).where("input_id = 'in 7=/%'").collect()} == {(0, 0.9), (1, 0.9), (2, 0.9)}
+
+
+def test_older_stores_are_read(spark, tmp_path):
+    """A version with a folder for each input, beside one without."""
+    root, old = str(tmp_path / "store"), "0000000001-00000000"
+    rows(spark, ["007", "b"], 0.1).write.partitionBy(*P.PARTITIONS).parquet(f"{root}/data/version={old}")
+    spark.createDataFrame([("glasses_video", "007", old), ("glasses_video", "b", old)], P.LIVE).write.parquet(f"{root}/snapshots/{old}")
+    P._point(spark, root, old)
+    assert seen(spark, root) == {("007", 0.1), ("b", 0.1)}
+    P.commit(rows(spark, ["b"], 0.2).selectExpr("*", "conf * 2 as face_score"), root)
+    assert seen(spark, root) == {("007", 0.1), ("b", 0.2)} and S.read_results(spark, root).where("face_score is null").count() == 3
+
+
 def test_very_many_inputs_are_one_scan_a_schema(spark, tmp_path):
     """Of 600 inputs some are missing, damaged or no results; the plan has one scan for each of the three schemas."""
     import pyarrow as pa

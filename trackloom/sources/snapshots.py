@@ -1,6 +1,7 @@
 """Results of many inputs in versions behind one pointer: a commit shows whole or not at all.
 
-A store is a folder: ``data/version=<v>/input_kind=<k>/input_id=<i>/`` holds the rows that commit v wrote, ``snapshots/<v>/`` a table of which version each input's
+A store is a folder: ``data/version=<v>/`` holds the rows that commit v wrote, sorted by input in as many files as their size asks for, not a folder for each input (older stores have such
+folders, ``input_kind=<k>/input_id=<i>/``; they are read too). ``snapshots/<v>/`` is a table of which version each input's
 results are in, and the file ``CURRENT`` names one snapshot. A commit writes its data, then its snapshot, and last
 replaces the pointer by a rename, which the file system does at once. Readers start from the pointer, so whatever a commit that died
 has left behind is never read; ``vacuum`` deletes it. One writer at a time: a commit that finds another one come between is an error and changes nothing.
@@ -50,11 +51,26 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     versions = sorted(r[0] for r in inputs.select("version").distinct().collect())  # at most one for each input
     if not versions:
         raise ValueError("there are no results")
-    paths = [f"{root}/data/version={v}" for v in versions]
+    layouts: dict[bool, list[str]] = {}
+    for v in versions:
+        path = f"{root}/data/version={v}"
+        layouts.setdefault(_in_folders(spark, path), []).append(path)
+    tables = [_rows(spark, root, paths) for _, paths in sorted(layouts.items())]
+    rows = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1], allowMissingColumns=True)
+    return rows.join(few(inputs), [*PARTITIONS, "version"], "left_semi").drop("version")
+
+
+def _in_folders(spark: SparkSession, path: str) -> bool:
+    """Whether a version was written with a folder for each input, as older ones were."""
+    fs, where = _fs(spark, path)
+    return any(s.getPath().getName().startswith(f"{PARTITIONS[0]}=") for s in fs.listStatus(where))
+
+
+def _rows(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     reader = lambda: spark.read.option("basePath", f"{root}/data")
     found = reader().option("mergeSchema", "true").parquet(*paths).schema
     text = StructType([StructField(f.name, StringType()) if f.name in (*PARTITIONS, "version") else f for f in found.fields])  # ids stay text, whatever they look like
-    return reader().schema(text).parquet(*paths).join(few(inputs), [*PARTITIONS, "version"], "left_semi").drop("version")
+    return reader().schema(text).parquet(*paths)
 
 
 def commit(df: DataFrame, root: str) -> str:
@@ -62,8 +78,9 @@ def commit(df: DataFrame, root: str) -> str:
     spark, base = df.sparkSession, current(df.sparkSession, root)
     name = f"{int(base.split('-')[0]) + 1 if base else 1:010d}-{uuid.uuid4().hex[:8]}"
     order = [c for c in ("frame", "track_id") if c in df.columns]
+    df = df.withColumns({c: F.col(c).cast("string") for c in PARTITIONS})
     rows = df.repartition(*PARTITIONS, F.floor(F.col("frame") / 100_000)) if "frame" in df.columns else df  # a long recording is more than one file
-    rows.sortWithinPartitions(*PARTITIONS, *order).write.partitionBy(*PARTITIONS).parquet(f"{root}/data/version={name}")
+    rows.sortWithinPartitions(*PARTITIONS, *order).write.parquet(f"{root}/data/version={name}")
     folders = StructType([StructField(c, StringType()) for c in PARTITIONS])
     new = spark.read.schema(folders).parquet(f"{root}/data/version={name}").select(*PARTITIONS).distinct().withColumn("version", F.lit(name))
     kept = live(spark, root).join(new, PARTITIONS, "left_anti")
