@@ -126,6 +126,18 @@ def test_runs_of_frames(spark):
     assert summary.runs(df.limit(0)).count() == 0
 
 
+def test_few_rows_are_ordered_within_a_track(spark, monkeypatch):
+    """Runs over the edge of each of 50,000 buckets: at most two rows of each wide bucket are left to order within the track."""
+    from trackloom.operators import summary
+
+    left, paired = [], summary._paired
+    monkeypatch.setattr(summary, "_paired", lambda *x: (found := paired(*x), left.append(found[1]))[0])
+    df = spark.range(200_000).where("id % 4 <> 1").selectExpr("1 as track_id", "id as frame")
+    got = sorted((r.first_frame, r.last_frame) for r in summary.runs(df, bucket=4).collect())
+    assert got == [(0, 0)] + [(a, min(a + 2, 199_999)) for a in range(2, 200_000, 4)]
+    assert left[0].count() <= 2 * (200_000 // (4 * summary.BUCKETS_IN_ONE) + 1)
+
+
 def test_streaming_top_k_equals_batch_after_a_restart(spark, folders):
     from trackloom.operators import embeddings as V
 
