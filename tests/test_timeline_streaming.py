@@ -109,6 +109,15 @@ def test_a_segment_of_a_day_is_few_rows(spark):
     assert max(r[0] for r in day.select(F.size(cells)).collect()) < 20
 
 
+def test_frames_are_dealt_to_levels_of_segments_only(spark):
+    """Short segments: a short frame is a row or two, not one at each level above too."""
+    left = spark.range(500).selectExpr("1L as a", "id as i", "id * 2.5D as seg_start", "id * 2.5D + 1 as seg_end")
+    right = spark.range(3000).selectExpr("1L as a", "id as frame", "id * 0.4D as f_start", "id * 0.4D + 0.4D as f_end")
+    (one, two), met = L._dealt(left, right, 1.0, L.LEVELS), L.segment_frames(left, right, "a")
+    assert one.count() <= 2 * 500 and two.count() <= 2 * 3000
+    assert met.count() == sum(s * 2.5 < f * 0.4 + 0.4 and f * 0.4 < s * 2.5 + 1 for s in range(500) for f in range(3000))
+
+
 def test_runs_of_frames(spark):
     from trackloom.operators import summary
 

@@ -111,23 +111,35 @@ def _touched(start: str, end: str, bucket: float, level: int) -> Column:
     return F.transform(F.sequence(first, F.greatest(first, F.ceil(F.col(end) / size) - 1)), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
 
 
+def _dealt(segments: DataFrame, frames: DataFrame, bucket: float, top: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a row for each bucket (_level, _cell) in which an interval may meet one of the other side."""
+
+    def levelled(df: DataFrame, start: str, end: str, own: str) -> DataFrame:
+        level, cells = _buckets(start, end, bucket, top)
+        cells = F.when(level <= top, cells).otherwise(_touched(start, end, bucket, top))  # a longer one is cut as finely as the top is
+        return df.where(F.col(end) > F.col(start)).withColumns({own: F.least(level, F.lit(top)), "_cells": cells})
+
+    def dealt(df: DataFrame, own: str, other: DataFrame, others: str) -> DataFrame:
+        there = F.broadcast(other.agg(F.collect_set(others).alias("_there")))
+        meets = lambda b: F.when(b["level"] == F.col(own), F.array_min("_there") <= F.col(own)).otherwise(F.array_contains("_there", b["level"]))
+        rows = df.crossJoin(there).withColumn("_b", F.explode(F.filter("_cells", meets)))
+        return rows.withColumns({"_level": F.col("_b.level"), "_cell": F.col("_b.cell")}).drop("_b", "_cells", "_there")
+
+    segments, frames = levelled(segments, "seg_start", "seg_end", "_own"), levelled(frames, "f_start", "f_end", "_of")
+    return dealt(segments, "_own", frames, "_of"), dealt(frames, "_of", segments, "_own")
+
+
 def segment_frames(segments: DataFrame, frames: DataFrame, by: str, bucket: float = 1.0, top: int = LEVELS) -> DataFrame:
     """Frames [f_start, f_end) and segments [seg_start, seg_end) of one ``by`` that overlap.
 
     Buckets come in levels, from ``bucket`` seconds upwards, each GROWTH times as wide as the last. An interval has a level of its own, the first at which it touches few
     buckets, and is put in the buckets that it touches there and at the levels above: a segment of a day is some ten rows, not one a
     second. Two intervals meet at the higher of their levels, where the longer one is cut into parts of about its eighth; a pair is
-    kept in the first bucket that both touch. Levels above ``top`` are not made: a caller whose frames and segments are all short can save rows by it, longer ones are then cut finer.
+    kept in the first bucket that both touch. Of the levels above its own an interval is put only in those that intervals of the other side have as theirs. Levels above ``top`` are not made: a caller whose frames and segments are all short can save rows by it, longer ones are then cut finer.
     """
     top = min(top, LEVELS)
 
-    def dealt(df: DataFrame, start: str, end: str, own: str) -> DataFrame:
-        level, cells = _buckets(start, end, bucket, top)
-        cells = F.when(level <= top, cells).otherwise(_touched(start, end, bucket, top))  # a longer one is cut as finely as the top is
-        rows = df.where(F.col(end) > F.col(start)).withColumn(own, F.least(level, F.lit(top))).withColumn("_b", F.explode(cells))
-        return rows.withColumns({"_level": F.col("_b.level"), "_cell": F.col("_b.cell")}).drop("_b")
-
-    left, right = dealt(segments, "seg_start", "seg_end", "_own"), dealt(frames, "f_start", "f_end", "_of")
+    left, right = _dealt(segments, frames, bucket, top)
     met = left.join(right, [by, "_level", "_cell"]).where("_level = greatest(_own, _of) and seg_start < f_end and f_start < seg_end")
     first = F.floor(F.greatest("seg_start", "f_start") / (bucket * F.pow(F.lit(float(GROWTH)), F.col("_level"))))
     return met.where(F.col("_cell") == first).drop("_level", "_cell", "_own", "_of")
